@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, exact_dedup, mixing, sharding, token_counts, url_filter
+from tallyfold.llm import bpe, exact_dedup, language, mixing, nearest, sharding, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    network = language.train(docs, ~held_out)
+    return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), network)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = ["lang", "source", "size"]
     rows = sharding.document_metadata(_table(spark, sf_dir, "documents"), dims[:2])
@@ -35,6 +42,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules, fallback)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -53,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_sharding, op5_url_filter, op8_bpe, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language, op4_sharding, op5_url_filter, op6_nearest, op8_bpe, op9_mixing, op10_token_counts)}
 
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -81,6 +92,15 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN
 FROM p LEFT JOIN best USING (host, path) LEFT JOIN other USING (host, path)
 """
 
+OP6_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 20
+"""
+
 OP9_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -97,4 +117,4 @@ SELECT doc_id, size, r.source_size, r.target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}
