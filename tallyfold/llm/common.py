@@ -20,14 +20,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder is made only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfold-"))
+    return context.getCheckpointDir()
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is made only where none is set.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfold-"))
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -57,7 +60,7 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers as zstd over their byte planes, small for arrays whose high bytes vary little."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:

@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, exact_dedup, language, mixing, nearest, sharding, substring_dedup, token_counts, url_filter
+import corpus_pipeline
+from tallyfold.llm import bpe, exact_dedup, language, mixing, near_dedup, nearest, sharding, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), ngram=4, percent=80)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -69,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_language, op4_sharding, op5_url_filter, op6_nearest, op7_substring_dedup, op8_bpe, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language, op4_sharding, op5_url_filter, op6_nearest, op7_substring_dedup, op8_bpe, op9_mixing, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
 
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -112,7 +117,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
 lv AS (SELECT a.source, (1.5 * (SELECT sum(source_size) FROM w) - coalesce((SELECT sum(2.0 * b.source_size) FROM w b WHERE 2.0 * b.source_size / b.weight < 2.0 * a.source_size / a.weight), 0))
     / (SELECT sum(b.weight) FROM w b WHERE 2.0 * b.source_size / b.weight >= 2.0 * a.source_size / a.weight) AS level, 2.0 * a.source_size / a.weight AS full_at FROM w a),
-t AS (SELECT source, source_size, least(2.0 * source_size, coalesce((SELECT min(level) FROM lv WHERE level <= full_at) * weight, 2.0 * source_size))::DOUBLE AS target FROM w),
+t AS (SELECT source, source_size, least(2.0 * source_size, coalesce((SELECT arg_min(level, full_at) FROM lv WHERE level <= full_at) * weight, 2.0 * source_size))::DOUBLE AS target FROM w),
 r AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate FROM t),
 k AS (SELECT r.source, seed, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN ('0x' || substr(md5(seed || ':' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656 < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS miss
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(32) AS x(seed) GROUP BY r.source, seed),
