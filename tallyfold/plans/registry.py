@@ -1,3 +1,89 @@
-"""Registered queries."""
+"""Registered queries: each operator with the parameters of production, results rounded to compare across engines."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyfold.operators import companies as co
+from tallyfold.operators import insights
+from tallyfold.operators import opportunities as op
+from tallyfold.operators import portfolio as pf
+from tallyfold.plans import workloads as w
+from tallyfold.sources.tables import Tables
+
+AS_OF = date(1992, 7, 1)
+TOLERANCE = 0.05
+WINDOW = 5
+ACCOUNT = 7
+BEST, TERMS = 5, 10
+
+
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    """df with columns rounded.
+
+    Values halfway between two roundings are common among prices, and sums differ in their last bits, so both
+    engines first add a thousandth of the last place. Adding 0 makes a negative zero a zero.
+    """
+    return df.withColumns({c: F.round(F.col(c) + F.lit(10.0 ** -(n + 3)), n) + F.lit(0.0) for c, n in places.items()})
+
+
+def _unpriced(t: Tables) -> DataFrame:
+    return pf.unpriced(pf.positions(w.fills(t), AS_OF), w.prices(t).where(F.col("price_date") <= F.lit(AS_OF)))
+
+
+def _drift(t: Tables) -> DataFrame:
+    return pf.drift(pf.weights(w.valued(t)), w.equal_targets(w.fills(t)), TOLERANCE)
+
+
+def _opportunities(t: Tables) -> DataFrame:
+    held = w.positions(t).where(F.col("account_id") == ACCOUNT)
+    return op.opportunities(w.metrics(t), w.opportunity_rules(), "mean", BEST, held)
+
+
+def _profile(t: Tables) -> DataFrame:
+    prices = w.prices(t)
+    rets = co.returns(prices)
+    return insights.company_profile(t.companies(), co.risk_summary(rets, w.MIN_OBSERVATIONS), co.beta(rets, w.MIN_OBSERVATIONS), w.last_momentum(t), co.max_drawdown(prices))
+
+
+RISK = {"mean": 6, "stddev": 6, "var_95": 6, "sharpe": 6}
+
+_PLANS: dict[str, Callable[[Tables], DataFrame]] = {
+    "o01_trades": lambda t: rounded(w.fills(t), price=6),
+    "o02_positions": w.positions,
+    "o03_latest_price": lambda t: rounded(pf.latest_price(w.prices(t)), close=6),
+    "o04_market_value": lambda t: rounded(w.valued(t), close=6, value=2),
+    "o05_weights": lambda t: rounded(pf.weights(w.valued(t)), value=2, weight=6),
+    "o06_concentration": lambda t: rounded(w.portfolio_concentration(t), hhi=6),
+    "o07_allocation": lambda t: rounded(pf.allocation(w.valued(t), t.companies()), gross_value=2),
+    "o08_running_position": lambda t: pf.running_position(w.fills(t)),
+    "o09_price_as_of": lambda t: rounded(pf.price_as_of(w.fills(t), w.prices(t)), close=6),
+    "o10_value_series": lambda t: rounded(pf.value_series(w.fills(t), w.prices(t)), value=2),
+    "o11_average_buy_cost": lambda t: rounded(pf.average_buy_cost(w.fills(t)), average_cost=6),
+    "o12_drift": lambda t: rounded(_drift(t), weight=6, target=6, drift=6),
+    "o13_unpriced": _unpriced,
+    "o14_daily_prices": lambda t: rounded(w.prices(t), close=6),
+    "o15_returns": lambda t: rounded(w.returns(t), ret=6),
+    "o16_rolling_stats": lambda t: rounded(co.rolling_stats(w.returns(t), WINDOW), mean=6, stddev=6),
+    "o17_max_drawdown": lambda t: rounded(co.max_drawdown(w.prices(t)), max_drawdown=6),
+    "o18_risk_summary": lambda t: rounded(w.risk(t), **RISK),
+    "o19_beta": lambda t: rounded(co.beta(w.returns(t), w.MIN_OBSERVATIONS), beta=6),
+    "o20_sector_correlation": lambda t: rounded(co.sector_correlation(w.returns(t), t.companies()), correlation=6),
+    "o21_peer_compare": lambda t: rounded(co.peer_compare(w.risk(t), t.companies()), mean_z=6, mean_median=6, stddev_z=6, stddev_median=6),
+    "o22_momentum": lambda t: rounded(op.momentum(w.prices(t), w.LOOKBACK, w.SKIP), momentum=6),
+    "o23_opportunities": lambda t: rounded(_opportunities(t), mean=6, standing=6),
+    "o24_company_terms": lambda t: insights.company_terms(t.documents(), TERMS),
+    "o25_document_summary": lambda t: rounded(insights.document_summary(t.documents(), t.labels()), mean_chars=6, labelled_share=6, mean_quality=6, toxic_rate=6),
+    "o26_company_profile": lambda t: rounded(_profile(t), **RISK, beta=6, momentum=6, max_drawdown=6),
+}
+
+
+def _query(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plan(Tables(spark, sf_dir))
+
+
+QUERIES = {name: _query(plan) for name, plan in _PLANS.items()}
