@@ -1,0 +1,133 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyfold.operators import portfolio as pf
+
+TRADES = "account_id long, instrument_id long, trade_date date, side string, quantity double, signed_quantity double, price double, l_orderkey long, l_linenumber int, l_suppkey long, l_extendedprice double"
+PRICES = "instrument_id long, price_date date, close double"
+D = [date(2020, 1, d) for d in range(1, 10)]
+
+
+def trade(account, instrument, day, quantity, price, order=1, line=1):
+    side = "SELL" if quantity < 0 else "BUY"
+    return (account, instrument, D[day], side, abs(quantity), float(quantity), float(price), order, line, 1, abs(quantity) * float(price))
+
+
+@pytest.fixture(scope="module")
+def fills(spark):
+    return spark.createDataFrame(
+        [
+            trade(1, 10, 0, 5.0, 10), trade(1, 10, 2, -5.0, 12, 2),  # to exactly zero
+            trade(1, 11, 1, -3.0, 20), trade(1, 12, 1, 4.0, 5, 3, 1), trade(1, 12, 1, 2.0, 8, 3, 2),  # short; two fills on one day
+            trade(2, 10, 3, 1.0, 10), trade(2, 10, 3, 1.0, 10),  # repeated rows
+            trade(3, 13, 0, 2.0, 7), trade(4, 11, 1, -1.0, 20),  # no price; sells only
+        ],
+        TRADES,
+    )
+
+
+@pytest.fixture(scope="module")
+def prices(spark):
+    return spark.createDataFrame([(10, D[1], 11.0), (10, D[4], 13.0), (11, D[2], 21.0), (12, D[0], 6.0), (12, D[5], 9.0)], PRICES)
+
+
+def test_trades_join_and_sign(spark, rows):
+    orders = spark.createDataFrame([(1, 7, D[0]), (2, 8, D[1])], "o_orderkey long, o_custkey long, o_orderdate date")
+    lines = spark.createDataFrame([(1, 10, 3, 1, 4.0, 40.0, "R"), (1, 11, 3, 2, 0.0, 9.0, "N"), (3, 10, 3, 1, 1.0, 1.0, "A")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string")
+    found = rows(pf.trades(orders, lines).select("account_id", "instrument_id", "trade_date", "side", "quantity", "signed_quantity", "price"))
+    assert found == [(7, 10, D[0], "SELL", 4.0, -4.0, 10.0), (7, 11, D[0], "BUY", 0.0, 0.0, None)]
+
+
+def test_positions(fills, rows):
+    assert rows(pf.positions(fills)) == [(1, 11, -3.0), (1, 12, 6.0), (2, 10, 2.0), (3, 13, 2.0), (4, 11, -1.0)]
+    assert rows(pf.positions(fills, D[0])) == [(1, 10, 5.0), (3, 13, 2.0)]
+
+
+def test_latest_price(prices, rows):
+    assert rows(pf.latest_price(prices)) == [(10, 13.0), (11, 21.0), (12, 9.0)]
+    assert rows(pf.latest_price(prices, D[1])) == [(10, 11.0), (12, 6.0)]
+
+
+def test_values_weights_and_concentration(fills, prices, rows):
+    valued = pf.market_value(pf.positions(fills), pf.latest_price(prices))
+    assert rows(valued.select("account_id", "instrument_id", "value")) == [(1, 11, -63.0), (1, 12, 54.0), (2, 10, 26.0), (3, 13, None), (4, 11, -21.0)]
+    weighted = pf.weights(valued)
+    assert rows(weighted.select("account_id", "weight")) == [(1, round(-63 / 117, 9)), (1, round(54 / 117, 9)), (2, 1.0), (3, None), (4, -1.0)]
+    assert rows(pf.concentration(weighted)) == [(1, 2, round((63**2 + 54**2) / 117**2, 9)), (2, 1, 1.0), (3, 1, None), (4, 1, 1.0)]
+    gross = weighted.groupBy("account_id").agg(F.sum(F.abs("weight")).alias("w")).where("w IS NOT NULL")
+    assert all(abs(r.w - 1) < 1e-12 for r in gross.collect())
+
+
+def test_weights_of_zero_gross_value(spark, rows):
+    valued = spark.createDataFrame([(1, 10, 0.0), (1, 11, 0.0)], "account_id long, instrument_id long, value double")
+    assert rows(pf.weights(valued).select("weight")) == [(None,), (None,)]
+
+
+def test_allocation_tells_null_sector_from_total(spark, rows):
+    valued = spark.createDataFrame([(1, 10, 5.0), (1, 11, -7.0), (2, 12, 1.0)], "account_id long, instrument_id long, value double")
+    companies = spark.createDataFrame([(10, "a", "S", "I"), (11, "b", "S", "J"), (12, "c", None, "I")], "instrument_id long, name string, sector string, industry string")
+    found = rows(pf.allocation(valued, companies))
+    assert (None, None, 3, 13.0, 3) in found and (None, None, 1, 1.0, 1) in found and ("S", None, 1, 12.0, 2) in found and ("S", "I", 0, 5.0, 1) in found
+    assert len(found) == 6
+
+
+def test_running_position_breaks_ties(fills, rows):
+    found = rows(pf.running_position(fills).where("account_id = 1").select("instrument_id", "l_orderkey", "l_linenumber", "position"))
+    assert found == [(10, 1, 1, 5.0), (10, 2, 1, 0.0), (11, 1, 1, -3.0), (12, 3, 1, 4.0), (12, 3, 2, 6.0)]
+    last = pf.running_position(fills).groupBy("account_id", "instrument_id").agg(F.max_by("position", F.struct("trade_date", *pf.TIES)).alias("quantity")).where("quantity <> 0")
+    assert rows(last) == rows(pf.positions(fills).where("account_id <> 2").unionByName(last.where("account_id = 2")))
+
+
+def test_price_as_of_within_and_across_buckets(fills, prices, rows):
+    expected = [(1, 10, D[0], None), (1, 10, D[2], 11.0), (1, 11, D[1], None), (1, 12, D[1], 6.0), (1, 12, D[1], 6.0), (2, 10, D[3], 11.0), (2, 10, D[3], 11.0), (3, 13, D[0], None), (4, 11, D[1], None)]
+    for bucket in ("year", "month", "week"):
+        assert rows(pf.price_as_of(fills, prices, bucket).select("account_id", "instrument_id", "trade_date", "close")) == expected
+
+
+def test_price_as_of_carries_over_empty_buckets(spark, rows):
+    fills = spark.createDataFrame([(1, 10, date(2023, 5, 1), "BUY", 1.0, 1.0, 1.0, 1, 1, 1, 1.0)], TRADES)
+    prices = spark.createDataFrame([(10, date(2020, 3, 1), 4.0), (10, date(2023, 6, 1), 9.0)], PRICES)
+    assert rows(pf.price_as_of(fills, prices).select("close")) == [(4.0,)]
+
+
+def test_value_series_spans(fills, prices, rows):
+    found = rows(pf.value_series(fills, prices).where("account_id = 1"))
+    # instrument 10 is held from day 0 to day 2 and priced on day 1; 11 from day 1, priced on day 2; 12 from day 1, priced on day 5
+    assert found == [(1, D[1], 55.0), (1, D[2], -63.0), (1, D[5], 54.0)]
+
+
+def test_average_buy_cost(fills, rows):
+    found = rows(pf.average_buy_cost(fills))
+    assert (1, 12, 6.0) in found and (4, 11, None) in found and (1, 11, None) in found and (2, 10, 10.0) in found
+
+
+def test_drift_takes_missing_as_zero(spark, rows):
+    weighted = spark.createDataFrame([(1, 10, 0.5, 9.0), (1, 11, 0.5, 9.0)], "account_id long, instrument_id long, weight double, value double")
+    targets = spark.createDataFrame([(1, 10, 0.48), (1, 12, 0.3)], "account_id long, instrument_id long, target double")
+    assert rows(pf.drift(weighted, targets, 0.05)) == [(1, 11, 0.5, 0.0, 0.5), (1, 12, 0.0, 0.3, -0.3)]
+
+
+def test_unpriced(fills, prices, rows):
+    assert rows(pf.unpriced(pf.positions(fills), prices)) == [(3, 13, 2.0)]
+
+
+def test_layout_changes_nothing(spark, fills, prices, rows):
+    for other in (fills.repartition(1), fills.repartition(7), fills.orderBy(F.rand(3))):
+        assert rows(pf.running_position(other)) == rows(pf.running_position(fills))
+        assert rows(pf.price_as_of(other, prices)) == rows(pf.price_as_of(fills, prices))
+        assert rows(pf.value_series(other, prices)) == rows(pf.value_series(fills, prices))
+
+
+def test_no_nested_loops(fills, prices):
+    for df in (pf.value_series(fills, prices), pf.price_as_of(fills, prices)):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_instrument_with_most_rows(spark, rows):
+    many = spark.range(20_000).selectExpr("id % 3 AS account_id", "CASE WHEN id % 10 < 9 THEN 1L ELSE id % 50 END AS instrument_id", "date_add(DATE '2010-01-01', CAST(id % 3000 AS INT)) AS trade_date", "'BUY' AS side", "1D AS quantity", "1D AS signed_quantity", "1D AS price", "id AS l_orderkey", "1 AS l_linenumber", "1L AS l_suppkey", "1D AS l_extendedprice")
+    prices = spark.range(3000).selectExpr("1L AS instrument_id", "date_add(DATE '2010-01-01', CAST(id AS INT)) AS price_date", "CAST(id AS DOUBLE) AS close").where("close % 7 = 0")
+    found = pf.price_as_of(many, prices).where("instrument_id = 1")
+    wrong = found.where("close <> floor(datediff(trade_date, DATE '2010-01-01') / 7) * 7 OR close IS NULL")
+    assert found.count() == many.where("instrument_id = 1").count() and wrong.count() == 0
