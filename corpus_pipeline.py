@@ -43,9 +43,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of what they decode to."""
     ranks = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks)
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,8 +1,7 @@
 """Byte-level BPE by way of the distinct words of the corpus.
 
 Texts are cut into pre-tokens by the vocabulary's pattern. A block (texts of about BLOCK_BYTES) numbers its
-distinct pre-tokens by frequency and keeps, for each text, the numbers in text order; these are its
-positions. The distinct pre-tokens go out once per block, dealt by a hash into slices. A slice
+distinct pre-tokens and keeps, for each text, the numbers in text order; these are its positions. The distinct pre-tokens go out once per block, dealt by a hash into slices. A slice
 meets the same word from all blocks, encodes it once, and sends the ids back to the blocks, where the
 numbers are replaced in order. What moves is numbers and distinct words, packed, never texts. A word that
 every block has is one entry per block, so hot words don't gather.
@@ -34,6 +33,8 @@ from tallyfold.llm.common import pack, pack_sorted, settle, ship, text_bytes, un
 
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 32 << 20
+#: Rows of a batch of results.
+ROWS = 256
 
 _encodings: dict[int, tiktoken.Encoding] = {}
 
@@ -79,32 +80,32 @@ class _Block:
         self.ids.append(doc_id)
         self.size += size
 
-    def rows(self, block: int, n_slices: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(self.numbers), np.int64)
-        for t in self.texts:
-            counts += np.bincount(t, minlength=len(counts)) if len(t) > len(counts) // 8 else 0
-            if len(t) <= len(counts) // 8:
-                np.add.at(counts, t, 1)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        table = {"block": [], "slice": [], "doc_id": [], "codes": [], "lengths": [], "words": []}
-
-        def put(**row) -> None:
-            for k, column in table.items():
-                column.append(row.get(k))
-
-        for doc_id, t in zip(self.ids, self.texts, strict=True):
-            put(block=block, doc_id=doc_id, codes=pack(rank[t]))
-        slices: dict[int, list[tuple[int, bytes]]] = {}
-        for word, number in self.numbers.items():
-            word = word.encode()
-            slices.setdefault(zlib.crc32(word) % n_slices, []).append((int(rank[number]), word))
-        for k, entries in slices.items():
-            entries.sort()
-            lengths, words = pack_words([w for _, w in entries])
-            put(block=block, slice=k, codes=pack_sorted(np.array([r for r, _ in entries], np.uint64)), lengths=lengths, words=words)
-        yield pa.RecordBatch.from_pydict(table, schema)
+    def rows(self, block: int, n_slices: int, schema: pa.Schema) -> pa.RecordBatch:
+        """A row with the texts, then one with the words of each slice.
+
+        Words seen more than once are numbered from 1 by frequency, those seen once after them in text order, so
+        that in the texts 0 can stand for the next of these.
+        """
+        text = np.concatenate(self.texts)
+        counts = np.bincount(text, minlength=len(self.numbers))
+        order = np.argsort(np.where(counts > 1, -counts, 0), kind="stable")
+        often = int((counts > 1).sum())
+        code = np.empty(len(order), np.uint32)
+        code[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
+        codes = code[text]
+        codes[codes > often] = 0
+        lengths = pack(np.array([len(t) for t in self.texts], np.uint32))
+        table = {"block": [block], "slice": [None], "doc_ids": [self.ids], "often": [often], "codes": [pack(codes)], "lengths": [lengths], "words": [None]}
+        words = [w.encode() for w in self.numbers]
+        words = [words[i] for i in order.tolist()]
+        dealt = np.fromiter((zlib.crc32(w) % n_slices for w in words), np.int64, len(words))
+        for k in range(n_slices):
+            mine = np.flatnonzero(dealt == k)
+            if len(mine):
+                lengths, packed = pack_words([words[i] for i in mine.tolist()])
+                for name, value in (("block", block), ("slice", k), ("doc_ids", None), ("often", None), ("codes", pack_sorted(mine.astype(np.uint64))), ("lengths", lengths), ("words", packed)):
+                    table[name].append(value)
+        return pa.RecordBatch.from_pydict(table, schema)
 
 
 def _numbered(pattern: str, n_slices: int, schema: pa.Schema) -> Callable:
@@ -116,12 +117,12 @@ def _numbered(pattern: str, n_slices: int, schema: pa.Schema) -> Callable:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                if block.size and block.size + len(text) > BLOCK_BYTES:
-                    yield from block.rows(first + made, n_slices, schema)
+                if block.ids and block.size + len(text) > BLOCK_BYTES:
+                    yield block.rows(first + made, n_slices, schema)
                     made, block = made + 1, _Block()
                 block.add(doc_id, find(text), len(text))
         if block.ids:
-            yield from block.rows(first + made, n_slices, schema)
+            yield block.rows(first + made, n_slices, schema)
 
     return number
 
@@ -150,42 +151,72 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _reassembled(schema: pa.Schema) -> Callable:
+class TokenBytes:
+    """The table of token bytes, by rank."""
+
+    def __init__(self, data: bytes) -> None:
+        tokens = {rank: token for token, rank in ranks_of(data).items()}
+        self.lengths = np.zeros(max(tokens, default=-1) + 1, np.int64)
+        for rank, token in tokens.items():
+            self.lengths[rank] = len(token)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(tokens[r] for r in sorted(tokens)), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        return self.flat[runs(self.starts[ids], self.lengths[ids])].tobytes()
+
+
+def _reassembled(schema: pa.Schema, data: bytes) -> Callable:
     def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        codes = [unpack_sorted(c).astype(np.int64) for c in words["codes"].to_pylist()]
-        n = sum(map(len, codes))
+        places = [unpack_sorted(c).astype(np.int64) for c in words["codes"].to_pylist()]
+        n = sum(map(len, places))
         counts, starts, ids, held = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-        for code, c, i in zip(codes, words["counts"].to_pylist(), words["ids"].to_pylist(), strict=True):
-            counts[code] = c = unpack(c, np.uint32).astype(np.int64)
-            starts[code] = held + np.cumsum(c) - c
+        for place, c, i in zip(places, words["counts"].to_pylist(), words["ids"].to_pylist(), strict=True):
+            counts[place] = c = unpack(c, np.uint32).astype(np.int64)
+            starts[place] = held + np.cumsum(c) - c
             ids.append(unpack(i, np.uint32))
             held += len(ids[-1])
         all_ids = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype("<u4")
-        out = []
-        for packed in texts["codes"].to_pylist():
-            code = unpack(packed, np.uint32)
-            out.append(all_ids[runs(starts[code], counts[code])].tobytes())
-        return pa.table({"doc_id": texts["doc_id"], "ids": pa.array(out, pa.binary())}).cast(schema)
+        code = unpack(texts["codes"][0].as_py(), np.uint32)
+        once = code == 0
+        code[once] = texts["often"][0].as_py() + 1 + np.arange(once.sum(), dtype=np.uint32)
+        ends = np.cumsum(unpack(texts["lengths"][0].as_py(), np.uint32), dtype=np.int64)
+        doc_ids = texts["doc_ids"].combine_chunks().flatten()
+        tokens = TokenBytes(data) if "decoded" in schema.names else None
+        batches = []
+        for first in range(0, len(ends), ROWS):
+            encoded = []
+            for d in range(first, min(first + ROWS, len(ends))):
+                own = code[ends[d - 1] if d else 0 : ends[d]].astype(np.int64) - 1
+                encoded.append(all_ids[runs(starts[own], counts[own])])
+            columns = [doc_ids.slice(first, len(encoded)), pa.array([e.tobytes() for e in encoded], pa.binary())]
+            if tokens:
+                columns.append(pa.array(map(tokens.of, encoded), pa.binary()))
+            batches.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(batches, schema)
 
     return reassemble
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id and ids, binary."""
-    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per document: doc_id and ids, binary; with `decoded`, the bytes that these ids stand for, if asked."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
     ship(docs.sparkSession)
     data = read_ranks(ranks_path)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_slices = 1 + text_bytes(texts, "text") // SLICE_BYTES
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    layout = f"block bigint, slice int, doc_id {kind}, codes binary, lengths binary, words binary"
-    schema = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("doc_id", to_arrow_type(texts.schema["doc_id"].dataType)), *((c, pa.binary()) for c in ("codes", "lengths", "words"))])
+    kind = texts.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+    layout = f"block bigint, slice int, doc_ids array<{kind.simpleString()}>, often int, codes binary, lengths binary, words binary"
+    schema = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("doc_ids", pa.list_(arrow)), ("often", pa.int32()), *((c, pa.binary()) for c in ("codes", "lengths", "words"))])
     numbered = settle(texts.mapInArrow(_numbered(pattern, n_slices, schema), layout))
     words = numbered.where("slice IS NOT NULL").select("slice", "block", "codes", "lengths", "words").groupBy("slice").applyInArrow(_encoded(data, pattern), "block bigint, codes binary, counts binary, ids binary")
-    rows = numbered.where("slice IS NULL").select("block", "doc_id", "codes")
-    out = rows.select("doc_id").schema.add("ids", "binary")
-    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassembled(to_arrow_schema(out)), out)
+    rows = numbered.where("slice IS NULL").select("block", "doc_ids", "often", "codes", "lengths")
+    binary = ["ids", *["decoded"] * decoded]
+    out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.BinaryType()) for c in binary)])
+    joined = rows.groupBy("block").cogroup(words.groupBy("block"))
+    return joined.applyInArrow(_reassembled(pa.schema([("doc_id", arrow), *((c, pa.binary()) for c in binary)]), data), out)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -194,16 +225,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     data = read_ranks(ranks_path)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in ranks_of(data).items()}
-        lengths = np.zeros(max(tokens, default=-1) + 1, np.int64)
-        for rank, token in tokens.items():
-            lengths[rank] = len(token)
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens[r] for r in sorted(tokens)), np.uint8)
+        tokens = TokenBytes(data)
         for batch in batches:
             out = []
             for ids in batch.column(batch.schema.get_field_index(ids_col)):
                 ids = None if ids.as_py() is None else np.frombuffer(ids.as_py(), "<u4")
-                out.append(None if ids is None else flat[runs(starts[ids], lengths[ids])].tobytes())
+                out.append(None if ids is None else tokens.of(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(look_up, T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())]))
