@@ -43,9 +43,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     fixed = F.coalesce(F.sum(most * F.col("source_size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum("source_size").over(Window.partitionBy()) * share
-    level = own.withColumn("level", (total - fixed) / open_weight)
-    # the level is that of the first source, by full_at, which it doesn't fill
-    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(Window.partitionBy())
+    level = own.withColumn("level", (total - fixed) / open_weight).withColumn("step", F.row_number().over(order))
+    # the level is that of the first source, in that order, which it doesn't fill
+    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("step", "level"))).over(Window.partitionBy())
     level = level.withColumn("level", first["level"])
     target = F.least(most * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), most * F.col("source_size")))
     return level.select("source", "source_size", "weight", target.cast("double").alias("target"))
