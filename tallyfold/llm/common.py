@@ -66,7 +66,7 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes, dtype) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).ravel()
+    return np.array(raw.reshape(size, len(raw) // size).T, order="C").view(dtype).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:

@@ -1,0 +1,81 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyfold.llm import language
+from tallyfold.llm.language import ByteNetwork, keep_known, predict, train, windows_of
+
+SMALL = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, score string, lang_pred string"
+
+
+@pytest.fixture(scope="module")
+def network(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    return train(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2, per_language=600)
+
+
+def test_held_out_accuracy(spark, network):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("pmod(crc32(cast(cast(doc_id AS STRING) AS BINARY)), 4) = 2")
+    found = predict(docs.select("doc_id", "lang", "text"), network).collect()
+    assert len(found) > 200 and np.mean([r.lang == r.lang_pred for r in found]) > 0.97
+    assert all(0 < r.score <= 1 for r in found)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    net = ByteNetwork(["a", "b", "c"])
+    net.weights = {k: v.astype(np.float64) if k in ("bias", "out", "out_bias") else v for k, v in net.weights.items()}
+    windows, wanted = rng.integers(0, 256, (5, language.WINDOW), dtype=np.uint8), np.array([0, 1, 2, 0, 1])
+    loss = lambda: -np.log(net.probabilities(windows)[np.arange(5), wanted]).mean()
+    grads = net.gradients(windows, wanted)
+    for k, step in (("out", 1e-4), ("bias", 1e-4), ("out_bias", 1e-4), ("filters", 1e-2), ("embedding", 1e-2)):
+        at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
+        net.weights[k][at] += step
+        up = loss()
+        net.weights[k][at] -= 2 * step
+        slope = (up - loss()) / (2 * step)
+        net.weights[k][at] += step
+        assert abs(slope - grads[k][at]) < 0.1 * abs(slope) + 1e-6, k
+
+
+def test_all_windows_count():
+    windows, counts = windows_of([b"", b"a" * language.WINDOW, b"b" * (language.WINDOW + 1)])
+    assert counts.tolist() == [1, 1, 2] and len(windows) == 4 and windows[3, 1] == 0
+
+
+def test_batching_changes_nothing(spark, network):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(200)
+    order = lambda df: [(r.doc_id, r.lang_pred, round(r.score, 5)) for r in sorted(df.collect())]
+    assert order(predict(docs, network)) == order(predict(docs.repartition(7), network))
+
+
+def test_label_source_and_identifier_are_no_inputs(spark, network):
+    rows = [(1, "the of and", "xx", "s", "p"), (2, "the of and", None, None, None)]
+    found = predict(spark.createDataFrame(rows, DOCS).select("doc_id", "lang", "text"), network).collect()
+    assert len({(r.lang_pred, r.score) for r in found}) == 1
+
+
+def test_unknown_repeats_long_and_empty(spark, network):
+    rows = [(1, None, "en", "s", "p"), (2, "", "en", "s", "p"), (3, "123 %%% \n", "en", "s", "p"), (4, "le " * 100_000, "fr", "s", "p"), (4, "le " * 100_000, "fr", "s", "p"), (None, "x", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = sorted(((r.doc_id, r.lang_pred == "und", r.score) for r in predict(docs, network).collect()), key=str)
+    assert [f[:2] for f in found] == [(1, True), (2, True), (3, True), (4, False), (4, False), (None, False)] and found[0][2] == 0.0
+    assert predict(docs, network).columns == ["doc_id", "lang", "lang_pred", "score"]
+    kept = keep_known(docs, network)
+    assert kept.columns == docs.columns and kept.count() == 3
+    assert predict(docs.limit(0), network).count() == 0
+
+
+def test_without_labels_all_is_unknown(spark):
+    docs = spark.createDataFrame([(1, "text", None, "s", "p")], DOCS)
+    net = train(docs, F.lit(True))
+    assert net is None and predict(docs, net).first().lang_pred == "und"
+
+
+def test_sample_is_bounded(spark):
+    random.seed(1)
+    docs = spark.createDataFrame([(i, "wort " * random.randint(1, 90), "de", "s", "p") for i in range(300)], DOCS)
+    assert language.training_windows(docs, F.lit(True), "doc_id", "text", "lang", 50).count() == 50

@@ -1,0 +1,101 @@
+import itertools
+
+import numpy as np
+import pytest
+
+from tallyfold.llm.components import components
+from tallyfold.llm.near_dedup import bands_of, drop_near_duplicates, near_duplicates, shingles, sketches, words_of
+
+DOCS = "doc_id long, text string, component string, band int"
+
+
+def plain(rows, ngram, percent=80):
+    """doc_id, set size, component by comparing all pairs."""
+    sets = [(i, shingles(words_of(t), ngram)) for i, t, *_ in rows]
+    top = {i: i for i, _ in sets if i is not None}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if i is not None and j is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = find(i), find(j)
+            top[max(x, y)] = min(x, y)
+    return sorted(((i, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets), key=str)
+
+
+def found(spark, rows, ngram, percent=80):
+    df = near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), ngram, percent)
+    return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[int(rng.integers(len(words)))] = f"e{rng.integers(10**6)}"
+    return " ".join(words)
+
+
+def corpus(seed):
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 500, 120)]
+    other = base[:60] + [f"o{k}" for k in range(60)]
+    near = [edited(rng, base, int(rng.integers(0, 6))) for _ in range(60)]
+    half = [edited(rng, other, int(rng.integers(0, 4))) for _ in range(30)]
+    far = [" ".join(f"u{k}" for k in rng.integers(0, 5000, rng.integers(1, 80))) for _ in range(60)]
+    chain = [" ".join(f"c{k}" for k in range(i * 5, i * 5 + 60)) for i in range(20)]  # each like the next, the ends unlike
+    texts = near + half + far + chain + near[:20]
+    order = rng.permutation(len(texts))
+    return [(int(i), texts[int(k)], "x", 0) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("ngram", [4, 5])
+def test_equals_all_pairs(spark, ngram):
+    rows = corpus(ngram)
+    assert found(spark, rows, ngram) == plain(rows, ngram)
+
+
+def test_nulls_short_case_repeats_and_empty(spark):
+    rows = [(9, None, "c", 0), (8, "", "c", 0), (7, " \t ", "c", 0), (6, "A b", "c", 0), (5, "a\nB", "c", 0), (4, "a", "c", 0), (3, "É a b c d e", "c", 0), (2, "é a b c d e", "c", 0), (1, "x y z u v w", "c", 0), (1, "x y z u v w", "c", 0), (None, "a b", "c", 0), (None, "n", "c", 0), (0, "q " * 100_000, "c", 0), (10, "Q " * 50_000, "c", 0)]
+    assert found(spark, rows, 4) == plain(rows, 4)
+    assert found(spark, [], 4) == []
+
+
+def test_identifier_of_two_texts_ties_their_groups(spark):
+    a, b = " ".join("abcdefghij"), " ".join("klmnopqrst")
+    rows = [(1, a, "x", 0), (5, a, "x", 0), (5, b, "x", 0), (7, b, "x", 0), (8, "z z z z z", "x", 0)]
+    assert found(spark, rows, 4) == plain(rows, 4)
+
+
+def test_drop_keeps_one_of_each_and_all_columns(spark):
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, _, keep in plain(rows, 5) if keep)
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_sketches_are_full_and_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(2)
+    common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
+    full = sketches([np.concatenate([common, a]), np.concatenate([common, b]), a[:1], a[:3]], 1024)
+    assert (full != np.iinfo(np.uint64).max).all()
+    assert abs((full[0] == full[1]).mean() - 0.8) < 0.05
+    assert bands_of(full[:, :128]).shape == (4, 32)
+
+
+def test_sketch_does_not_depend_on_company():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 5, 700)]
+    together = sketches(sets)
+    assert all((sketches([s])[0] == together[i]).all() for i, s in enumerate(sets))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50, 90)] + [(3, 1), (3, 2), (2, 2), (7, 9), (9, 7)]
+    found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert found == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7} | dict.fromkeys(range(50, 91), 50)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
