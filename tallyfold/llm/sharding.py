@@ -96,8 +96,8 @@ def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int, ties: list[s
     placed = dealt.join(F.broadcast(starts), "_part")
     rank = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     ranked = placed.withColumn("_rank", rank)
-    shard = F.floor(F.col("_rank") * n_shards / F.col("_total")).cast("int")
-    first = F.ceil(F.col("shard") * F.col("_total") / n_shards).cast("long")
+    shard = F.expr(f"CAST(_rank * {n_shards} div _total AS INT)")
+    first = F.expr(f"(shard * _total + {n_shards - 1}) div {n_shards}")
     return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).drop("_part", "_start", "_total", "_rank")
 
 
