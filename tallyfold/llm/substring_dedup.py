@@ -38,32 +38,82 @@ CELLS_PER_BYTE = 1.6
 LAST = np.iinfo(np.int64).max
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Odd multipliers of the two halves of a digest, for bytes of a word and for words of a window.
+BYTE_STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+WORD_STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Texts that are hashed together, in bytes; and the longest word that is hashed with the others.
+CHUNK = 1 << 19
+LONG = 64
+
+
+def word_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word of the texts, one after the other, and the number of words of each text.
+
+    A hash is a polynomial of the word's bytes, found for all words at once; words beyond LONG bytes, for which
+    such polynomials are weak, are hashed one by one.
+    """
+    hashes, counts = [], []
+    group: list[bytes] = []
+
+    def flush() -> None:
+        data = np.frombuffer(b" ".join(group), np.uint8)
+        space = (data == 32) | (data - np.uint8(9) < 5)
+        edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        starts, ends = edge[::2], edge[1::2]
+        limits = np.cumsum([len(t) + 1 for t in group])
+        counts.append(np.diff(np.searchsorted(starts, limits), prepend=0))
+        if not len(starts):
+            return
+        values = np.where(space, np.uint64(0), data + np.uint64(1))  # so that NUL counts too
+        out = np.empty((len(starts), 2), np.uint64)
+        for half, step in enumerate(BYTE_STEPS):
+            sums = np.add.reduceat(values * _powers(step, len(values)), starts)
+            out[:, half] = mix(sums * _powers(pow(step, -1, 2**64), len(values))[starts])
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            out[i] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[i] : ends[i]].tobytes()), np.uint64)
+        hashes.append(out)
+
+    held = 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held > CHUNK:
+            flush()
+            group, held = [], 0
+    if group:
+        flush()
+    return np.concatenate([np.zeros((0, 2), np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+
 class Block:
     """Documents of a block in order of their identifiers, and the digests of all their windows."""
 
     def __init__(self, table: pa.Table, width: int) -> None:
-        docs = sorted(zip((LAST if d is None else d for d in table["doc_id"].to_pylist()), table["text"].to_pylist(), strict=True), key=lambda r: r[0])
-        numbers: dict[bytes, int] = {}
-        self.ids = np.array([d for d, _ in docs], np.int64)
-        self.words = [(text or "").encode().split() for _, text in docs]
-        words = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in self.words for w in ws), np.int64)
-        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), np.uint64).reshape(-1, 2)
-        lengths = np.array([len(ws) for ws in self.words], np.int64)
-        starts = np.cumsum(lengths) - lengths
+        ids = table["doc_id"].combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        texts = table["text"].combine_chunks().cast(pa.binary()).to_pylist()
+        self.ids, self.texts = ids[order], [texts[i] or b"" for i in order.tolist()]
+        digests, self.lengths = word_digests(self.texts)
+        starts = np.cumsum(self.lengths) - self.lengths
         # windows that cross into the next document are taken out
-        doc = np.repeat(np.arange(len(docs)), lengths)
-        last = len(words) - width + 1
-        inside = np.flatnonzero(doc[: max(0, last)] == doc[width - 1 :]) if last > 0 else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(ids)), self.lengths)
+        last = max(0, len(digests) - width + 1)
+        inside = np.flatnonzero(doc[:last] == doc[width - 1 :]) if last else np.zeros(0, np.int64)
         self.doc, self.place = doc[inside], inside - starts[doc[inside]]
-        self.high, self.low = (self._rolled(digests[:, half][words], inside, width, half) for half in (0, 1))
+        self.high, self.low = (self._rolled(digests[:, half], inside, width, half) for half in (0, 1))
 
     @staticmethod
-    def _rolled(values: np.ndarray, inside: np.ndarray, width: int, half: int) -> np.ndarray:
-        step = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[half])
-        total = np.zeros(max(0, len(values) - width + 1), np.uint64)
-        for k in range(width):
-            total = total * step + values[k : k + len(total)]
-        return mix(total[inside])
+    def _rolled(words: np.ndarray, inside: np.ndarray, width: int, half: int) -> np.ndarray:
+        step = WORD_STEPS[half]
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * _powers(step, len(words)), out=sums[1:])
+        return mix((sums[inside + width] - sums[inside]) * _powers(pow(step, -1, 2**64), len(words) + 1)[inside])
 
     def cells(self, row: int, bits: int) -> np.ndarray:
         return mix(self.high ^ np.uint64(0xD6E8FEB86659FD93 * (row + 1) % 2**64)) >> np.uint64(64 - bits)
@@ -126,13 +176,12 @@ def _candidates(block: Block, answers: dict[int, np.ndarray], bits: int, n: int)
         maybe &= among(own, cells[np.concatenate([*marks, np.zeros(0, bool)])])
     at = np.flatnonzero(maybe)
     at = at[np.lexsort((at, block.low[at], block.high[at]))]
-    return at[_first(block, at)]
+    return at[_new(block.high[at], block.low[at])]
 
 
-def _first(block: Block, at: np.ndarray) -> np.ndarray:
-    """Which of sorted positions begin a run of equal digests."""
-    high, low = block.high[at], block.low[at]
-    new = np.ones(len(at), bool)
+def _new(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which of sorted digests differ from the one before."""
+    new = np.ones(len(high), bool)
     new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     return new
 
@@ -153,53 +202,50 @@ def _estimated(width: int, bits: int, n: int, n_exact: int) -> Callable:
 
 def _grouped(table: pa.Table) -> pa.Table:
     high = [unpack_sorted(c) for c in table["high"].to_pylist()]
-    low = np.concatenate([unpack(c, np.uint64) for c in table["low"].to_pylist()])
-    least = np.concatenate([unpack(c, np.int64) for c in table["least"].to_pylist()])
-    ends = np.cumsum([len(h) for h in high])
-    high = np.concatenate(high)
-    order = np.lexsort((least, low, high))
-    new = np.ones(len(order), bool)
-    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-    smallest = np.empty_like(least)
-    smallest[order] = least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return _bits(np.split(smallest < least, ends[:-1]), table)
-
-
-def _removed(block: Block, earlier: np.ndarray) -> np.ndarray:
-    """Which windows a smaller identifier has. earlier: positions of windows that one in another block has."""
+    low = [unpack(c, np.uint64) for c in table["low"].to_pylist()]
+    least = [unpack(c, np.int64) for c in table["least"].to_pylist()]
+    order = np.lexsort((all_least := np.concatenate(least), all_low := np.concatenate(low), all_high := np.concatenate(high)))
+    new = _new(all_high[order], all_low[order])
+    smallest = np.empty_like(all_least)
+    smallest[order] = all_least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = np.split(smallest < all_least, np.cumsum([len(h) for h in high])[:-1])
+    out = {"block": table["block"], "high": [pack_sorted(h[x]) for h, x in zip(high, later, strict=True)], "low": [pack(v[x]) for v, x in zip(low, later, strict=True)]}
+    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("high", pa.binary()), ("low", pa.binary())]))
+
+
+def _removed(block: Block, answers: pa.Table) -> np.ndarray:
+    """Which windows a smaller identifier has, in the block or, by the answers of the second pass, in another."""
+    outer = [np.concatenate([np.zeros(0, np.uint64), *(f(v) for v in answers[c].to_pylist() if v is not None)]) for c, f in (("high", unpack_sorted), ("low", lambda v: unpack(v, np.uint64)))]
     high = np.sort(block.high)
-    shared = np.unique(np.concatenate([high[1:][high[1:] == high[:-1]], block.high[earlier]]))
+    shared = np.unique(np.concatenate([high[1:][high[1:] == high[:-1]], outer[0]]))
     at = np.flatnonzero(among(block.high, shared))
-    # documents are in order of their identifiers, so the first of a run has the smallest
-    at = at[np.lexsort((at, block.low[at], block.high[at]))]
-    new = _first(block, at)
-    run = np.cumsum(new) - 1
-    ids, elsewhere = block.ids[block.doc[at]], np.zeros(len(block.high), bool)
-    elsewhere[earlier] = True
+    # the answers, then documents in order of their identifiers: the first of a run has the smallest
+    n = len(outer[0])
+    highs, lows = np.concatenate([outer[0], block.high[at]]), np.concatenate([outer[1], block.low[at]])
+    ids = np.concatenate([np.full(n, np.iinfo(np.int64).min), block.ids[block.doc[at]]])
+    order = np.lexsort((np.arange(len(ids)), lows, highs))
+    new = _new(highs[order], lows[order])
+    least = np.empty_like(ids)
+    least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     gone = np.zeros(len(block.high), bool)
-    gone[at] = (ids[new][run] < ids) | elsewhere[at[new]][run]
+    gone[at] = (least < ids)[n:]
     return gone
 
 
-def _cut(width: int, bits: int, n: int, schema: pa.Schema) -> Callable:
-    def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+def _cut(width: int, schema: pa.Schema) -> Callable:
+    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table, width)
-        marks = _answers(answers)
-        sketched = {s: m for s, m in marks.items() if s >= 0}
-        at = _candidates(block, sketched, bits, n)
-        exact = np.concatenate([*(marks[s] for s in sorted((s for s in marks if s < 0), reverse=True)), np.zeros(0, bool)])
-        gone = _removed(block, at[exact])
+        gone = _removed(block, answers)
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
         ends = np.searchsorted(block.doc, np.arange(len(block.ids) + 1))
-        for d, words in enumerate(block.words):
-            mine = slice(ends[d], ends[d + 1])
-            edges = np.zeros(len(words) + 1, np.int64)
-            first = block.place[mine][gone[mine]]
-            edges[first] += 1
-            np.subtract.at(edges, first + width, 1)
-            keep = np.cumsum(edges[:-1]) == 0
-            kept = words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()]
-            for k, v in (("doc_id", None if block.ids[d] == LAST else int(block.ids[d])), ("n_words", len(words)), ("n_removed", len(words) - len(kept)), ("kept", b" ".join(kept).decode())):
+        for d, (words, n) in enumerate(zip(map(bytes.split, block.texts), block.lengths.tolist(), strict=True)):
+            first = block.place[ends[d] : ends[d + 1]][gone[ends[d] : ends[d + 1]]]
+            if len(first):
+                edges = np.zeros(n + 1, np.int64)
+                edges[first] += 1
+                edges[first + width] -= 1
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
+            for k, v in (("doc_id", None if block.ids[d] == LAST else int(block.ids[d])), ("n_words", n), ("n_removed", n - len(words)), ("kept", b" ".join(words).decode())):
                 out[k].append(v)
         return pa.table(out, schema=schema)
 
@@ -220,8 +266,6 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     cells = blocks.applyInArrow(_sketched(width, bits, n), "slice long, block long, cells binary")
     counted = cells.groupBy("slice").applyInArrow(_merged, BITS)
     digests = blocks.cogroup(counted.groupBy("block")).applyInArrow(_estimated(width, bits, n, n), "slice long, block long, high binary, low binary, least binary")
-    # slices of the second pass have negative numbers where both kinds of answers meet
-    settled = digests.groupBy("slice").applyInArrow(_grouped, BITS).withColumn("slice", -1 - F.col("slice"))
+    settled = digests.groupBy("slice").applyInArrow(_grouped, "block long, high binary, low binary")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    answers = counted.unionByName(settled)
-    return blocks.cogroup(answers.groupBy("block")).applyInArrow(_cut(width, bits, n, schema), "doc_id long, n_words long, n_removed long, kept string")
+    return blocks.cogroup(settled.groupBy("block")).applyInArrow(_cut(width, schema), "doc_id long, n_words long, n_removed long, kept string")
