@@ -8,9 +8,11 @@ independent hashes. ROWS bins make a band; documents that share a band are candi
 of 0.8 a pair shares none of the 32 bands with probability 5e-8.
 
 Copies (equal word sequences) are one node, their smallest identifier. A band's group is never paired up:
-each member is paired with the smallest of the group, which is exact where all are similar to it. Where a group
-spans several components after that, the pairs across its components that are left are checked too. Every
-pair is confirmed on the full sets of words before it links. Components come from the links.
+each member is paired with the most central of the group, which is exact where all are similar to it. Where a group
+spans several components after that, pairs across its components are checked too, but for those that an exact bound
+rules out: sets need most of their shingles in common, and what each has in common with others, and with
+the lead of the group, is known. Every pair is confirmed on the
+full sets of words before it links. Components come from the links.
 
 Groups are formed by aggregations with map-side sums and joins that adaptive execution can split, so a group
 of any size has no task of its own.
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import mix, settle, ship
+from tallyfold.llm.common import distinct, mix, settle, ship, small
 from tallyfold.llm.components import components
 
 COORDINATES = 128
@@ -41,6 +43,9 @@ NGRAM = 5
 PERCENT = 80
 #: Shingles that are sketched at once.
 STEP = 1 << 17
+#: Classes of shingles, by their hash, in which what two sets can have in common is bounded.
+CLASSES = 64
+UNBOUNDED = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,7 +65,7 @@ def shingle_hashes(words: list[bytes], known: dict[bytes, int], ngram: int) -> n
     total = np.full(max(0, len(words) - n + 1) if n else 0, n, np.uint64)
     for k in range(n):
         total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(total)]
-    return np.unique(mix(total))
+    return distinct(mix(total))
 
 
 class _Hashes(dict):
@@ -132,7 +137,7 @@ def _sketched(ngram: int):
 
 
 def _confirmed(ngram: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("similar", pa.bool_())])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, set()
@@ -144,19 +149,21 @@ def _confirmed(ngram: int, percent: int):
                     first = shingles(words_of(last[1]), ngram)
                 second = shingles(words_of(y.as_py()), ngram)
                 both = len(first & second)
-                if both and 100 * both >= percent * (len(first) + len(second) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], schema=schema)
+                out.append((a, b, both, both > 0 and 100 * both >= percent * (len(first) + len(second) - both)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return confirm
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. texts: doc_id, text."""
+    """Each of the pairs (a, b) with both, the size of the intersection of their full sets, and similar. texts: doc_id, text.
+
+    Where an identifier has several texts, their largest intersection counts.
+    """
     named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
     own = texts.join(named, "doc_id", "left_semi")
     joined = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(_confirmed(ngram, percent), "a long, b long").distinct()
+    return joined.select("a", "b", "x", "y").mapInArrow(_confirmed(ngram, percent), "a long, b long, both long, similar boolean").groupBy("a", "b").agg(F.max("both").alias("both"), F.max("similar").alias("similar"))
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,13 +178,14 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     members = rows.select("doc_id", "n_shingles", "digest")
     banded = rows.where("digest IS NOT NULL").join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     banded = banded.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("other")).where("lead <> other").drop("other")
-    shared = settle(banded.join(leads, "band"))
+    shared = settle(_led(banded))
     led = settle(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    links = settle(confirm(led, texts, ngram, percent))
+    checked = settle(confirm(led, texts, ngram, percent))
+    links = checked.where("similar").select("a", "b")
     labels = components(links)
-    across = settle(_across(shared, labels).join(led, ["a", "b"], "left_anti"))
-    links = links.union(confirm(across, texts, ngram, percent))
+    sizes = rows.where("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.min("n_shingles").alias("size"))
+    across = settle(_across(shared, labels, checked, texts, sizes, ngram, percent).join(led, ["a", "b"], "left_anti"))
+    links = links.union(confirm(across, texts, ngram, percent).where("similar").select("a", "b"))
     # a document that repeats an identifier of another text ties the nodes of both
     twins = members.join(nodes, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(twins))
@@ -186,17 +194,87 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in a band whose components differ."""
-    own = shared.select("band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _led(banded: DataFrame) -> DataFrame:
+    """band, node and lead for bands of several nodes; the lead is the node that meets most others in its bands."""
+    groups = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = banded.join(groups, "band")
+    meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
+    shared = settle(shared.drop("n").join(meets, "node"))
+    leads = shared.groupBy("band").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("lead"))
+    return shared.select("band", "node").join(leads, "band")
+
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """Rows of the bands whose members are of several components."""
     mixed = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    own = own.join(mixed.select("band"), "band", "left_semi")
-    left = own.select("band", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = own.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "band").where("ca <> cb AND a < b").select("a", "b").distinct()
+    return own.join(mixed.select("band"), "band", "left_semi")
+
+
+def _hashed(ngram: int):
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64())), ("classes", pa.list_(pa.int32()))])
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                hashes = [shingle_hashes(words_of(t.as_py()), known, ngram) for t in part.column(1)]
+                classes = [np.bincount((h % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) for h in hashes]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view(np.int64) for h in hashes], schema.types[1]), pa.array(classes, schema.types[2])], schema=schema)
+
+    return shingle
+
+
+def _common(nodes: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
+    """node, common (how many of its shingles another of the nodes has too) and classes (the same for each class of hashes).
+
+    A shingle that one node alone has is found by a grouped minimum and maximum, so frequent ones gather nowhere.
+    """
+    own = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    each = settle(own.mapInArrow(_hashed(ngram), "node long, hashes array<long>, classes array<int>"))
+    holders = each.select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    # hashes are unsigned; CLASSES is a power of two, so the sign doesn't matter
+    alone = holders.where("node = other").groupBy("node", F.pmod("hash", F.lit(CLASSES)).cast("int").alias("class")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    # at most CLASSES entries for each node
+    alone = alone.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("alone"))
+    left = F.transform("classes", lambda n, k: n - F.coalesce(F.try_element_at("alone", k), F.lit(0)))
+    # an identifier of several texts is never ruled out
+    left = F.when(F.col("texts") == 1, left).otherwise(F.transform("classes", lambda n: F.lit(UNBOUNDED)))
+    kept = each.groupBy("node").agg(F.max("classes").alias("classes"), F.count(F.lit(1)).alias("texts")).join(alone, "node", "left").select("node", "texts", left.alias("classes"))
+    return kept.withColumn("common", F.aggregate("classes", F.lit(0), lambda x, y: x + y))
+
+
+def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, sizes: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in a band whose components differ and whose sets can be similar at all.
+
+    Sets of sizes m and n are similar only if they have percent * (m + n) / (100 + percent) shingles in common. A node
+    has none in common with another beyond those that occur in another node; and of these, two nodes share no
+    more among those of a lead than the one with fewer of them has, and likewise among the others. Nodes for which
+    that is too few with even the smallest of a band leave it before pairs are formed. Nor do two nodes share more in
+    any class of shingles than the one with fewer of them there has.
+    """
+    own = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = settle(_mixed(own))
+    with_lead = checked.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both")
+    counted = own.join(sizes, "node").join(_common(own.select("node").distinct(), texts, ngram), "node").join(with_lead, ["lead", "node"], "left")
+    counted = counted.select("band", "node", "component", "size", "classes", "common", F.when(F.col("texts") == 1, F.coalesce("both", "size")).otherwise(UNBOUNDED).alias("led"))
+    counted = settle(counted.where(100 * F.col("common") >= percent * F.col("size")))
+    least = counted.groupBy("band").agg(F.min("size").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
+    able = counted.join(least, "band").where((100 + percent) * F.col("common") >= percent * (F.col("size") + partner)).drop("least")
+    able = settle(_mixed(able))
+    fields = ("node", "component", "size", "common", "led", "classes")
+    left, right = (able.select("band", *(F.col(c).alias(f"{side}_{c}") for c in fields)) for side in ("a", "b"))
+    led = F.least("a_led", "b_led") + F.least(F.col("a_common") - F.col("a_led"), F.col("b_common") - F.col("b_led"))
+    classes = F.aggregate(F.zip_with("a_classes", "b_classes", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    needed = percent * (F.col("a_size") + F.col("b_size"))
+    enough = ((100 + percent) * led >= needed) & ((100 + percent) * classes >= needed)
+    pairs = left.join(right, "band").where((F.col("a_component") != F.col("b_component")) & (F.col("a_node") < F.col("b_node")) & enough)
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs in their own columns with one document of each component, the one of the smallest identifier."""
     gone = near_duplicates(docs, ngram, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = small(settle(gone))
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
