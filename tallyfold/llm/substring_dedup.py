@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import mix, pack, pack_sorted, ship, text_bytes, unpack, unpack_sorted
+from tallyfold.llm.common import distinct, mix, pack, pack_sorted, ship, text_bytes, unpack, unpack_sorted
 
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 32 << 20
@@ -130,7 +130,7 @@ def _sketched(width: int, bits: int, n: int) -> Callable:
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
         block, out = Block(table, width), {"slice": [], "block": [], "cells": []}
         for row in range(DEPTH):
-            cells = np.unique(block.cells(row, bits))
+            cells = distinct(block.cells(row, bits))
             for i, part in _slices(cells, bits, n):
                 out["slice"].append(row * n + i)
                 out["block"].append(key[0].as_py())
@@ -171,7 +171,7 @@ def _candidates(block: Block, answers: dict[int, np.ndarray], bits: int, n: int)
     maybe = np.ones(len(block.high), bool)
     for row in range(DEPTH):
         own = block.cells(row, bits)
-        cells = np.unique(own)
+        cells = distinct(own)
         marks = [answers[row * n + i] for i, _ in _slices(cells, bits, n)]
         maybe &= among(own, cells[np.concatenate([*marks, np.zeros(0, bool)])])
     at = np.flatnonzero(maybe)
@@ -217,7 +217,7 @@ def _removed(block: Block, answers: pa.Table) -> np.ndarray:
     """Which windows a smaller identifier has, in the block or, by the answers of the second pass, in another."""
     outer = [np.concatenate([np.zeros(0, np.uint64), *(f(v) for v in answers[c].to_pylist() if v is not None)]) for c, f in (("high", unpack_sorted), ("low", lambda v: unpack(v, np.uint64)))]
     high = np.sort(block.high)
-    shared = np.unique(np.concatenate([high[1:][high[1:] == high[:-1]], outer[0]]))
+    shared = distinct(np.concatenate([high[1:][high[1:] == high[:-1]], outer[0]]))
     at = np.flatnonzero(among(block.high, shared))
     # the answers, then documents in order of their identifiers: the first of a run has the smallest
     n = len(outer[0])
