@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import settle, shuffle_partitions
+from tallyfold.llm.common import settle, shuffle_partitions, small
 
 KEY = ("text_sha256", "n_bytes", "mark")
 
@@ -55,7 +55,11 @@ def find_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 8) -> DataFrame:
-    """docs without the rows that find_exact_duplicates drops, in their own columns."""
+    """docs without the rows that find_exact_duplicates drops, in their own columns.
+
+    Texts are shuffled only if more rows are dropped than may be broadcast.
+    """
     gone = find_exact_duplicates(docs, id_col, text_col, keep, fan_in).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    gone = small(settle(gone))
     sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")

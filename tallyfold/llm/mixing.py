@@ -8,7 +8,8 @@ is below the fraction of the rate. Of `seeds` seeds a source uses the one whose
 target (ties: the lowest), which a single aggregation finds; reruns agree.
 
 Everything is grouping by source with map-side sums, so a source with a third of the rows is no burden; the
-ordered windows run over one row per source. Repeating is an explode in place, without a shuffle.
+ordered windows run over one row per source. Few sources are broadcast to the documents, after a check of their
+number; many are joined by a shuffle. Repeating is an explode in place.
 
 Defined results: null text and null source are counted (size 0; the last source); rows that repeat an
 identifier share its draw; sources without words have target 0 and rate 0; an empty table gives an empty result.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import n_words, settle
+from tallyfold.llm.common import n_words, settle, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEEDS = 32
@@ -54,19 +55,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, seed."""
     rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
-    return rows.join(plan(rows, weights, share, most, seeds), rows["source"].eqNullSafe(F.col("_source"))).drop("_source").transform(_taken)
+    return rows.join(small(plan(rows, weights, share, most, seeds)), rows["source"].eqNullSafe(F.col("_source"))).drop("_source").transform(_taken)
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, seeds: int) -> DataFrame:
     """One row per source: _source, source_size, target, rate, seed. rows: doc_id, source, size."""
     rates = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     rates = settle(rates.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))).withColumnRenamed("source", "_source")
-    joined = rows.join(rates, rows["source"].eqNullSafe(rates["_source"]))
+    joined = rows.join(small(rates), rows["source"].eqNullSafe(rates["_source"]))
     fraction = F.col("rate") - F.floor("rate")
     extra = [F.sum(F.when(draw(F.col("doc_id"), F.lit(k)) < fraction, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(seeds)]
     drawn = joined.groupBy("_source", "source_size", "target", "rate").agg(*extra)
     miss = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds)]
-    return drawn.withColumn("seed", F.array_min(F.array(*miss))["seed"]).select("_source", "source_size", "target", "rate", "seed")
+    return settle(drawn.withColumn("seed", F.array_min(F.array(*miss))["seed"]).select("_source", "source_size", "target", "rate", "seed"))
 
 
 def _taken(rows: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def _taken(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs in their own columns, each row as often as the mix takes it."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    rates = plan(settle(sized), weights, share, most, seeds).select(F.struct("_source", "rate", "seed").alias("_rate"))
+    rates = small(plan(settle(sized), weights, share, most, seeds)).select(F.struct("_source", "rate", "seed").alias("_rate"))
     joined = docs.join(rates, docs[source_col].eqNullSafe(F.col("_rate._source")))
     rate = F.col("_rate.rate")
     copies = F.floor(rate) + F.when(draw(F.col(id_col), F.col("_rate.seed")) < rate - F.floor(rate), 1).otherwise(0)
