@@ -6,7 +6,8 @@ matrices gives all inner products with a bound: with x = s q + r (r the rest aft
 s q . s' q' by at most |s q| |r'| + |r| |s' q'| + |r| |r'|. Pairs whose upper bound is below the k-th largest
 lower bound of their query can't be among its k nearest; the others are recomputed in double precision from the
 original vectors, and a heap for each query keeps its k best. The heaps of a query's tiles are merged at the end,
-so the result is exact.
+so the result is exact. Equal rows are collapsed before blocks are formed, and an identifier of several vectors
+counts once, by its largest lower bound and then by its largest score, before anything is cut.
 
 Candidates are sent once per block of queries and queries once per block of candidates; blocks have a fixed
 size, so memory is bounded, and the products of int8 values stay exact in the floats that BLAS multiplies.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import ship
+from tallyfold.llm.common import settle, ship
 
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
@@ -66,6 +67,9 @@ def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def tile(queries: Quantised, candidates: Quantised, query_ids: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
     """For each query its k best (-score, id) of the candidates, best first."""
     best: list[list[tuple[float, int]]] = []
+    by_id = np.argsort(ids, kind="stable")
+    firsts = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[:1]] - 1))
+    repeats = len(firsts) < len(ids)
     for a in range(0, len(query_ids), STEP):
         part = slice(a, a + STEP)
         product = (queries.values[part] @ candidates.values.T).astype(np.float64)
@@ -74,6 +78,8 @@ def tile(queries: Quantised, candidates: Quantised, query_ids: np.ndarray, ids:
         bound = bound * (1 + 1e-9) + 1e-9 * queries.kept_norm[part, None] * candidates.kept_norm
         own = query_ids[part, None] == ids
         low = np.where(own, -np.inf, product - bound)
+        if repeats:
+            low = np.maximum.reduceat(low[:, by_id], firsts, axis=1)
         if low.shape[1] > k:
             low = np.partition(low, -k, axis=1)[:, -k]
         else:
@@ -83,6 +89,12 @@ def tile(queries: Quantised, candidates: Quantised, query_ids: np.ndarray, ids:
         for b in range(0, len(rows), PAIRS):
             r, c = rows[b : b + PAIRS], columns[b : b + PAIRS]
             scores[b : b + PAIRS] = inner_products(queries.vectors[part][r], candidates.vectors[c])
+        if repeats:
+            order = np.lexsort((-scores, ids[columns], rows))
+            rows, columns, scores = rows[order], columns[order], scores[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (ids[columns[1:]] != ids[columns[:-1]])
+            rows, columns, scores = rows[new], columns[new], scores[new]
         starts = np.searchsorted(rows, np.arange(len(low) + 1))
         for q in range(len(low)):
             mine = slice(starts[q], starts[q + 1])
@@ -116,7 +128,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     Identifiers are whole numbers; is_query is a condition on them (and on other columns of vectors).
     """
     ship(vectors.sparkSession)
-    own = vectors.where(F.col(id_col).isNotNull() & takes_part(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks")).withColumn("dim", F.size("vector"))
+    own = vectors.where(F.col(id_col).isNotNull() & takes_part(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
+    own = settle(own.groupBy("id", "vector").agg(F.bool_or("asks").alias("asks")).withColumn("dim", F.size("vector")))
     n, asked = own.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     across, down = 1 + n // CANDIDATE_BLOCK, 1 + asked // QUERY_BLOCK
     block = F.xxhash64("id")

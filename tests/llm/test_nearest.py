@@ -48,6 +48,21 @@ def test_nulls_zeros_lengths_repeats_and_few(spark):
     assert found(spark, [], 20) == set()
 
 
+@pytest.mark.parametrize("k", [2, 7])
+def test_repeats_fill_no_places(spark, k):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).round(1).tolist(), 0, "s") for i in range(90)]
+    rows += rows[:30] + 20 * [(91, [3 * x for x in rows[0][1]], 0, "s")]  # whole rows again, and one near vector often
+    rows += [(92 + j % 2, (np.array(rows[5][1]) * (2 + j / 10)).round(1).tolist(), 0, "s") for j in range(40)]  # identifiers of many vectors
+    assert found(spark, rows, k) == plain(rows, k)
+
+
+def test_repeats_fill_no_places_across_tiles(spark, small_blocks):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).round(1).tolist(), 0, "s") for i in range(120)]
+    assert found(spark, rows * 3, 7) == plain(rows, 7)
+
+
 def test_bounds_lose_nothing_on_near_ties():
     rng = np.random.default_rng(5)
     base = rng.normal(size=64)
