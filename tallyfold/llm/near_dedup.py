@@ -45,7 +45,8 @@ PERCENT = 80
 STEP = 1 << 17
 #: Classes of shingles, by their hash, in which what two sets can have in common is bounded.
 CLASSES = 64
-UNBOUNDED = 1 << 20
+#: Shingles in a class, as a bound that rules nothing out: more than any text has, and its multiples fit 64 bits.
+UNBOUNDED = 1 << 40
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -211,16 +212,18 @@ def _mixed(own: DataFrame) -> DataFrame:
 
 
 def _hashed(ngram: int):
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64())), ("classes", pa.list_(pa.int32()))])
+    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("hashes", pa.list_(pa.int64())), ("classes", pa.list_(pa.int64()))])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                hashes = [shingle_hashes(words_of(t.as_py()), known, ngram) for t in part.column(1)]
+                words = [words_of(t.as_py()) for t in part.column(1)]
+                digests = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
+                hashes = [shingle_hashes(w, known, ngram) for w in words]
                 classes = [np.bincount((h % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) for h in hashes]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view(np.int64) for h in hashes], schema.types[1]), pa.array(classes, schema.types[2])], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, schema.types[1]), pa.array([h.view(np.int64) for h in hashes], schema.types[2]), pa.array(classes, schema.types[3])], schema=schema)
 
     return shingle
 
@@ -231,17 +234,18 @@ def _common(nodes: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
     A shingle that one node alone has is found by a grouped minimum and maximum, so frequent ones gather nowhere.
     """
     own = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    each = settle(own.mapInArrow(_hashed(ngram), "node long, hashes array<long>, classes array<int>"))
+    each = settle(own.mapInArrow(_hashed(ngram), "node long, digest binary, hashes array<long>, classes array<long>"))
     holders = each.select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     # hashes are unsigned; CLASSES is a power of two, so the sign doesn't matter
-    alone = holders.where("node = other").groupBy("node", F.pmod("hash", F.lit(CLASSES)).cast("int").alias("class")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    alone = holders.where("node = other").groupBy("node", F.pmod("hash", F.lit(CLASSES)).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"))
     # at most CLASSES entries for each node
     alone = alone.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("alone"))
     left = F.transform("classes", lambda n, k: n - F.coalesce(F.try_element_at("alone", k), F.lit(0)))
-    # an identifier of several texts is never ruled out
-    left = F.when(F.col("texts") == 1, left).otherwise(F.transform("classes", lambda n: F.lit(UNBOUNDED)))
-    kept = each.groupBy("node").agg(F.max("classes").alias("classes"), F.count(F.lit(1)).alias("texts")).join(alone, "node", "left").select("node", "texts", left.alias("classes"))
-    return kept.withColumn("common", F.aggregate("classes", F.lit(0), lambda x, y: x + y))
+    # an identifier of several texts is never ruled out; rows that repeat one text are one
+    left = F.when(F.col("one"), left).otherwise(F.transform("classes", lambda n: F.lit(UNBOUNDED)))
+    one = (F.min("digest") == F.max("digest")).alias("one")
+    kept = each.groupBy("node").agg(F.max("classes").alias("classes"), one).join(alone, "node", "left").select("node", "one", left.alias("classes"))
+    return kept.withColumn("common", F.aggregate("classes", F.lit(0).cast("long"), lambda x, y: x + y))
 
 
 def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, sizes: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -257,7 +261,7 @@ def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame, texts: Dat
     own = settle(_mixed(own))
     with_lead = checked.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both")
     counted = own.join(sizes, "node").join(_common(own.select("node").distinct(), texts, ngram), "node").join(with_lead, ["lead", "node"], "left")
-    counted = counted.select("band", "node", "component", "size", "classes", "common", F.when(F.col("texts") == 1, F.coalesce("both", "size")).otherwise(UNBOUNDED).alias("led"))
+    counted = counted.select("band", "node", "component", "size", "classes", "common", F.when(F.col("one"), F.coalesce("both", "size")).otherwise(UNBOUNDED).alias("led"))
     counted = settle(counted.where(100 * F.col("common") >= percent * F.col("size")))
     least = counted.groupBy("band").agg(F.min("size").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
@@ -266,7 +270,7 @@ def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame, texts: Dat
     fields = ("node", "component", "size", "common", "led", "classes")
     left, right = (able.select("band", *(F.col(c).alias(f"{side}_{c}") for c in fields)) for side in ("a", "b"))
     led = F.least("a_led", "b_led") + F.least(F.col("a_common") - F.col("a_led"), F.col("b_common") - F.col("b_led"))
-    classes = F.aggregate(F.zip_with("a_classes", "b_classes", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    classes = F.aggregate(F.zip_with("a_classes", "b_classes", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
     needed = percent * (F.col("a_size") + F.col("b_size"))
     enough = ((100 + percent) * led >= needed) & ((100 + percent) * classes >= needed)
     pairs = left.join(right, "band").where((F.col("a_component") != F.col("b_component")) & (F.col("a_node") < F.col("b_node")) & enough)

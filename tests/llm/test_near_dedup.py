@@ -69,6 +69,14 @@ def test_identifier_of_two_texts_ties_their_groups(spark):
     assert found(spark, rows, 4) == plain(rows, 4)
 
 
+def test_repeats_in_bands_of_several_components(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, edited(rng, base, 8), "x", 0) for i in range(40)]  # about half alike, so bands hold several components
+    rows += rows[::2] + rows[::5] + [(3, edited(rng, base, 8), "x", 0), (7, rows[8][1], "x", 0)]
+    assert found(spark, rows, 4) == plain(rows, 4)
+
+
 def test_drop_keeps_one_of_each_and_all_columns(spark):
     rows = corpus(9)
     docs = spark.createDataFrame(rows, DOCS)
