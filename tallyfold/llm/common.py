@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -43,6 +44,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def one_row(rows: DataFrame, key: list[Column], text_col: str) -> DataFrame:
+    """Of rows that are equal in key, and so in text but for null and empty, one whole row: the smallest by the other columns.
+
+    Each input partition sends at most one row of a key on.
+    """
+    fields = rows.schema.fields
+    # what holds a map has no order of its own
+    order = [F.to_json(F.struct(rows[f.name])) if re.search("map<|variant", f.dataType.simpleString()) else rows[f.name] for f in fields if f.name != text_col]
+    whole = rows.select(*(k.alias(f"_key{i}") for i, k in enumerate(key)), F.struct(rows[text_col].isNull(), *order).alias("_order"), F.struct(*(rows[f.name] for f in fields)).alias("_row"))
+    return whole.groupBy(*(f"_key{i}" for i in range(len(key)))).agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's modules to the executors, for functions that run in Python there."""
     context = spark.sparkContext

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import settle, shuffle_partitions, small
+from tallyfold.llm.common import one_row, settle, shuffle_partitions, small
 
 KEY = ("text_sha256", "n_bytes", "mark")
 
@@ -55,11 +55,20 @@ def find_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 8) -> DataFrame:
-    """docs without the rows that find_exact_duplicates drops, in their own columns.
+    """docs in their own columns with one row of each text.
 
-    Texts are shuffled only if more rows are dropped than may be broadcast.
+    Of the rows that find_exact_duplicates keeps, those that repeat an identifier and its text tie; the smallest by
+    its other columns stays. Texts are shuffled only if rows tie or more rows are dropped than may be broadcast.
     """
-    gone = find_exact_duplicates(docs, id_col, text_col, keep, fan_in).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    gone = small(settle(gone))
+    found = find_exact_duplicates(docs, id_col, text_col, keep, fan_in)
+    counted = found.groupBy(F.col("doc_id").alias("_mark_id"), F.col("text_sha256").alias("_mark_sha"), "kept").agg(F.count(F.lit(1)).alias("n"))
+    marks = settle(counted.where("NOT kept OR n > 1"))
     sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+
+    def matched(part: DataFrame, how: str) -> DataFrame:
+        return docs.join(part, docs[id_col].eqNullSafe(part["_mark_id"]) & (sha == part["_mark_sha"]), how)
+
+    tied = marks.where("kept")
+    if tied.isEmpty():
+        return matched(small(marks), "left_anti")
+    return matched(small(marks), "left_anti").union(one_row(matched(small(tied), "left_semi"), [docs[id_col], sha], text_col))

@@ -26,6 +26,7 @@ table gives an empty result. Only the identifier and text are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import distinct, mix, settle, ship, small
+from tallyfold.llm.common import distinct, mix, one_row, settle, ship, small
 from tallyfold.llm.components import components
 
 COORDINATES = 128
@@ -278,7 +279,36 @@ def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame, texts: Dat
 
 
 def drop_near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs in their own columns with one document of each component, the one of the smallest identifier."""
-    gone = near_duplicates(docs, ngram, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = small(settle(gone))
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """docs in their own columns with one row of each component, that of the smallest identifier.
+
+    Here texts are documents: rows of a null or repeated identifier are told apart by their text, so null identifiers
+    link too, and stay only where all of their component are null. Of rows that repeat an identifier and its text, the
+    smallest by its other columns stays.
+    """
+    own = docs[id_col].cast("long")
+    shared = settle(docs.groupBy(own.alias("_shared")).agg(F.count(F.lit(1)).alias("_rows")).where("_shared IS NULL OR _rows > 1"))
+    if shared.isEmpty():
+        gone = near_duplicates(docs, ngram, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+        gone = small(settle(gone))
+        return docs.join(gone, own == gone["_gone"], "left_anti")
+    marked = docs.join(small(shared), own.eqNullSafe(F.col("_shared")), "left")
+    token = F.when(F.col("_rows").isNotNull(), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
+    for salt in itertools.count():
+        # a number for each of the texts, another one if it's taken
+        node = F.when(F.col("_rows").isNotNull(), F.xxhash64(token, F.lit(salt))).otherwise(own)
+        named = marked.withColumns({"_node": node, "_token": token, "_own": own})
+        names = settle(named.groupBy("_node", "_token", "_own").agg(F.count(F.lit(1)).alias("n")))
+        if names.select("_node", "_token").distinct().count() == names.select("_node").distinct().count():
+            break
+    found = near_duplicates(named.select("_node", text_col), ngram, percent, "_node", text_col)
+    placed = names.join(found.select(F.col("doc_id").alias("_node"), "component_id").distinct(), "_node")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull().alias("none"), "_own", "_token", "_node")).alias("best"))
+    verdict = settle(placed.join(stays, "component_id").select("_node", "_own", "n", (F.col("_node").eqNullSafe(F.col("best._node")) & F.col("_own").eqNullSafe(F.col("best._own"))).alias("stays")))
+
+    def matched(condition: str, how: str) -> DataFrame:
+        part = small(verdict.where(condition).select(F.col("_node").alias("_mark"), F.col("_own").alias("_mark_id")))
+        return named.join(part, (named["_node"] == part["_mark"]) & named["_own"].eqNullSafe(part["_mark_id"]), how)
+
+    tied = matched("stays AND n > 1", "left_semi")
+    rows = tied.select(*docs.columns, "_node")
+    return matched("NOT stays OR n > 1", "left_anti").select(*docs.columns).union(one_row(rows, [rows["_node"]], text_col).select(*docs.columns))

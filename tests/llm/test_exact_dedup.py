@@ -45,6 +45,12 @@ def test_drop_keeps_columns_and_one_text(spark):
     assert texts == sorted([("a", 1), ("a ", 5), ("", 3), ("é" * 40_000, 6), ("b", 2), ("n", 0)])
 
 
+def test_drop_keeps_one_row_where_whole_rows_repeat(spark):
+    rows = [*ROWS, *ROWS, *ROWS, (1, "a", "b", 7), (3, "", "z", 1)]
+    kept = sorted(map(tuple, drop_exact_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()), key=str)
+    assert kept == sorted([(1, "a", "b", 7), (5, "a ", None, 1), (3, "", "z", 1), (6, "é" * 40_000, "q", 2), (2, "b", "y", 0), (None, "n", "n", 0)], key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert find_exact_duplicates(docs).count() == 0 and drop_exact_duplicates(docs).count() == 0

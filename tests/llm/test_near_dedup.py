@@ -86,6 +86,17 @@ def test_drop_keeps_one_of_each_and_all_columns(spark):
     assert drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_drop_keeps_one_row_of_repeated_and_null_identifiers(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a, "x", 0), (1, a, "x", 0), (1, a, "w", 3), (1, a + " more", "x", 0), (2, a + " again", "x", 0), (1, b, "x", 0)]  # 1 has another text too
+    rows += [(None, c, "x", 0), (None, c, "x", 0), (None, c + " more", "x", 0), (None, d, "x", 0), (4, d + " more", "x", 0), (4, d + " more", "x", 0), (5, "z", "x", 0)]
+    kept = sorted(map(tuple, drop_near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).select("doc_id", "text", "component", "band").collect()), key=str)
+    of_one, others = [r for r in kept if r[0] == 1 and r[1] != b], [r for r in kept if r[0] != 1 or r[1] == b]
+    assert of_one in ([(1, a, "w", 3)], [(1, a + " more", "x", 0)])
+    assert [r for r in others if r[0]] == [(1, b, "x", 0), (4, d + " more", "x", 0), (5, "z", "x", 0)]
+    assert [r for r in others if not r[0]] in ([(None, c, "x", 0)], [(None, c + " more", "x", 0)])
+
+
 def test_sketches_are_full_and_agree_as_often_as_sets_do():
     rng = np.random.default_rng(2)
     common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
