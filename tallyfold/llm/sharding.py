@@ -107,7 +107,21 @@ def document_metadata(docs: DataFrame, dims: list[str], id_col: str = "doc_id",
     return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *(F.col(d) for d in dims))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """docs as Parquet, a folder for each shard, in slot order; identifiers must be unique."""
-    where = placed.select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(where, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """docs as Parquet, a folder for each shard, in slot order; placed is hilbert_shards of their document_metadata.
+
+    A row meets its place by identifier, CRC of the text and dimensions, null-safely; rows that are equal there are
+    numbered on both sides by size, so each takes a place of its own.
+    """
+    names = [c for c in placed.columns if c in docs.columns and c not in (id_col, text_col, "doc_id", "size", "text_crc32", "curve", "shard", "slot")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.col(id_col), F.crc32(F.encode(text, "UTF-8")), *(F.col(c) for c in names)]
+    theirs = [F.col("doc_id"), F.col("text_crc32"), *(F.col(c) for c in names)]
+    left = docs.withColumns({f"_key{i}": c for i, c in enumerate(own)} | {"_nth": F.row_number().over(Window.partitionBy(*own).orderBy(F.octet_length(text)))})
+    nth = F.row_number().over(Window.partitionBy(*theirs).orderBy("size", "shard", "slot"))
+    right = placed.select(*(c.alias(f"_at{i}") for i, c in enumerate(theirs)), nth.alias("_at"), "shard", "slot")
+    same = F.col("_nth") == F.col("_at")
+    for i in range(len(own)):
+        same &= F.col(f"_key{i}").eqNullSafe(F.col(f"_at{i}"))
+    rows = left.join(right, same).select(*(left[c] for c in docs.columns), "shard", "slot")
+    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)

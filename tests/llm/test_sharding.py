@@ -58,3 +58,14 @@ def test_written_shards_hold_whole_rows(spark, tmp_path):
     write_shards(docs, placed(spark, docs, 4), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.where("text = CAST(doc_id AS STRING)").count() == 100 and back.select("shard").distinct().count() == 4
+
+
+def test_written_shards_hold_null_and_repeated_identifiers(spark, tmp_path):
+    rows = [(i, f"t{i}", "en", "s") for i in range(20)] + [(None, "a", "en", "s"), (None, "a", "en", "s"), (None, "a", "fr", None), (None, None, None, "s"), (None, "bb", "en", "s"), (3, "t3", "en", "s"), (3, "other", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    where = placed(spark, docs, 4)
+    write_shards(docs, where, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(*docs.columns).collect()), key=str) == sorted(rows, key=str)
+    places = ("doc_id", "lang", "source", "shard", "slot")
+    assert sorted(map(tuple, back.select(*places).collect()), key=str) == sorted(map(tuple, where.select(*places).collect()), key=str)
