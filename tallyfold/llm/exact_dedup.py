@@ -1,8 +1,8 @@
-"""Exact duplicates by merging runs of digests in a tree of rounds.
+"""Exact duplicates by collapsing runs of digests in a tree of rounds.
 
 Every input partition contributes to one of a power of `fan_in` runs. A run holds each of its digests
-once, sorted, with the identifier that stays so far and the number of rows. A round merges `fan_in`
-neighbouring runs: equal digests of the merged runs collapse to one row. The last round leaves one run.
+once, with the identifier that stays so far and the number of rows. Runs aren't sorted or merged in order: a round
+puts `fan_in` neighbouring runs under one number, and a grouped aggregation collapses their equal digests to one row. The last round leaves one run.
 A text that a third of all rows share is one row per run after the first, map-side, aggregation, so no
 task ever holds a group.
 
@@ -39,7 +39,7 @@ def merge_runs(rows: DataFrame, fan_in: int = 8, keep: str = "min") -> DataFrame
     level = level.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     while runs > 1:
         runs //= fan_in
-        level = level.sortWithinPartitions("run", *KEY).withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
         level = level.groupBy("run", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     return level.drop("run")
 
