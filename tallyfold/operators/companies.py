@@ -1,6 +1,7 @@
 """Return and risk statistics of companies.
 
-Prices: instrument_id, price_date, close. Returns: instrument_id, price_date, ret.
+Prices: instrument_id, price_date, close. Returns: instrument_id, price_date, ret. A day whose close is null is no
+observation: every operator that reads prices, here and in portfolio and opportunities, goes by observed().
 """
 
 from __future__ import annotations
@@ -19,18 +20,22 @@ def _by_date():
 def daily_prices(fills: DataFrame) -> DataFrame:
     """Price of each instrument and day, weighted by volume; null if the volume is 0.
 
-    fills: instrument_id, price_date, quantity, amount. Rows are dealt by instrument, so that what follows by
-    instrument needs no other exchange.
+    fills: instrument_id, price_date, quantity, amount. They are summed before anything is shuffled, so what
+    follows by instrument deals one row for each of its days.
     """
-    dealt = fills.repartition("instrument_id")
-    grouped = dealt.groupBy("instrument_id", "price_date").agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"))
+    grouped = fills.groupBy("instrument_id", "price_date").agg(F.sum("amount").alias("amount"), F.sum("quantity").alias("quantity"))
     return grouped.select("instrument_id", "price_date", ratio("amount", "quantity").alias("close"))
 
 
+def observed(prices: DataFrame) -> DataFrame:
+    """The prices that have a close."""
+    return prices.where("close IS NOT NULL")
+
+
 def returns(prices: DataFrame) -> DataFrame:
-    """Close over the previous observed close, less 1; without each instrument's first row."""
+    """Close over the previous observed close, less 1, null where that is 0; without each instrument's first observation."""
     before = F.lag("close").over(_by_date())
-    found = prices.withColumn("before", before).where("before IS NOT NULL")
+    found = observed(prices).withColumn("before", before).where("before IS NOT NULL")
     return found.select("instrument_id", "price_date", (ratio("close", "before") - 1).alias("ret"))
 
 
@@ -44,7 +49,7 @@ def rolling_stats(rets: DataFrame, n: int) -> DataFrame:
 def max_drawdown(prices: DataFrame) -> DataFrame:
     """The least of close over the highest close so far, less 1."""
     peak = F.max("close").over(_by_date().rowsBetween(Window.unboundedPreceding, 0))
-    fall = prices.select("instrument_id", (ratio("close", peak) - 1).alias("fall"))
+    fall = observed(prices).select("instrument_id", (ratio("close", peak) - 1).alias("fall"))
     return fall.groupBy("instrument_id").agg(F.min("fall").alias("max_drawdown"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.numeric import ratio
+from tallyfold.operators.companies import observed
 
 #: Places that a metric is rounded to before it ranks.
 PLACES = 6
@@ -14,7 +15,7 @@ PLACES = 6
 def momentum(prices: DataFrame, lookback: int, skip: int) -> DataFrame:
     """Close `skip` observations ago over close `lookback` observations ago, less 1, for each instrument and date that has both."""
     order = Window.partitionBy("instrument_id").orderBy("price_date")
-    found = prices.select("instrument_id", "price_date", F.lag("close", skip).over(order).alias("late"), F.lag("close", lookback).over(order).alias("early"))
+    found = observed(prices).select("instrument_id", "price_date", F.lag("close", skip).over(order).alias("late"), F.lag("close", lookback).over(order).alias("early"))
     return found.where("early IS NOT NULL AND late IS NOT NULL").select("instrument_id", "price_date", (ratio("late", "early") - 1).alias("momentum"))
 
 

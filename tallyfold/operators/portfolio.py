@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.numeric import ratio, signed
+from tallyfold.operators.companies import observed
 
 TIES = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
 HOLDING = ("account_id", "instrument_id")
@@ -34,9 +35,9 @@ def positions(fills: DataFrame, as_of: date | None = None) -> DataFrame:
 
 
 def latest_price(prices: DataFrame, as_of: date | None = None) -> DataFrame:
-    """The close of the last date on or before as_of."""
+    """The close of the last date on or before as_of that has one."""
     seen = prices if as_of is None else prices.where(F.col("price_date") <= F.lit(as_of))
-    return seen.groupBy("instrument_id").agg(F.max_by("close", "price_date").alias("close"))
+    return observed(seen).groupBy("instrument_id").agg(F.max_by("close", "price_date").alias("close"))
 
 
 def market_value(held: DataFrame, latest: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def price_as_of(fills: DataFrame, prices: DataFrame, bucket: str = "year") -> Da
     last close of the buckets before. There is one row for each instrument and bucket of these.
     """
     own = fills.select("instrument_id", F.col("trade_date").alias("date"), F.lit(1).alias("side"), F.struct("account_id", *TIES).alias("fill"), F.lit(None).cast("double").alias("close"))
-    marks = prices.select("instrument_id", F.col("price_date").alias("date"), F.lit(0).alias("side"), F.lit(None).cast(own.schema["fill"].dataType).alias("fill"), "close")
+    marks = observed(prices).select("instrument_id", F.col("price_date").alias("date"), F.lit(0).alias("side"), F.lit(None).cast(own.schema["fill"].dataType).alias("fill"), "close")
     both = own.unionByName(marks).withColumn("bucket", F.trunc("date", bucket))
     inside = F.last("close", ignorenulls=True).over(Window.partitionBy("instrument_id", "bucket").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0))
     carried = both.withColumn("inside", inside).where("side = 1")
@@ -92,14 +93,18 @@ def price_as_of(fills: DataFrame, prices: DataFrame, bucket: str = "year") -> Da
 def value_series(fills: DataFrame, prices: DataFrame) -> DataFrame:
     """Value of each account on each date on which an instrument that it holds is priced.
 
-    The last running position of a day holds until the next day with a fill; spans at zero are left out. Spans
-    meet prices on the instrument and the range of dates, so the join stays an equi-join.
+    The last running position of a day holds until the next day with a fill; spans at zero are left out. Spans are
+    cut at the ends of years, open ones up to the last price of all, and meet prices on the instrument and the year:
+    a pair that the range of dates then rejects lies within a year, however long the history is.
     """
     daily = fills.groupBy(*HOLDING, "trade_date").agg(F.sum("signed_quantity").alias("change"))
     order = Window.partitionBy(*HOLDING).orderBy("trade_date")
     held = F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0))
     spans = daily.select(*HOLDING, F.col("trade_date").alias("since"), F.lead("trade_date").over(order).alias("until"), held.alias("position")).where("position <> 0")
-    priced = spans.join(prices, "instrument_id").where("price_date >= since AND (until IS NULL OR price_date < until)")
+    marks = observed(prices).withColumn("year", F.year("price_date"))
+    end = F.coalesce(F.year(F.date_sub("until", 1)), marks.agg(F.max("year")).scalar())
+    years = F.when(end >= F.year("since"), F.sequence(F.year("since"), end))
+    priced = spans.withColumn("year", F.explode(years)).join(marks, ["instrument_id", "year"]).where("price_date >= since AND (until IS NULL OR price_date < until)")
     return priced.groupBy("account_id", "price_date").agg(F.sum(F.col("position") * F.col("close")).alias("value"))
 
 
@@ -119,4 +124,4 @@ def drift(weighted: DataFrame, targets: DataFrame, tol: float) -> DataFrame:
 
 def unpriced(held: DataFrame, prices: DataFrame) -> DataFrame:
     """Positions whose instrument has no price at all."""
-    return held.join(prices.select("instrument_id"), "instrument_id", "left_anti").select(*HOLDING, "quantity")
+    return held.join(observed(prices).select("instrument_id"), "instrument_id", "left_anti").select(*HOLDING, "quantity")

@@ -10,23 +10,25 @@ _PARTS = {
     "pr": "SELECT l_partkey AS instrument_id, l_shipdate::DATE AS price_date, sum(l_extendedprice) / nullif(sum(l_quantity), 0) AS close FROM lineitem GROUP BY ALL",
     "co": "SELECT p_partkey AS instrument_id, p_name AS name, p_type AS sector, p_brand AS industry FROM part",
     "ps": "SELECT account_id, instrument_id, sum(signed_quantity) AS quantity FROM tr GROUP BY ALL HAVING sum(signed_quantity) <> 0",
-    "lp": "SELECT DISTINCT ON (instrument_id) instrument_id, close FROM pr ORDER BY instrument_id, price_date DESC",
+    "ob": "SELECT * FROM pr WHERE close IS NOT NULL",
+    "lp": "SELECT DISTINCT ON (instrument_id) instrument_id, close FROM ob ORDER BY instrument_id, price_date DESC",
     "mv": "SELECT account_id, instrument_id, quantity, close, quantity * close AS value FROM ps LEFT JOIN lp USING (instrument_id)",
     "wt": "SELECT account_id, instrument_id, value, value / nullif(g, 0) AS weight FROM mv JOIN (SELECT account_id, sum(abs(value)) AS g FROM mv GROUP BY ALL) USING (account_id)",
-    "numbered": "SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY price_date) AS n FROM pr",
-    "rt": "SELECT a.instrument_id, a.price_date, a.close / nullif(b.close, 0) - 1 AS ret FROM numbered a JOIN numbered b ON a.instrument_id = b.instrument_id AND a.n = b.n + 1",
+    "rt": """SELECT instrument_id, price_date, close / nullif(before, 0) - 1 AS ret
+  FROM (SELECT *, first_value(close) OVER (PARTITION BY instrument_id ORDER BY price_date ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS before FROM ob) WHERE before IS NOT NULL""",
     "rk": """SELECT instrument_id, count(ret) AS observations, avg(ret) AS mean, stddev_samp(ret) AS stddev, quantile_cont(ret, 0.05) AS var_95,
   avg(ret) / nullif(stddev_samp(ret), 0) AS sharpe FROM rt GROUP BY instrument_id HAVING count(ret) >= 10""",
     "mk": "SELECT price_date, avg(ret) AS market FROM rt GROUP BY price_date",
     "bt": """SELECT instrument_id, count(ret) AS observations, covar_samp(ret, market) / nullif(var_samp(market), 0) AS beta
   FROM rt JOIN mk USING (price_date) GROUP BY instrument_id HAVING count(ret) >= 10""",
-    "mo": """SELECT a.instrument_id, a.price_date, l.close / nullif(e.close, 0) - 1 AS momentum FROM numbered a
-  JOIN numbered l ON l.instrument_id = a.instrument_id AND l.n = a.n - 1 JOIN numbered e ON e.instrument_id = a.instrument_id AND e.n = a.n - 10""",
+    "mo": """SELECT instrument_id, price_date, late / nullif(early, 0) - 1 AS momentum
+  FROM (SELECT *, first_value(close) OVER (PARTITION BY instrument_id ORDER BY price_date ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS late,
+    first_value(close) OVER (PARTITION BY instrument_id ORDER BY price_date ROWS BETWEEN 10 PRECEDING AND 10 PRECEDING) AS early FROM ob) WHERE late IS NOT NULL AND early IS NOT NULL""",
     "dd": """SELECT instrument_id, min(close / nullif(peak, 0) - 1) AS max_drawdown
-  FROM (SELECT instrument_id, close, max(close) OVER (PARTITION BY instrument_id ORDER BY price_date) AS peak FROM pr) GROUP BY instrument_id""",
+  FROM (SELECT instrument_id, close, max(close) OVER (PARTITION BY instrument_id ORDER BY price_date) AS peak FROM ob) GROUP BY instrument_id""",
 }
 _NEEDS = {
-    "ps": "tr", "lp": "pr", "mv": "ps lp", "wt": "mv", "numbered": "pr", "rt": "numbered", "rk": "rt", "mk": "rt", "bt": "rt mk", "mo": "numbered", "dd": "pr",
+    "ps": "tr", "ob": "pr", "lp": "ob", "mv": "ps lp", "wt": "mv", "rt": "ob", "rk": "rt", "mk": "rt", "bt": "rt mk", "mo": "ob", "dd": "ob",
 }
 
 
@@ -64,12 +66,12 @@ UNION ALL SELECT sector, NULL, 1, round(sum(abs(value)) + 1e-5, 2) + 0.0, count(
 UNION ALL SELECT NULL, NULL, 3, round(sum(abs(value)) + 1e-5, 2) + 0.0, count(*) FROM own"""),
     "o08_running_position": _with("tr", """SELECT account_id, instrument_id, trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, signed_quantity,
   sum(signed_quantity) OVER (PARTITION BY account_id, instrument_id ORDER BY trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS position FROM tr"""),
-    "o09_price_as_of": _with("tr pr", f"""SELECT account_id, tr.instrument_id, trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, {_r('close')}
-FROM tr ASOF LEFT JOIN pr ON tr.instrument_id = pr.instrument_id AND trade_date >= price_date"""),
-    "o10_value_series": _with("tr pr", f""", dy AS (SELECT account_id, instrument_id, trade_date, sum(signed_quantity) AS change FROM tr GROUP BY ALL),
+    "o09_price_as_of": _with("tr ob", f"""SELECT account_id, tr.instrument_id, trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, {_r('close')}
+FROM tr ASOF LEFT JOIN ob ON tr.instrument_id = ob.instrument_id AND trade_date >= price_date"""),
+    "o10_value_series": _with("tr ob", f""", dy AS (SELECT account_id, instrument_id, trade_date, sum(signed_quantity) AS change FROM tr GROUP BY ALL),
 sp AS (SELECT account_id, instrument_id, trade_date AS since, lead(trade_date) OVER o AS until, sum(change) OVER o AS position FROM dy
   WINDOW o AS (PARTITION BY account_id, instrument_id ORDER BY trade_date))
-SELECT account_id, price_date, {_r('sum(position * close)', 2, 'value')} FROM sp JOIN pr ON sp.instrument_id = pr.instrument_id AND price_date >= since AND price_date < coalesce(until, DATE '9999-12-31')
+SELECT account_id, price_date, {_r('sum(position * close)', 2, 'value')} FROM sp JOIN ob ON sp.instrument_id = ob.instrument_id AND price_date >= since AND price_date < coalesce(until, DATE '9999-12-31')
 WHERE position <> 0 GROUP BY account_id, price_date"""),
     "o11_average_buy_cost": _with("tr", f"""SELECT account_id, instrument_id,
   {_r("sum(quantity * price) FILTER (side = 'BUY') / nullif(sum(quantity) FILTER (side = 'BUY'), 0)", name='average_cost')} FROM tr GROUP BY account_id, instrument_id"""),
@@ -77,9 +79,9 @@ WHERE position <> 0 GROUP BY account_id, price_date"""),
 tg AS (SELECT account_id, instrument_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY account_id) AS target FROM held),
 b AS (SELECT account_id, instrument_id, coalesce(weight, 0) AS weight, coalesce(target, 0) AS target FROM wt FULL JOIN tg USING (account_id, instrument_id))
 SELECT account_id, instrument_id, {_r('weight')}, {_r('target')}, {_r('weight - target', name='drift')} FROM b WHERE abs(weight - target) > 0.05"""),
-    "o13_unpriced": _with("tr pr", """SELECT account_id, instrument_id, sum(signed_quantity) AS quantity FROM tr WHERE trade_date <= DATE '1992-07-01'
-  AND instrument_id NOT IN (SELECT instrument_id FROM pr WHERE price_date <= DATE '1992-07-01' AND instrument_id IS NOT NULL)
-GROUP BY account_id, instrument_id HAVING sum(signed_quantity) <> 0"""),
+    "o13_unpriced": _with("tr ob", """, d(as_of) AS (VALUES (DATE '1995-06-01'), (DATE '1998-01-01'), (NULL)),
+h AS (SELECT as_of, account_id, instrument_id, sum(signed_quantity) AS quantity FROM tr JOIN d ON trade_date <= coalesce(as_of, DATE '9999-12-31') GROUP BY ALL HAVING sum(signed_quantity) <> 0)
+SELECT * FROM h WHERE NOT EXISTS (FROM ob WHERE ob.instrument_id = h.instrument_id AND price_date <= coalesce(as_of, DATE '9999-12-31'))"""),
     "o14_daily_prices": _with("pr", f"SELECT instrument_id, price_date, {_r('close')} FROM pr"),
     "o15_returns": _with("rt", f"SELECT instrument_id, price_date, {_r('ret')} FROM rt"),
     "o16_rolling_stats": _with("rt", """SELECT instrument_id, price_date, CASE WHEN count(ret) OVER w = 5 THEN round(avg(ret) OVER w + 1e-9, 6) + 0.0 END AS mean,

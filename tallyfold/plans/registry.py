@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from tallyfold.operators import portfolio as pf
 from tallyfold.plans import workloads as w
 from tallyfold.sources.tables import Tables
 
-AS_OF = date(1992, 7, 1)
+#: A date by which many holdings still have no price, one by which all have, and None for all rows.
+AS_OF = (date(1995, 6, 1), date(1998, 1, 1), None)
 TOLERANCE = 0.05
 WINDOW = 5
 ACCOUNT = 7
@@ -32,7 +34,13 @@ def rounded(df: DataFrame, **places: int) -> DataFrame:
 
 
 def _unpriced(t: Tables) -> DataFrame:
-    return pf.unpriced(pf.positions(w.fills(t), AS_OF), w.prices(t).where(F.col("price_date") <= F.lit(AS_OF)))
+    """Unpriced holdings as of each of the dates."""
+
+    def by(as_of: date | None) -> DataFrame:
+        prices = w.prices(t) if as_of is None else w.prices(t).where(F.col("price_date") <= F.lit(as_of))
+        return pf.unpriced(pf.positions(w.fills(t), as_of), prices).select(F.lit(as_of).cast("date").alias("as_of"), *pf.HOLDING, "quantity")
+
+    return reduce(DataFrame.unionByName, map(by, AS_OF))
 
 
 def _drift(t: Tables) -> DataFrame:

@@ -25,7 +25,7 @@ def test_daily_prices(spark, rows):
 
 
 def test_returns_use_the_previous_observation(prices, rows):
-    assert rows(co.returns(prices)) == [(1, D[1], 0.2), (1, D[2], -0.25), (1, D[3], 0.0), (3, D[5], 0.25), (5, D[1], 0.0), (5, D[2], 0.0), (6, D[1], None)]
+    assert rows(co.returns(prices)) == [(1, D[1], 0.2), (1, D[2], -0.25), (1, D[3], 0.0), (3, D[5], 0.25), (5, D[1], 0.0), (5, D[2], 0.0), (6, D[2], 1.0)]
 
 
 def test_rolling_stats_wait_for_n(spark, rows):
@@ -71,10 +71,18 @@ def test_peer_compare(spark, rows):
     assert rows(co.peer_compare(risk, companies)) == [(1, "A", -z, 2.0, None, 5.0), (2, "A", z, 2.0, None, 5.0), (3, "B", None, 7.0, None, 1.0), (4, None, None, 2.0, None, 2.0)]
 
 
-def test_one_exchange_serves_prices_and_returns(spark):
+def test_null_closes_are_no_observations(spark, rows):
+    prices = spark.createDataFrame([(1, D[0], 10.0), (1, D[1], None), (1, D[2], 20.0), (1, D[3], 30.0)], PRICES)
+    assert rows(co.returns(prices)) == [(1, D[2], 1.0), (1, D[3], 0.5)]
+    assert rows(co.max_drawdown(prices)) == [(1, 0.0)]
+
+
+def test_fills_are_summed_before_they_are_dealt(spark):
     fills = spark.createDataFrame([(1, D[0], 2.0, 10.0)], "instrument_id long, price_date date, quantity double, amount double")
     plan = co.max_drawdown(co.daily_prices(fills))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    assert plan.count("Exchange") == 2
+    first = plan[plan.rindex("Exchange"):]
+    assert "partial_sum" in first
 
 
 def test_layout_changes_nothing(prices, rows):

@@ -18,6 +18,21 @@ def test_document_summary(spark, rows):
     assert rows(insights.document_summary(docs, labels)) == [("A", "en", 2, 1, 2.0, 0.5, 1.0, 0.0), ("A", "fr", 1, 1, 5.0, 0.0, None, None)]
 
 
+def test_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "A", 1), (2, "b", "en", "B", 1)], DOCS)
+    plan = insights.company_terms(docs, 1)._jdf.queryExecution().executedPlan().toString()
+    # all that is left reads the settled counts
+    assert "Generate" not in plan and "split" not in plan and "text#" not in plan
+
+
+def test_no_text_is_shuffled_for_the_summary(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "en", "A", 1)], DOCS).write.parquet(f"{tmp_path}/d")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = insights.document_summary(spark.read.parquet(f"{tmp_path}/d"), labels.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    above = [line for line in plan.split("\n") if "Exchange" in line or "Join" in line or "Aggregate" in line]
+    assert above and not any("text#" in line for line in above)
+
+
 def test_company_profile_keeps_companies_without_data(spark, rows):
     companies = spark.createDataFrame([(1, "a"), (2, "b")], "instrument_id long, name string")
     risk = spark.createDataFrame([(1, 0.5)], "instrument_id long, mean double")

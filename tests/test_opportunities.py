@@ -12,6 +12,11 @@ def test_momentum(spark, rows):
     assert rows(op.momentum(prices, 2, 1)) == [(1, D[2], 0.5), (1, D[3], round(4 / 3 - 1, 9))]
 
 
+def test_momentum_skips_null_closes(spark, rows):
+    prices = spark.createDataFrame([(1, D[k], c) for k, c in enumerate((2.0, None, 3.0, 4.0))], "instrument_id long, price_date date, close double")
+    assert rows(op.momentum(prices, 2, 1)) == [(1, D[3], 0.5)]
+
+
 METRICS = "instrument_id long, sector string, mean double, observations long"
 
 

@@ -92,6 +92,29 @@ def test_price_as_of_carries_over_empty_buckets(spark, rows):
     assert rows(pf.price_as_of(fills, prices).select("close")) == [(4.0,)]
 
 
+def test_null_closes_are_no_prices(spark, rows):
+    fills = spark.createDataFrame([(1, 10, date(y, 8, 1), "BUY", 1.0, 1.0, 1.0, y, 1, 1, 1.0) for y in (2020, 2021)], TRADES)
+    prices = spark.createDataFrame([(10, date(2020, 1, 1), 10.0), (10, date(2020, 6, 1), None), (11, date(2020, 1, 1), None)], PRICES)
+    assert rows(pf.price_as_of(fills, prices).select("close")) == [(10.0,), (10.0,)]
+    assert rows(pf.latest_price(prices)) == [(10, 10.0)]
+    held = spark.createDataFrame([(1, 10, 1.0), (1, 11, 2.0)], "account_id long, instrument_id long, quantity double")
+    assert rows(pf.unpriced(held, prices)) == [(1, 11, 2.0)]
+
+
+def test_value_series_over_years(spark, rows):
+    fills = spark.createDataFrame([(1, 10, date(2019, 5, 1), "BUY", 2.0, 2.0, 1.0, 1, 1, 1, 2.0), (1, 10, date(2022, 1, 1), "BUY", 1.0, 1.0, 1.0, 2, 1, 1, 1.0), (2, 11, date(2030, 1, 1), "BUY", 1.0, 1.0, 1.0, 3, 1, 1, 1.0)], TRADES)
+    days = [date(2019, 4, 30), date(2019, 5, 1), date(2020, 6, 1), date(2021, 12, 31), date(2022, 1, 1), date(2025, 3, 1)]
+    prices = spark.createDataFrame([(10, d, 10.0) for d in days] + [(10, date(2023, 1, 1), None), (11, date(2020, 1, 1), 5.0)], PRICES)
+    assert rows(pf.value_series(fills, prices)) == [(1, d, v) for d, v in zip(days[1:], (20.0, 20.0, 20.0, 30.0, 30.0), strict=True)]
+    assert rows(pf.value_series(fills, prices.where("close > 99"))) == []
+
+
+def test_value_series_meets_prices_by_year(fills, prices):
+    plan = pf.value_series(fills, prices)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join Inner" in line)
+    assert "year" in join and "instrument_id" in join
+
+
 def test_value_series_spans(fills, prices, rows):
     found = rows(pf.value_series(fills, prices).where("account_id = 1"))
     # instrument 10 is held from day 0 to day 2 and priced on day 1; 11 from day 1, priced on day 2; 12 from day 1, priced on day 5
