@@ -6,7 +6,9 @@ meets the same word from all blocks, encodes it once, and sends the ids back to
 numbers are replaced in order. What moves is numbers and distinct words, packed, never texts. A word that
 every block has is one entry per block, so hot words don't gather.
 
-Blocks and slices grow in number with the bytes of the input, not in size. The state between the two passes is
+Blocks grow in number with the bytes of the input, not in size. Slices are as many as the session has shuffle
+partitions at most, so a block sends no more rows however large the corpus is; a slice is worked through batch by batch and
+holds no more than MEMORY bytes of words. The state between the two passes is
 a checkpoint, so that a lost executor can't renumber a block. Ids travel as little-endian unsigned 32-bit integers.
 
 Decoding looks ids up in the table of token bytes, which the vocabulary bounds.
@@ -23,16 +25,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import pack, pack_sorted, settle, ship, text_bytes, unpack, unpack_sorted
+from tallyfold.llm.common import pack, pack_sorted, release, settle, ship, shuffle_partitions, text_bytes, unpack, unpack_sorted
 
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 32 << 20
+#: Bytes of words whose ids a slice remembers; beyond that it starts anew, which changes no result.
+MEMORY = 64 << 20
 #: Rows of a batch of results.
 ROWS = 256
 
@@ -49,11 +54,11 @@ def ranks_of(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
 
 
-def _encoding(data: bytes, pattern: str) -> tiktoken.Encoding:
-    """Made once per worker."""
+def _encoding(data: bytes) -> tiktoken.Encoding:
+    """Takes all that it is given for one pre-token. Made once per worker."""
     key = zlib.crc32(data)
     if key not in _encodings:
-        _encodings[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(data), special_tokens={})
+        _encodings[key] = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks_of(data), special_tokens={})
     return _encodings[key]
 
 
@@ -99,12 +104,14 @@ class _Block:
         words = [w.encode() for w in self.numbers]
         words = [words[i] for i in order.tolist()]
         dealt = np.fromiter((zlib.crc32(w) % n_slices for w in words), np.int64, len(words))
-        for k in range(n_slices):
-            mine = np.flatnonzero(dealt == k)
-            if len(mine):
-                lengths, packed = pack_words([words[i] for i in mine.tolist()])
-                for name, value in (("block", block), ("slice", k), ("doc_ids", None), ("often", None), ("codes", pack_sorted(mine.astype(np.uint64))), ("lengths", lengths), ("words", packed)):
-                    table[name].append(value)
+        # within a slice the numbers ascend
+        by_slice = np.argsort(dealt, kind="stable")
+        edges = np.flatnonzero(np.diff(dealt[by_slice], prepend=-1, append=n_slices))
+        for a, b in zip(edges, edges[1:], strict=False):
+            mine = by_slice[a:b]
+            lengths, packed = pack_words([words[i] for i in mine.tolist()])
+            for name, value in (("block", block), ("slice", int(dealt[mine[0]])), ("doc_ids", None), ("often", None), ("codes", pack_sorted(mine.astype(np.uint64))), ("lengths", lengths), ("words", packed)):
+                table[name].append(value)
         return pa.RecordBatch.from_pydict(table, schema)
 
 
@@ -115,32 +122,47 @@ def _numbered(pattern: str, n_slices: int, schema: pa.Schema) -> Callable:
         find = regex.compile(pattern).findall
         first, made, block = TaskContext.get().partitionId() << 32, 0, _Block()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                if block.ids and block.size + len(text) > BLOCK_BYTES:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for doc_id, text, size in zip(batch.column(0).to_pylist(), batch.column(1), sizes, strict=True):
+                if block.ids and block.size + size > BLOCK_BYTES:
                     yield block.rows(first + made, n_slices, schema)
                     made, block = made + 1, _Block()
-                block.add(doc_id, find(text), len(text))
+                block.add(doc_id, find(text.as_py() or ""), size)
         if block.ids:
             yield block.rows(first + made, n_slices, schema)
+        release()
 
     return number
 
 
-def _encoded(data: bytes, pattern: str) -> Callable:
-    def encode(table: pa.Table) -> pa.Table:
-        encoding = _encoding(data, pattern)
-        ids: dict[bytes, list[int]] = {}
-        out = {"block": table["block"], "codes": table["codes"], "counts": [], "ids": []}
-        for lengths, words in zip(table["lengths"].to_pylist(), table["words"].to_pylist(), strict=True):
-            found = []
-            for word in unpack_words(lengths, words):
-                if word not in ids:
-                    ids[word] = encoding._encode_single_piece(word)
-                found.append(ids[word])
-            out["counts"].append(pack(np.fromiter(map(len, found), np.uint32, len(found))))
-            out["ids"].append(pack(np.fromiter((i for f in found for i in f), np.uint32)))
-        return pa.table(out, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("codes", "counts", "ids"))]))
+class Ids:
+    """The ids of words, each encoded once while it is remembered."""
+
+    def __init__(self, data: bytes) -> None:
+        self.encode, self.ids, self.held = _encoding(data).encode_ordinary, {}, 0
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and these ids one after the other."""
+        if self.held > MEMORY:
+            self.ids, self.held = {}, 0
+        ids = self.ids
+        for word in words:
+            if word not in ids:
+                ids[word] = np.array(self.encode(word.decode()), np.uint32).tobytes()
+                self.held += len(word)
+        found = [ids[w] for w in words]
+        return np.fromiter(map(len, found), np.uint32, len(found)) // 4, np.frombuffer(b"".join(found), np.uint32)
+
+
+def _encoded(data: bytes, schema: pa.Schema) -> Callable:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Ids(data)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch[c][k].as_py() for c in ("block", "codes", "lengths", "words")}
+                counts, ids = known.of(unpack_words(row["lengths"], row["words"]))
+                out = {"block": row["block"], "doc_ids": None, "often": None, "codes": row["codes"], "lengths": pack(counts), "ids": pack(ids)}
+                yield pa.RecordBatch.from_pylist([out], schema)
 
     return encode
 
@@ -167,33 +189,40 @@ class TokenBytes:
 
 
 def _reassembled(schema: pa.Schema, data: bytes) -> Callable:
-    def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-        places = [unpack_sorted(c).astype(np.int64) for c in words["codes"].to_pylist()]
-        n = sum(map(len, places))
-        counts, starts, ids, held = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-        for place, c, i in zip(places, words["counts"].to_pylist(), words["ids"].to_pylist(), strict=True):
-            counts[place] = c = unpack(c, np.uint32).astype(np.int64)
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a block: one with its texts, and one from each slice."""
+        texts, places, counts, ids = None, [], [], []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch["doc_ids"][k].is_valid:
+                    texts = batch.slice(k, 1)
+                else:
+                    places.append(unpack_sorted(batch["codes"][k].as_py()).astype(np.int64))
+                    counts.append(unpack(batch["lengths"][k].as_py(), np.uint32).astype(np.int64))
+                    ids.append(unpack(batch["ids"][k].as_py(), np.uint32).astype("<u4", copy=False))
+        n, held = sum(map(len, places)), 0
+        of_code, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for place, c, i in zip(places, counts, ids, strict=True):
+            of_code[place] = c
             starts[place] = held + np.cumsum(c) - c
-            ids.append(unpack(i, np.uint32))
-            held += len(ids[-1])
-        all_ids = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype("<u4")
+            held += len(i)
+        all_ids = np.concatenate([*ids, np.zeros(0, "<u4")])
         code = unpack(texts["codes"][0].as_py(), np.uint32)
         once = code == 0
         code[once] = texts["often"][0].as_py() + 1 + np.arange(once.sum(), dtype=np.uint32)
         ends = np.cumsum(unpack(texts["lengths"][0].as_py(), np.uint32), dtype=np.int64)
-        doc_ids = texts["doc_ids"].combine_chunks().flatten()
+        doc_ids = texts["doc_ids"].flatten()
         tokens = TokenBytes(data) if "decoded" in schema.names else None
-        batches = []
         for first in range(0, len(ends), ROWS):
             encoded = []
             for d in range(first, min(first + ROWS, len(ends))):
                 own = code[ends[d - 1] if d else 0 : ends[d]].astype(np.int64) - 1
-                encoded.append(all_ids[runs(starts[own], counts[own])])
+                encoded.append(all_ids[runs(starts[own], of_code[own])])
             columns = [doc_ids.slice(first, len(encoded)), pa.array([e.tobytes() for e in encoded], pa.binary())]
             if tokens:
                 columns.append(pa.array(map(tokens.of, encoded), pa.binary()))
-            batches.append(pa.RecordBatch.from_arrays(columns, schema=schema))
-        return pa.Table.from_batches(batches, schema)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        release(len(code))
 
     return reassemble
 
@@ -202,21 +231,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """One row per document: doc_id and ids, binary; with `decoded`, the bytes that these ids stand for, if asked."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     data = read_ranks(ranks_path)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_slices = 1 + text_bytes(texts, "text") // SLICE_BYTES
+    n_slices = min(1 + text_bytes(texts, "text") // SLICE_BYTES, shuffle_partitions(spark))
     kind = texts.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
-    layout = f"block bigint, slice int, doc_ids array<{kind.simpleString()}>, often int, codes binary, lengths binary, words binary"
-    schema = pa.schema([("block", pa.int64()), ("slice", pa.int32()), ("doc_ids", pa.list_(arrow)), ("often", pa.int32()), *((c, pa.binary()) for c in ("codes", "lengths", "words"))])
-    numbered = settle(texts.mapInArrow(_numbered(pattern, n_slices, schema), layout))
-    words = numbered.where("slice IS NOT NULL").select("slice", "block", "codes", "lengths", "words").groupBy("slice").applyInArrow(_encoded(data, pattern), "block bigint, codes binary, counts binary, ids binary")
-    rows = numbered.where("slice IS NULL").select("block", "doc_ids", "often", "codes", "lengths")
+    head, tail = "block bigint", f"doc_ids array<{kind.simpleString()}>, often int, codes binary, lengths binary"
+    kinds = {"block": pa.int64(), "slice": pa.int32(), "doc_ids": pa.list_(arrow), "often": pa.int32()} | dict.fromkeys(("codes", "lengths", "words", "ids"), pa.binary())
+    fields = lambda *names: pa.schema([(n, kinds[n]) for n in names])
+    schema = fields("block", "slice", "doc_ids", "often", "codes", "lengths", "words")
+    numbered = settle(texts.mapInArrow(_numbered(pattern, n_slices, schema), f"{head}, slice int, {tail}, words binary"))
+    words = numbered.where("slice IS NOT NULL").groupBy("slice").applyInArrow(_encoded(data, fields("block", "doc_ids", "often", "codes", "lengths", "ids")), f"{head}, {tail}, ids binary")
+    rows = numbered.where("slice IS NULL").select("block", "doc_ids", "often", "codes", "lengths", F.lit(None).cast("binary").alias("ids"))
     binary = ["ids", *["decoded"] * decoded]
     out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.BinaryType()) for c in binary)])
-    joined = rows.groupBy("block").cogroup(words.groupBy("block"))
-    return joined.applyInArrow(_reassembled(pa.schema([("doc_id", arrow), *((c, pa.binary()) for c in binary)]), data), out)
+    return rows.unionByName(words).groupBy("block").applyInArrow(_reassembled(pa.schema([("doc_id", arrow), *((c, pa.binary()) for c in binary)]), data), out)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.sources.scratch import settle, shared_folder  # noqa: F401
+
 #: A word is a run of anything but ASCII white space; bytes.split() cuts UTF-8 text the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,20 +29,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder is made only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfold-"))
-    return context.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def small(df: DataFrame) -> DataFrame:
     """A settled df, marked for broadcast if it has at most BROADCAST_ROWS rows; else Spark's joins shuffle it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -70,6 +60,16 @@ def ship(spark: SparkSession) -> None:
     context._tallyfold_shipped = True
 
 
+def release(work: int = 1 << 20) -> None:
+    """Gives a worker's freed memory back to the system, at the end of a task or of a group of much work: idle workers stay."""
+    if work >= 1 << 20:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
