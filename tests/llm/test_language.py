@@ -64,7 +64,7 @@ def test_unknown_repeats_long_and_empty(spark, network):
     found = sorted(((r.doc_id, r.lang_pred == "und", r.score) for r in predict(docs, network).collect()), key=str)
     assert [f[:2] for f in found] == [(1, True), (2, True), (3, True), (4, False), (4, False), (None, False)] and found[0][2] == 0.0
     assert predict(docs, network).columns == ["doc_id", "lang", "lang_pred", "score"]
-    kept = keep_known(docs, network)
+    kept = keep_known(docs, network, min_score=0)
     assert kept.columns == docs.columns and kept.count() == 3
     assert predict(docs.limit(0), network).count() == 0
 
@@ -79,3 +79,30 @@ def test_sample_is_bounded(spark):
     random.seed(1)
     docs = spark.createDataFrame([(i, "wort " * random.randint(1, 90), "de", "s", "p") for i in range(300)], DOCS)
     assert language.training_windows(docs, F.lit(True), "doc_id", "text", "lang", 50).count() == 50
+
+
+def test_sample_is_the_smallest_lots_and_few_rows_are_dealt(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "CASE WHEN id % 1000 = 0 THEN 'fr' ELSE 'de' END AS lang")
+    docs = docs.union(docs.where("doc_id < 5000"))
+    found = language.training_windows(docs, F.lit(True), "doc_id", "text", "lang", 50).collect()
+    lots = docs.distinct().select("lang", F.xxhash64("doc_id", "text", F.lit("language")).alias("lot")).collect()
+    for lang, n in (("de", 50), ("fr", 20)):
+        assert sorted(r.lot for r in found if r.lang == lang) == sorted(r.lot for r in lots if r.lang == lang)[:n]
+    assert language._drawn(docs, F.lit(True), "doc_id", "text", "lang", 50).where("lang = 'de'").count() < 600
+
+
+def test_rows_without_distinct_lots_still_teach(spark):
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "'the same text' AS text", "'en' AS lang")
+    assert language.training_windows(docs, F.lit(True), "doc_id", "text", "lang", 50).count() == 1
+
+
+def test_fate_is_decided_by_the_prediction_alone(spark, network):
+    real = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 3000").orderBy("doc_id").collect()
+    first = {r.lang: r.text for r in reversed(real)}
+    # a window of each language in turn: none has the larger part of the whole
+    mixed = "".join(t.encode()[:240].decode(errors="ignore") + " " * (language.WINDOW - len(t.encode()[:240].decode(errors="ignore").encode())) for _, t in sorted(first.items()))
+    docs = spark.createDataFrame([(0, first["en"], None, "_judged", "p"), (1, mixed, "en", None, "p"), (2, first["es"], None, None, None)], DOCS)
+    scores = {r.doc_id: r.score for r in predict(docs.select("doc_id", "text"), network).collect()}
+    assert scores[1] < language.MIN_SCORE < min(scores[0], scores[2])
+    assert [r.doc_id for r in keep_known(docs, network).orderBy("doc_id").collect()] == [0, 2]
+    assert [r.doc_id for r in keep_known(docs, network, wanted=["en"]).collect()] == [0]
