@@ -1,10 +1,16 @@
-"""Exact duplicates by collapsing runs of digests in a tree of rounds.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
-Every input partition contributes to one of a power of `fan_in` runs. A run holds each of its digests
-once, with the identifier that stays so far and the number of rows. Runs aren't sorted or merged in order: a round
-puts `fan_in` neighbouring runs under one number, and a grouped aggregation collapses their equal digests to one row. The last round leaves one run.
-A text that a third of all rows share is one row per run after the first, map-side, aggregation, so no
-task ever holds a group.
+Every input partition is a leaf: its digests in order, each once, with the identifier that stays so far and the number
+of rows. Runs are numbered in `fan_in`-ary digits, and so are the ranges of digests that each will own in the end. In each
+round the `fan_in` runs that differ in one digit of their numbers exchange rows: a row goes to the one of
+them whose digit is that of its range. Each run then merges what it was sent, which is in order already (Spark sorts rows
+by several columns with TimSort, which finds and merges such runs), and keeps of equal digests the
+identifier that stays, in a streaming aggregation over the merged order. After as many rounds as there are digits, each run
+holds all there is of its own range, and the runs in turn are one sorted list of the corpus's digests.
+
+Leaves are collapsed before the first exchange, and each round moves one row of a text from each run at most, so a
+text that a third of all rows share gathers nowhere. A digest that no other row has moves once per round: 64 bytes,
+log(partitions) / log(fan_in) times.
 
 The key is verified at each level: SHA-256 is accompanied by the length and a second, unrelated hash, and
 rows merge only where all three agree. Built-in expressions only.
@@ -16,42 +22,65 @@ gives an empty result. Only the two named columns are read, so other columns can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import one_row, settle, shuffle_partitions, small
 
-KEY = ("text_sha256", "n_bytes", "mark")
+KEY = ("sha", "n_bytes", "mark")
+#: Groups with at least one of so many of all rows; there are no more such groups than this, so they may be broadcast.
+HOT = 10_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("mark"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("mark"))
+
+
+def _owner(runs: int) -> Column:
+    """The number of the run that owns a digest in the end: its first 48 bits, scaled to [0, runs)."""
+    first = F.conv(F.substring(F.hex("sha"), 1, 12), 16, 10).cast("double")
+    return F.floor(first * runs / 2.0**48).cast("long")
 
 
 def merge_runs(rows: DataFrame, fan_in: int = 8, keep: str = "min") -> DataFrame:
     """Digest groups of rows (doc_id and KEY): KEY, keep_id, group_size."""
-    best = F.min if keep == "min" else F.max
-    runs = 1
+    best, last = (F.min, F.col("doc_id").isNull()) if keep == "min" else (F.max, F.col("doc_id").isNotNull())
+    runs = fan_in
     while runs < shuffle_partitions(rows.sparkSession):
         runs *= fan_in
-    level = rows.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs)))
-    level = level.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    while runs > 1:
-        runs //= fan_in
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        level = level.groupBy("run", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return level.drop("run")
+    # an identifier in a struct isn't updated in place, so Spark aggregates in the order of the sort, without a hash table
+    level = rows.select(*KEY, F.struct(last, "doc_id").alias("keep"), F.lit(1).cast("long").alias("size"), F.pmod(F.spark_partition_id(), F.lit(runs)).cast("long").alias("run"), _owner(runs).alias("owner"))
+    unit = 1
+    while unit < runs:
+        digit = lambda number: F.floor(F.col(number) / unit) % fan_in  # noqa: B023, E731
+        level = level.withColumn("run", F.col("run") + (digit("owner") - digit("run")) * unit)
+        if unit > 1:
+            level = level.repartition("run").sortWithinPartitions("run", *KEY)
+        level = level.groupBy("run", *KEY).agg(best("keep").alias("keep"), F.sum("size").alias("size"), F.first("owner").alias("owner"))
+        unit *= fan_in
+    return level.select(*KEY, F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"))
 
 
 def find_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 8) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
-    keep: 'min' or 'max', the identifier of a group that stays.
+    keep: 'min' or 'max', the identifier of a group that stays. Only groups of several rows are joined back. The largest,
+    no more than HOT, are broadcast, and their rows are scattered in the join with the others.
     """
     rows = settle(_keyed(docs, id_col, text_col))
-    groups = merge_runs(rows, fan_in, keep)
-    return rows.join(groups, list(KEY)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes")
+    groups = settle(merge_runs(rows, fan_in, keep).where("group_size > 1"))
+    n = rows.count()
+    hot = F.col("group_size") * HOT >= n
+    largest = groups.where(hot).select(*KEY, F.struct("keep_id", "group_size").alias("_hot"))
+    others = groups.where(~hot).select(*KEY, F.lit(-1).cast("long").alias("_lot"), F.struct("keep_id", "group_size").alias("_cold"))
+    marked = rows.join(F.broadcast(largest), list(KEY), "left")
+    marked = marked.withColumn("_lot", F.when(F.col("_hot").isNull(), -1).otherwise(F.monotonically_increasing_id()))
+    found = marked.join(others, [*KEY, "_lot"], "left").withColumn("_group", F.coalesce("_hot", "_cold"))
+    alone = F.col("_group").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("_group.keep_id"))
+    size = F.when(alone, F.lit(1).cast("long")).otherwise(F.col("_group.group_size"))
+    return found.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_bytes")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 8) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 
+from tallyfold.llm import exact_dedup
 from tallyfold.llm.exact_dedup import drop_exact_duplicates, find_exact_duplicates
 
 DOCS = "doc_id long, text string, keep_id string, run int"
@@ -59,3 +60,33 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = find_exact_duplicates(spark.createDataFrame(ROWS, DOCS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_runs_stay_sorted_and_are_merged_in_rounds(spark):
+    import re
+
+    rows = exact_dedup._keyed(spark.range(500).selectExpr("id AS doc_id", "CAST(id % 300 AS STRING) AS text"), "doc_id", "text")
+    # four partitions, two digits: one round on (run, key), one between whole runs
+    plan = exact_dedup.merge_runs(rows, fan_in=2)._jdf.queryExecution().executedPlan().toString()
+    kinds = re.findall(r"(SortAggregate|HashAggregate|Exchange hashpartitioning\([^)]*\)|Sort \[run[^\]]*)", plan)
+    shape = [re.sub(r"#\d+L?|\d+", "", k) for k in kinds]
+    assert "HashAggregate" not in shape and sum(k.startswith("Exchange") for k in shape) == 2
+    top = plan.index("Exchange")
+    # the second round: rows dealt by run alone, one sort, then only streaming aggregation
+    assert plan[:top].count("SortAggregate") == 2 and plan[:top].count("Sort [run") == 1
+    assert re.search(r"hashpartitioning\(run#\d+L?, \d+\)", plan)
+
+
+def test_all_that_is_equal_ends_in_the_run_that_owns_it(spark):
+    rows = exact_dedup._keyed(spark.range(2000).selectExpr("id AS doc_id", "CAST(id % 700 AS STRING) AS text").repartition(7), "doc_id", "text")
+    for fan_in in (2, 3, 8):
+        found = exact_dedup.merge_runs(rows, fan_in).collect()
+        assert len(found) == 700 and sorted(r.keep_id for r in found) == list(range(700)) and sum(r.group_size for r in found) == 2000
+
+
+def test_rows_of_one_identifier_in_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    docs = spark.range(900).selectExpr("CASE WHEN id % 2 = 0 THEN 5L ELSE id END AS doc_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE CAST(id % 9 AS STRING) END AS text")
+    found = find_exact_duplicates(docs)
+    assert found.where("text_sha256 = sha2('hot', 256)").select("keep_id", "group_size", "kept").distinct().collect() == [(5, 450, True)]
+    assert found.count() == 900 and found.where("kept").count() == 450 + 9
