@@ -4,8 +4,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-import corpus_pipeline as cp
+from tallyfold.llm import language
+from tallyfold.llm import pipeline as cp
 from tallyfold.llm.bpe import ranks_of, read_ranks
 from tallyfold.llm.near_dedup import shingles, words_of
 
@@ -36,8 +38,14 @@ def ids(rows):
     return sorted((r.doc_id for r in rows), key=str)
 
 
-def test_language_drops_only_texts_without_letters(stages):
-    assert ids(stages["language"]) == ids([r for r in stages["documents"] if r.text and any(c.isalpha() for c in r.text)])
+def test_language_drops_what_the_network_cannot_tell(spark, folder, stages):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    held_out = "pmod(crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)), 4) = 2"
+    network = language.train(docs, ~F.expr(held_out))
+    told = [r.doc_id for r in language.predict(docs.select("doc_id", "text"), network).collect() if r.lang_pred != "und" and r.score >= language.MIN_SCORE]
+    assert ids(stages["language"]) == sorted(told, key=str)
+    gone = {r.doc_id for r in stages["documents"]} - {r.doc_id for r in stages["language"]}
+    assert {1000, 1001, 1002} <= gone and len(gone) < 10
 
 
 def test_exact_dedup_keeps_the_smallest_of_each_text(stages):
