@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import distinct, mix, one_row, settle, ship, small
+from tallyfold.llm.common import distinct, mix, one_row, release, settle, ship, small
 from tallyfold.llm.components import components
 
 COORDINATES = 128
@@ -134,6 +134,7 @@ def _sketched(ngram: int):
                     rows, held = [], 0
             if rows:
                 yield flush(rows)
+        release()
 
     return sketch
 
@@ -153,6 +154,7 @@ def _confirmed(ngram: int, percent: int):
                 both = len(first & second)
                 out.append((a, b, both, both > 0 and 100 * both >= percent * (len(first) + len(second) - both)))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], t) for i, t in enumerate(schema.types)], schema=schema)
+        release()
 
     return confirm
 
@@ -225,6 +227,7 @@ def _hashed(ngram: int):
                 hashes = [shingle_hashes(w, known, ngram) for w in words]
                 classes = [np.bincount((h % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) for h in hashes]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, schema.types[1]), pa.array([h.view(np.int64) for h in hashes], schema.types[2]), pa.array(classes, schema.types[3])], schema=schema)
+        release()
 
     return shingle
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import ship
+from tallyfold.llm.common import release, ship
 
 MEMORY = 1_000_000
 #: Texts of one step within a task, in characters.
@@ -161,5 +161,6 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                     step, size = [], 0
             counts += counter.count(step)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], schema=schema)
+        release()
 
     return texts.mapInArrow(count, out)
