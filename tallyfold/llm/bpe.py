@@ -36,8 +36,12 @@ from tallyfold.llm.common import pack, pack_sorted, release, settle, ship, shuff
 
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 32 << 20
-#: Bytes of words whose ids a slice remembers; beyond that it starts anew, which changes no result.
-MEMORY = 64 << 20
+#: Bytes that a slice takes for words whose ids it remembers; beyond that it starts anew, which changes no result.
+MEMORY = 96 << 20
+#: Bytes of Python's objects for a remembered word, besides its own.
+ENTRY = 200
+#: Numbers that are looked up at once.
+PART = 1 << 19
 #: Rows of a batch of results.
 ROWS = 256
 
@@ -91,17 +95,24 @@ class _Block:
         Words seen more than once are numbered from 1 by frequency, those seen once after them in text order, so
         that in the texts 0 can stand for the next of these.
         """
-        text = np.concatenate(self.texts)
-        counts = np.bincount(text, minlength=len(self.numbers))
+        lengths = pack(np.array([len(t) for t in self.texts], np.uint32))
+        text, self.texts = np.concatenate(self.texts), []
+        # in parts, as numpy widens what it counts or looks up
+        parts = [text[i : i + PART] for i in range(0, len(text), PART)]
+        counts = np.zeros(len(self.numbers), np.int64)
+        for part in parts:
+            counts += np.bincount(part, minlength=len(counts))
         order = np.argsort(np.where(counts > 1, -counts, 0), kind="stable")
         often = int((counts > 1).sum())
         code = np.empty(len(order), np.uint32)
         code[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
-        codes = code[text]
-        codes[codes > often] = 0
-        lengths = pack(np.array([len(t) for t in self.texts], np.uint32))
-        table = {"block": [block], "slice": [None], "doc_ids": [self.ids], "often": [often], "codes": [pack(codes)], "lengths": [lengths], "words": [None]}
+        code[code > often] = 0
+        for part in parts:
+            part[:] = code[part]
+        table = {"block": [block], "slice": [None], "doc_ids": [self.ids], "often": [often], "codes": [pack(text)], "lengths": [lengths], "words": [None]}
+        text = parts = part = counts = code = None  # what follows needs room
         words = [w.encode() for w in self.numbers]
+        self.numbers = {}
         words = [words[i] for i in order.tolist()]
         dealt = np.fromiter((zlib.crc32(w) % n_slices for w in words), np.int64, len(words))
         # within a slice the numbers ascend
@@ -149,7 +160,7 @@ class Ids:
         for word in words:
             if word not in ids:
                 ids[word] = np.array(self.encode(word.decode()), np.uint32).tobytes()
-                self.held += len(word)
+                self.held += len(word) + len(ids[word]) + ENTRY
         found = [ids[w] for w in words]
         return np.fromiter(map(len, found), np.uint32, len(found)) // 4, np.frombuffer(b"".join(found), np.uint32)
 

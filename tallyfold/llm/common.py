@@ -81,8 +81,10 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers as zstd over their byte planes, small for arrays whose high bytes vary little."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    packer = zstandard.ZstdCompressor(level=3).compressobj(size=planes.size)
+    # plane by plane, so that no second copy of all is held
+    return b"".join([*(packer.compress(planes[:, k].tobytes()) for k in range(planes.shape[1])), packer.flush()])
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
