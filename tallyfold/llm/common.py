@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.sources.scratch import settle, shared_folder  # noqa: F401
@@ -20,8 +20,10 @@ from tallyfold.sources.scratch import settle, shared_folder  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of some hundred bytes at most that may be sent to every executor.
-BROADCAST_ROWS = 50_000
+#: Bytes that may be sent to every executor.
+BROADCAST_BYTES = 8 << 20
+#: Groups with at least one of so many of all rows; there are no more such groups than this, so they may be broadcast.
+HOT = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -30,8 +32,48 @@ def n_words(text: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A settled df, marked for broadcast if it has at most BROADCAST_ROWS rows; else Spark's joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A settled df of flat columns, marked for broadcast if it has at most BROADCAST_BYTES; else Spark's joins shuffle it."""
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    n, *sizes = df.agg(F.count(F.lit(1)), *texts).first()
+    return F.broadcast(df) if n * 8 * (2 + len(df.columns)) + sum(sizes) <= BROADCAST_BYTES else df
+
+
+def in_order(rows: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+    """rows with _rank (from 0) in the order, _n (how many they are) and, for each of sums, its sum over the rows before and over all (<name>_before, <name>_all).
+
+    Rows are dealt by ranges of the order, and each range starts where those before it end; only one row of each
+    range is ever in one place. The order tells all rows apart that the caller wants apart.
+    """
+    spark = rows.sparkSession
+    sums = {"_rank": F.lit(1).cast("long")} | (sums or {})
+    valued = rows.withColumns({f"_v_{name}": value for name, value in sums.items()})
+    dealt = settle(valued.repartitionByRange(shuffle_partitions(spark), *order).withColumn("_part", F.spark_partition_id()))
+    ranges = dealt.groupBy("_part").agg(*(F.sum(f"_v_{name}").alias(f"_s_{name}") for name in sums))
+    earlier, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    starts = ranges.select("_part", *(zero(F.sum(f"_s_{n}").over(earlier)).alias(f"_b_{n}") for n in sums), *(F.sum(f"_s_{n}").over(every).alias(f"_a_{n}") for n in sums))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = {n: F.col(f"_b_{n}") + zero(F.sum(f"_v_{n}").over(inside)) for n in sums}
+    # as many rows as ranges, so it may be sent to all tasks
+    placed = dealt.join(F.broadcast(starts), "_part")
+    more = [c for n in sums if n != "_rank" for c in (before[n].alias(f"{n}_before"), F.col(f"_a_{n}").alias(f"{n}_all"))]
+    return placed.select(*(placed[c] for c in rows.columns), before["_rank"].alias("_rank"), F.col("_a__rank").alias("_n"), *more)
+
+
+def rejoin(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows with `_group`, a struct of the other columns of the row of groups with their key, or null.
+
+    Both are settled; size names the column of groups with the number of their rows. The largest groups, no more than
+    HOT, are broadcast, and their rows are scattered in the join with the others.
+    """
+    n = rows.count()
+    hot = F.col(size) * HOT >= n
+    rest = F.struct(*(c for c in groups.columns if c not in key))
+    largest = groups.where(hot).select(*key, rest.alias("_hot"))
+    others = groups.where(~hot).select(*key, F.lit(-1).cast("long").alias("_lot"), rest.alias("_cold"))
+    marked = rows.join(F.broadcast(largest), key, "left")
+    marked = marked.withColumn("_lot", F.when(F.col("_hot").isNull(), -1).otherwise(F.monotonically_increasing_id()))
+    return marked.join(others, [*key, "_lot"], "left").select(*(F.col(c) for c in rows.columns), F.coalesce("_hot", "_cold").alias("_group"))
 
 
 def one_row(rows: DataFrame, key: list[Column], text_col: str) -> DataFrame:

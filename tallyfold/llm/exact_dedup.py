@@ -25,11 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import one_row, settle, shuffle_partitions, small
+from tallyfold.llm.common import one_row, rejoin, settle, shuffle_partitions, small
 
 KEY = ("sha", "n_bytes", "mark")
-#: Groups with at least one of so many of all rows; there are no more such groups than this, so they may be broadcast.
-HOT = 10_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,18 +63,11 @@ def merge_runs(rows: DataFrame, fan_in: int = 8, keep: str = "min") -> DataFrame
 def find_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_in: int = 8) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
-    keep: 'min' or 'max', the identifier of a group that stays. Only groups of several rows are joined back. The largest,
-    no more than HOT, are broadcast, and their rows are scattered in the join with the others.
+    keep: 'min' or 'max', the identifier of a group that stays. Only groups of several rows are joined back.
     """
     rows = settle(_keyed(docs, id_col, text_col))
     groups = settle(merge_runs(rows, fan_in, keep).where("group_size > 1"))
-    n = rows.count()
-    hot = F.col("group_size") * HOT >= n
-    largest = groups.where(hot).select(*KEY, F.struct("keep_id", "group_size").alias("_hot"))
-    others = groups.where(~hot).select(*KEY, F.lit(-1).cast("long").alias("_lot"), F.struct("keep_id", "group_size").alias("_cold"))
-    marked = rows.join(F.broadcast(largest), list(KEY), "left")
-    marked = marked.withColumn("_lot", F.when(F.col("_hot").isNull(), -1).otherwise(F.monotonically_increasing_id()))
-    found = marked.join(others, [*KEY, "_lot"], "left").withColumn("_group", F.coalesce("_hot", "_cold"))
+    found = rejoin(rows, groups, list(KEY), "group_size")
     alone = F.col("_group").isNull()
     keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("_group.keep_id"))
     size = F.when(alone, F.lit(1).cast("long")).otherwise(F.col("_group.group_size"))

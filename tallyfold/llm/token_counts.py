@@ -7,7 +7,7 @@ count one each, and only the rest are merged by the library, once each. Chunks w
 characters from planes that Unicode hasn't assigned, where pattern engines differ, go to the library whole.
 
 Counting is a map over rows: nothing is shuffled, and a worker's memory of counted chunks is emptied
-when it passes MEMORY entries, which changes no result.
+when it passes MEMORY bytes, which changes no result.
 
 Defined results: null text is empty and has no tokens; repeated rows each give a row; an empty table gives
 an empty result. Only the identifier and text are read.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import release, ship
 
-MEMORY = 1_000_000
+#: Bytes that a worker takes for the chunks it remembers, each with ENTRY for Python's objects.
+MEMORY = 160 << 20
+ENTRY = 140
 #: Texts of one step within a task, in characters.
 STEP = 8 << 20
 UNASSIGNED = "\U00030000"
@@ -59,7 +61,7 @@ def prove_whole(vocabulary: str) -> list[str]:
                 text = bytes(table[c] for c in body).decode()
             except UnicodeDecodeError:
                 continue
-            if tokenizer.normalizer.normalize_str(text) == text and not any(s in text for s in specials):
+            if (tokenizer.normalizer is None or tokenizer.normalizer.normalize_str(text) == text) and not any(s in text for s in specials):
                 texts.append(text)
     find = pre_token_pattern(vocabulary).findall
     encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -82,31 +84,44 @@ def pre_token_pattern(vocabulary: str) -> regex.Pattern:
     return regex.compile(split["pattern"]["Regex"])
 
 
+def ascii_normaliser(vocabulary: str) -> Callable[[str], str] | None:
+    """What the vocabulary's normaliser does to ASCII without white space, where that is known to be no more than lower-casing."""
+    own = json.loads(vocabulary)["normalizer"]
+    steps = [] if own is None else own["normalizers"] if own["type"] == "Sequence" else [own]
+    kinds = [s["type"] for s in steps if not (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"})]
+    if not set(kinds) <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}:
+        return None
+    return str.lower if "Lowercase" in kinds else str
+
+
 class ChunkCounter:
     """Counts tokens of chunks without white space."""
 
     def __init__(self, vocabulary: str, whole: Iterable[str]) -> None:
         self.library = _library(vocabulary)
-        self.normalise = self.library.normalizer.normalize_str
+        self.normalise = self.library.normalizer.normalize_str if self.library.normalizer else str
+        self.ascii = ascii_normaliser(vocabulary) or self.normalise
         self.find = pre_token_pattern(vocabulary).findall
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = frozenset(whole)
         self.chunks: dict[str, int] = {}
+        self.held = 0
 
     def _lengths(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > MEMORY:
-            self.chunks.clear()
+        if self.held > MEMORY:
+            self.chunks, self.held = {}, 0
         new = [c for c in chunks if c not in self.chunks]
+        self.held += sum(map(len, new)) + ENTRY * len(new)
         special = [c for c in new if any(s in c for s in self.specials) or not c.isascii() and max(c) >= UNASSIGNED]
         self.chunks.update(zip(special, self._lengths(special), strict=True))
         open_, merges = [], {}
         for chunk in new:
             if chunk in self.chunks:
                 continue
-            pieces = self.find(chunk.lower() if chunk.isascii() else self.normalise(chunk))
+            pieces = self.find((self.ascii if chunk.isascii() else self.normalise)(chunk))
             rest = [p for p in pieces if p not in self.whole]
             self.chunks[chunk] = len(pieces) - len(rest)
             if rest:

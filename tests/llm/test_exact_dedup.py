@@ -1,6 +1,6 @@
 import hashlib
 
-from tallyfold.llm import exact_dedup
+from tallyfold.llm import common, exact_dedup
 from tallyfold.llm.exact_dedup import drop_exact_duplicates, find_exact_duplicates
 
 DOCS = "doc_id long, text string, keep_id string, run int"
@@ -85,7 +85,7 @@ def test_all_that_is_equal_ends_in_the_run_that_owns_it(spark):
 
 
 def test_rows_of_one_identifier_in_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT", 3)
+    monkeypatch.setattr(common, "HOT", 3)
     docs = spark.range(900).selectExpr("CASE WHEN id % 2 = 0 THEN 5L ELSE id END AS doc_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE CAST(id % 9 AS STRING) END AS text")
     found = find_exact_duplicates(docs)
     assert found.where("text_sha256 = sha2('hot', 256)").select("keep_id", "group_size", "kept").distinct().collect() == [(5, 450, True)]

@@ -54,3 +54,18 @@ def test_any_text(counter, text):
 def test_every_character(counter):
     texts = [f"a{chr(c)}a 1{chr(c)}1 {chr(c)}{chr(c)}! A{chr(c)}É" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 17 == 0)]
     assert counter.count(texts) == [len(e.ids) for e in counter.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ascii_is_normalised_as_the_vocabulary_says(vocabulary):
+    import json
+
+    own = json.loads(vocabulary)
+    assert tc.ascii_normaliser(vocabulary) is str.lower
+    for normaliser, wanted in ((None, str), ({"type": "NFC"}, str), ({"type": "Strip", "strip_left": True, "strip_right": True}, None)):
+        own["normalizer"] = normaliser
+        assert tc.ascii_normaliser(json.dumps(own)) is wanted
+    own["normalizer"] = None
+    cased = json.dumps(own)
+    counter = ChunkCounter(cased, prove_whole(cased))
+    texts = ["Hello WORLD", "the THE The", "ÉCOLE école"]
+    assert counter.count(texts) == [len(counter.library.encode(t, add_special_tokens=False).ids) for t in texts]
