@@ -3,13 +3,15 @@
 Words are summed per source. Sources in code point order, null last, take the weights in turn. Together
 they are to have `share` times all words; a source whose part would exceed `most` times its words stops there,
 and the excess goes to the rest by weight until none is above. The rate of a source is its target over its
-words. Each document is taken floor(rate) times, and once more where a hash of its identifier and a seed
-is below the fraction of the rate. Of `seeds` seeds a source uses the one whose draw comes nearest to its
-target (ties: the lowest), which a single aggregation finds; reruns agree.
+words. Each document is taken floor(rate) times, and once more where its lot, a hash of its identifier in [0, 1),
+is below the fraction of the rate. As few long documents can carry most words of a source, a plain draw may land far
+from the target (by a third for the smallest sources of the test tables). So the lots of a source are turned, all by
+the same step of `turns` around the circle: under each turn a document has its extra copy with the probability of the
+fraction, and the turn whose draw comes nearest to the target is used (ties: the lowest). A single aggregation finds it; reruns agree.
 
-Everything is grouping by source with map-side sums, so a source with a third of the rows is no burden; the
-ordered windows run over one row per source. Few sources are broadcast to the documents, after a check of their
-number; many are joined by a shuffle. Repeating is an explode in place.
+Documents are grouped by source with map-side sums, so a source with a third of the rows is no burden. Sources are
+ranked and summed up in ranges, so that they may be as many as there are hosts. Few sources are broadcast to the documents, after a check of their
+size; many are joined by a shuffle. Repeating is an explode in place.
 
 Defined results: null text and null source are counted (size 0; the last source); rows that repeat an
 identifier share its draw; sources without words have target 0 and rate 0; an empty table gives an empty result.
@@ -17,71 +19,78 @@ identifier share its draw; sources without words have target 0 and rate 0; an em
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import n_words, settle, small
+from tallyfold.llm.common import in_order, n_words, settle, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
-SEEDS = 32
+TURNS = 32
 
 
-def draw(identifier: Column, seed: Column) -> Column:
-    """A number in [0, 1) from the identifier and the seed."""
-    digest = F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(identifier.cast("string"), F.lit(""))))
+def lot(identifier: Column) -> Column:
+    """A number in [0, 1) from the identifier, in steps of 2**-48."""
+    digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(identifier.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
+def _drawn(lots: Column, turn: Column, turns: int, fraction: Column) -> Column:
+    """Whether the turned lot is below the fraction; sums and differences are exact where turns is a power of 2."""
+    turned = lots + turn / F.lit(float(turns))
+    return F.when(turned >= 1, turned - 1).otherwise(turned) < fraction
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes (source, source_size) with weight and target."""
     if share > most:
         raise ValueError("the sources can't have more than most times their words")
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int") + 1)
-    own = sizes.withColumn("weight", weight).withColumn("full_at", most * F.col("source_size") / F.col("weight"))
+    by_name = F.col("source").asc_nulls_last()
+    placed = in_order(sizes.select("source", "source_size"), [by_name])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights)).cast("int") + 1)
+    own = placed.select("source", "source_size", weight.alias("weight")).withColumn("full_at", most * F.col("source_size") / F.col("weight"))
     # at a level t of words for each unit of weight, source i has min(most * size, t * weight)
-    order = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    fixed = F.coalesce(F.sum(most * F.col("source_size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy()) * share
-    level = own.withColumn("level", (total - fixed) / open_weight).withColumn("step", F.row_number().over(order))
+    limit = most * F.col("source_size")
+    summed = in_order(own, [F.col("full_at"), by_name], {"limit": limit, "weight": F.col("weight"), "size": F.col("source_size")})
+    level = (F.col("size_all") * share - F.col("limit_before")) / (F.col("weight_all") - F.col("weight_before"))
+    summed = settle(summed.withColumn("level", level))
     # the level is that of the first source, in that order, which it doesn't fill
-    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("step", "level"))).over(Window.partitionBy())
-    level = level.withColumn("level", first["level"])
-    target = F.least(most * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), most * F.col("source_size")))
-    return level.select("source", "source_size", "weight", target.cast("double").alias("target"))
+    first = summed.agg(F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("_rank", "level")))["level"]).first()[0]
+    target = limit if first is None else F.least(limit, F.lit(first) * F.col("weight"))
+    return summed.select("source", "source_size", "weight", target.cast("double").alias("target"))
+
 
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, turns: int = TURNS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, turn."""
+    rows = _sized(docs, id_col, text_col, source_col)
+    joined = rows.join(small(plan(rows, weights, share, most, turns)), rows["source"].eqNullSafe(F.col("_source")))
+    copies = _copies(F.col("lot"), F.col("turn"), turns, F.col("rate"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "turn")
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, seed."""
-    rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
-    return rows.join(small(plan(rows, weights, share, most, seeds)), rows["source"].eqNullSafe(F.col("_source"))).drop("_source").transform(_taken)
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), lot(F.col(id_col)).alias("lot")))
 
-def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, seeds: int) -> DataFrame:
-    """One row per source: _source, source_size, target, rate, seed. rows: doc_id, source, size."""
+
+def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, turns: int) -> DataFrame:
+    """One row per source: _source, source_size, target, rate, turn. rows: source, size, lot."""
     rates = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    rates = settle(rates.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))).withColumnRenamed("source", "_source")
+    rates = settle(rates.select(F.col("source").alias("_source"), "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")))
     joined = rows.join(small(rates), rows["source"].eqNullSafe(rates["_source"]))
     fraction = F.col("rate") - F.floor("rate")
-    extra = [F.sum(F.when(draw(F.col("doc_id"), F.lit(k)) < fraction, F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(seeds)]
+    extra = [F.sum(F.when(_drawn(F.col("lot"), F.lit(k), turns, fraction), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(turns)]
     drawn = joined.groupBy("_source", "source_size", "target", "rate").agg(*extra)
-    miss = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds)]
-    return settle(drawn.withColumn("seed", F.array_min(F.array(*miss))["seed"]).select("_source", "source_size", "target", "rate", "seed"))
+    miss = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("miss"), F.lit(k).alias("turn")) for k in range(turns)]
+    return settle(drawn.withColumn("turn", F.array_min(F.array(*miss))["turn"]).select("_source", "source_size", "target", "rate", "turn"))
 
 
-def _taken(rows: DataFrame) -> DataFrame:
-    fraction = F.col("rate") - F.floor("rate")
-    copies = F.floor("rate") + F.when(draw(F.col("doc_id"), F.col("seed")) < fraction, 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")).drop("rate")
+def _copies(lots: Column, turn: Column, turns: int, rate: Column) -> Column:
+    return (F.floor(rate) + F.when(_drawn(lots, turn, turns, rate - F.floor(rate)), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, turns: int = TURNS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs in their own columns, each row as often as the mix takes it."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    rates = small(plan(settle(sized), weights, share, most, seeds)).select(F.struct("_source", "rate", "seed").alias("_rate"))
+    rates = small(plan(_sized(docs, id_col, text_col, source_col), weights, share, most, turns)).select(F.struct("_source", "rate", "turn").alias("_rate"))
     joined = docs.join(rates, docs[source_col].eqNullSafe(F.col("_rate._source")))
-    rate = F.col("_rate.rate")
-    copies = F.floor(rate) + F.when(draw(F.col(id_col), F.col("_rate.seed")) < rate - F.floor(rate), 1).otherwise(0)
-    repeated = joined.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))))
+    copies = _copies(lot(docs[id_col]), F.col("_rate.turn"), turns, F.col("_rate.rate"))
+    repeated = joined.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     return repeated.select(*(docs[c] for c in docs.columns))

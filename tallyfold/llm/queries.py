@@ -32,7 +32,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = ["lang", "source", "size"]
     rows = sharding.document_metadata(_table(spark, sf_dir, "documents"), dims[:2])
-    placed = sharding.hilbert_shards(rows, dims, 40, ["doc_id", "text_crc32", "size"])
+    placed = sharding.hilbert_shards(rows, dims, 40, ["doc_id", *dims], together="text_sha256")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
@@ -117,12 +117,13 @@ lv AS (SELECT a.source, (1.5 * (SELECT sum(source_size) FROM w) - coalesce((SELE
     / (SELECT sum(b.weight) FROM w b WHERE 2.0 * b.source_size / b.weight >= 2.0 * a.source_size / a.weight) AS level, 2.0 * a.source_size / a.weight AS full_at FROM w a),
 t AS (SELECT source, source_size, least(2.0 * source_size, coalesce((SELECT arg_min(level, full_at) FROM lv WHERE level <= full_at) * weight, 2.0 * source_size))::DOUBLE AS target FROM w),
 r AS (SELECT *, coalesce(target / nullif(source_size, 0), 0) AS rate FROM t),
-k AS (SELECT r.source, seed, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN ('0x' || substr(md5(seed || ':' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656 < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS miss
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, range(32) AS x(seed) GROUP BY r.source, seed),
-b AS (SELECT source, first(seed ORDER BY miss, seed) AS seed FROM k GROUP BY source)
+x AS (SELECT *, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656 AS lot FROM d),
+k AS (SELECT r.source, turn, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN lot + turn / 32.0::DOUBLE - floor(lot + turn / 32.0::DOUBLE) < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS miss
+  FROM x JOIN r ON x.source IS NOT DISTINCT FROM r.source, range(32) AS t(turn) GROUP BY r.source, turn),
+b AS (SELECT source, first(turn ORDER BY miss, turn) AS turn FROM k GROUP BY source)
 SELECT doc_id, size, r.source_size, r.target,
-  ((floor(rate) + CASE WHEN ('0x' || substr(md5(seed || ':' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656 < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN b ON d.source IS NOT DISTINCT FROM b.source
+  ((floor(rate) + CASE WHEN lot + turn / 32.0::DOUBLE - floor(lot + turn / 32.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM x JOIN r ON x.source IS NOT DISTINCT FROM r.source JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}

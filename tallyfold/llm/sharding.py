@@ -1,12 +1,14 @@
 """Shards cut from a Hilbert curve over several metadata dimensions.
 
 Each dimension is quantised to 2**BITS levels at its own quantiles, so that levels hold like numbers of
-rows; texts are taken in the order of their first bytes. The levels give each row an index along the
+rows; texts by the rank of their whole values, counted row by row. The levels give each row an index along the
 Hilbert curve; rows sorted by that index are cut into runs of equal row counts. Rows of a run are close in
 all dimensions at once, so the minimum and maximum of each dimension in a shard's files let readers skip it.
+Rows that are to stay together (equal texts, by a digest) all take the smallest index among them and follow each
+other, so they share a shard or lie in neighbouring ones.
 
-Only identifiers, sizes and levels are shuffled, never texts. Ranks come from a range partitioning
-on (index, tie-breaks), whose partitions are small where many rows share an index, plus the row counts
+Only identifiers, sizes, digests and levels are shuffled, never texts. Ranks come from a range partitioning
+on (index, digest, tie-breaks), whose partitions are small where many rows share an index, plus the row counts
 of the partitions before; those are as many as partitions.
 
 Defined results: null in a dimension is its own lowest level; a null text has no bytes; repeated rows each
@@ -18,14 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import settle, ship, shuffle_partitions
+from tallyfold.llm.common import in_order, rejoin, settle, ship, shuffle_partitions
 
 BITS = 5
-#: Bytes of a text that take part in its order.
-PREFIX = 7
 
 
 def hilbert_index(levels: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -51,69 +51,73 @@ def hilbert_index(levels: np.ndarray, bits: int = BITS) -> np.ndarray:
     return index
 
 
-def ordinal(column: str, kind: str) -> Column:
-    """A number that orders the column's values: themselves, or the first bytes of texts."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
+def levels_of(values: np.ndarray, bounds: list[list[float] | None]) -> np.ndarray:
+    """For each value (a column for each dimension) its quantile bin from 1, or 0 for NaN; without bounds the value is its level."""
+    return np.stack([v.astype(np.int64) if b is None else np.where(np.isnan(v), 0, 1 + np.searchsorted(b, v, side="left")) for v, b in zip(values.T, bounds, strict=True)], axis=1)
 
 
-def levels_of(values: np.ndarray, bounds: list[list[float]]) -> np.ndarray:
-    """For each value (a column for each dimension) its quantile bin from 1, or 0 for NaN."""
-    return np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(b, v, side="left")) for v, b in zip(values.T, bounds, strict=True)], axis=1)
+def _ranked(rows: DataFrame, dim: str, cuts: int) -> DataFrame:
+    """Settled rows with `_level` of a dimension of texts: which of `cuts` equal parts of all rows its value starts in, from 1; 0 for null."""
+    values = rows.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("_rows"))
+    level = 1 + F.floor(F.col("rows_before") * cuts / F.col("rows_all"))
+    levels = settle(in_order(values, [F.col(dim)], {"rows": F.col("_rows")}).select(dim, "_rows", level.cast("double").alias("_level")))
+    found = rejoin(rows, levels, [dim], "_rows")
+    return found.select(*(found[c] for c in rows.columns), F.coalesce("_group._level", F.lit(0.0)).alias("_level"))
 
 
 def with_curve(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """rows with `curve`, the Hilbert index of their quantised dimensions."""
-    kinds = dict(rows.dtypes)
-    cuts = 2**bits - 1
+    kinds, columns, cuts = dict(rows.dtypes), rows.columns, 2**bits - 1
+    rows = settle(rows)
     shares = [k / cuts for k in range(1, cuts)]
-    ordinals = [ordinal(d, kinds[d]) for d in dims]
-    found = rows.agg(*(F.percentile_approx(o, shares, 10_000).alias(f"b{i}") for i, o in enumerate(ordinals))).first()
-    bounds = [sorted(set(b or [])) for b in found]
+    numbers = [d for d in dims if kinds[d] != "string"]
+    found = rows.agg(*(F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(f"b{i}") for i, d in enumerate(numbers))).first() if numbers else []
+    bounds = dict(zip(numbers, [sorted(set(b or [])) for b in found], strict=True))
+    for i, d in enumerate(dims):
+        if d not in bounds:
+            rows = settle(_ranked(rows, d, cuts).withColumnRenamed("_level", f"_level{i}"))
+    points = [F.col(d).cast("double") if d in bounds else F.col(f"_level{i}") for i, d in enumerate(dims)]
+    bounds = [bounds.get(d) for d in dims]
 
     def curve(values: pd.Series) -> pd.Series:
         table = np.array(values.tolist(), np.float64).reshape(len(values), len(bounds))
         return pd.Series(hilbert_index(levels_of(table, bounds), bits))
 
-    return rows.withColumn("curve", F.pandas_udf(curve, "long")(F.array(*ordinals)))
+    return rows.select(*columns, F.pandas_udf(curve, "long")(F.array(*points)).alias("curve"))
 
 
-def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int, ties: list[str]) -> DataFrame:
+def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int, ties: list[str], together: str | None = None) -> DataFrame:
     """rows with shard and slot (from 0 within the shard); shard row counts differ by one at most.
 
-    ties: columns that order rows of one index, the row's identifier among them.
+    ties: columns that order rows of one index, the row's identifier among them. together: a column; rows that are equal
+    in it follow each other.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    indexed = with_curve(rows, dims)
-    order = ["curve", *ties]
-    dealt = settle(indexed.repartitionByRange(shuffle_partitions(spark), *order).withColumn("_part", F.spark_partition_id()))
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    # as many rows as partitions, so it may be sent to all tasks
-    placed = dealt.join(F.broadcast(starts), "_part")
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    ranked = placed.withColumn("_rank", rank)
-    shard = F.expr(f"CAST(_rank * {n_shards} div _total AS INT)")
-    first = F.expr(f"(shard * _total + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).drop("_part", "_start", "_total", "_rank")
+    ship(rows.sparkSession)
+    indexed = settle(with_curve(rows, dims))
+    lead, order = F.col("curve"), [F.col(c) for c in ties]
+    if together:
+        groups = settle(indexed.where(F.col(together).isNotNull()).groupBy(together).agg(F.min("curve").alias("lead"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1"))
+        indexed = rejoin(indexed, groups, [together], "_rows")
+        lead, order = F.coalesce("_group.lead", "curve"), [F.col(together), *order]
+    ranked = in_order(indexed.withColumn("_lead", lead), [F.col("_lead"), *order])
+    shard = F.expr(f"CAST(_rank * {n_shards} div _n AS INT)")
+    first = F.expr(f"(shard * _n + {n_shards - 1}) div {n_shards}")
+    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).select(*rows.columns, "curve", "shard", "slot")
 
 
 def document_metadata(docs: DataFrame, dims: list[str], id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus overhead), text_crc32 and the dimensions."""
+    """doc_id, size (UTF-8 bytes plus overhead), text_crc32, text_sha256 and the dimensions; null counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *(F.col(d) for d in dims))
+    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("text_sha256"), *(F.col(d) for d in dims))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """docs as Parquet, a folder for each shard, in slot order; placed is hilbert_shards of their document_metadata.
 
     A row meets its place by identifier, CRC of the text and dimensions, null-safely; rows that are equal there are
-    numbered on both sides by size, so each takes a place of its own.
+    numbered on both sides by size, so each takes a place of its own. A large shard is several files, each a range of slots.
     """
-    names = [c for c in placed.columns if c in docs.columns and c not in (id_col, text_col, "doc_id", "size", "text_crc32", "curve", "shard", "slot")]
+    names = [c for c in placed.columns if c in docs.columns and c not in (id_col, text_col, "doc_id", "size", "text_crc32", "text_sha256", "curve", "shard", "slot")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = [F.col(id_col), F.crc32(F.encode(text, "UTF-8")), *(F.col(c) for c in names)]
     theirs = [F.col("doc_id"), F.col("text_crc32"), *(F.col(c) for c in names)]
@@ -124,4 +128,4 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "d
     for i in range(len(own)):
         same &= F.col(f"_key{i}").eqNullSafe(F.col(f"_at{i}"))
     rows = left.join(right, same).select(*(left[c] for c in docs.columns), "shard", "slot")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)

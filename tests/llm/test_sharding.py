@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyfold.llm import sharding
 from tallyfold.llm.sharding import document_metadata, hilbert_index, hilbert_shards, levels_of, write_shards
 
 DOCS = "doc_id long, text string, lang string, source string, shard string"
@@ -23,7 +24,7 @@ def test_levels():
 
 
 def placed(spark, docs, n):
-    return hilbert_shards(document_metadata(docs, ["lang", "source"]), ["lang", "source", "size"], n, ["doc_id", "text_crc32", "size"])
+    return hilbert_shards(document_metadata(docs, ["lang", "source"]), ["lang", "source", "size"], n, ["doc_id", "lang", "source", "size"], together="text_sha256")
 
 
 def test_shards_are_even_and_slots_gapless(spark):
@@ -35,10 +36,25 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert len(found) == 1003 and set(by) == set(range(40))
     assert {len(v) for v in by.values()} == {25, 26} and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert all(r.size == 16 + 2 * (r.doc_id % 50) and r.text_crc32 == zlib.crc32(("é" * (r.doc_id % 50)).encode()) for r in found)
-    order = [r.curve for r in sorted(found, key=lambda r: (r.shard, r.slot))]
+    texts = [r.text_crc32 for r in sorted(found, key=lambda r: (r.shard, r.slot))]
+    # equal texts follow each other
+    assert 1 + sum(a != b for a, b in zip(texts, texts[1:], strict=False)) == len(set(texts))
+
+
+def test_rows_follow_the_curve(spark):
+    docs = spark.range(1003).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text", "CAST(id % 3 AS STRING) AS lang", "CAST(id % 29 AS STRING) AS source")
+    order = [r.curve for r in sorted(placed(spark, docs, 40).collect(), key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
 
 
+def test_texts_are_told_apart_by_their_whole_values(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'same length ' AS text", "'en' AS lang", "concat('https://site', lpad(CAST(id % 200 AS STRING), 3, '0'), '.com') AS source")
+    found = sharding.with_curve(document_metadata(docs, ["lang", "source"]), ["source"])
+    levels = found.select("source", "curve").distinct().collect()
+    assert len(levels) == 200 and len({r.curve for r in levels}) == 31
+    assert [r.curve for r in sorted(levels)] == sorted(r.curve for r in levels)
+
+
 def test_shards_prune_several_dimensions(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', CAST(id % 64 AS INT)) AS text", "CAST(id % 7 AS STRING) AS lang", "CAST(id % 31 AS STRING) AS source")
     size = (F.max("size") - F.min("size")).alias("spread")
