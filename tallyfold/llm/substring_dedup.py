@@ -1,9 +1,9 @@
 """Removes passages that an earlier document has, found through a count-min sketch.
 
-A window is a fixed number of consecutive words. Documents are dealt into blocks by their identifier; windows
+A window is a fixed number of consecutive words. Documents are dealt into blocks by a hash; windows
 that several documents of one block share are settled there. For the rest, each block contributes to a
 count-min sketch of DEPTH rows: the cells that its distinct windows fall into, sent as sorted, packed lists, dealt
-into slices of the sketch. A slice merges the lists of all blocks; the count of a cell, the number of blocks
+into slices of the sketch. A slice merges the lists of all blocks in bitmaps; the count of a cell, the number of blocks
 that touch it, is never below the number of blocks that have a window of the cell. Blocks get back one bit for
 each cell of theirs: whether its count is two or more. Windows with this bit in all rows may be elsewhere
 too, and only these go to the second pass, with a 128-bit digest and the smallest identifier of the block. The second
@@ -13,14 +13,18 @@ The sketch is as wide as the input is large and is never in one place; blocks an
 the bytes of the input. A passage that all documents share is one entry per block. Texts are shuffled
 once, for the blocks, and that exchange is read three times.
 
+Up to BUNDLE blocks, worked through one after the other, share a row to each slice. A bundle has (its bytes / 5) windows to
+spread over the slices, so its rows hold 2 MB of input divided by the number of slices: 0.4 million rows for 30 GB, and some
+40 windows a row at 10 TB. A row never holds less than one window, so beyond that rows grow as the windows do.
+
 Defined results: null texts have no words; texts of fewer words than a window keep all; a null identifier
-comes after all others; rows that repeat an identifier don't remove from each other; an empty table gives an
-empty result. Only the identifier and text are read.
+comes after all others but the largest 64-bit integer, with which it ties; rows that repeat an identifier don't
+remove from each other; an empty table gives an empty result. Only the identifier and text are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import distinct, mix, pack, pack_sorted, ship, text_bytes, unpack, unpack_sorted
+from tallyfold.llm.common import distinct, mix, pack, pack_sorted, release, ship, shuffle_partitions, text_bytes, unpack, unpack_sorted
 
 BLOCK_BYTES = 8 << 20
+#: Blocks that share their rows where there are enough of them to keep all partitions busy.
+BUNDLE = 4
+#: Input for each slice of the sketch, whose bitmaps take 0.8 bytes for each, and for each slice of the second pass.
+SKETCH_BYTES = 128 << 20
 SLICE_BYTES = 32 << 20
 DEPTH = 2
 #: Cells of a row of the sketch for each byte of text; words are rarely below five bytes with their space.
@@ -97,6 +105,7 @@ class Block:
     def __init__(self, table: pa.Table, width: int) -> None:
         ids = table["doc_id"].combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
+        self.named = table["doc_id"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)[order]
         texts = table["text"].combine_chunks().cast(pa.binary()).to_pylist()
         self.ids, self.texts = ids[order], [texts[i] or b"" for i in order.tolist()]
         digests, self.lengths = word_digests(self.texts)
@@ -126,26 +135,32 @@ def _slices(values: np.ndarray, bits: int, n: int) -> list[tuple[int, slice]]:
     return [(i, slice(a, b)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
 
 
+def _blocks(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each block of a bundle, in order of the blocks."""
+    numbers = table["block"].to_numpy()
+    for block in np.unique(numbers):
+        yield table.take(pa.array(np.flatnonzero(numbers == block)))
+
+
 def _sketched(width: int, bits: int, n: int) -> Callable:
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        block, out = Block(table, width), {"slice": [], "block": [], "cells": []}
-        for row in range(DEPTH):
-            cells = distinct(block.cells(row, bits))
-            for i, part in _slices(cells, bits, n):
-                out["slice"].append(row * n + i)
-                out["block"].append(key[0].as_py())
-                out["cells"].append(pack_sorted(cells[part]))
-        return pa.table(out, schema=pa.schema([("slice", pa.int64()), ("block", pa.int64()), ("cells", pa.binary())]))
+        lists: list[list[bytes]] = []
+        for rows in _blocks(table):
+            block = Block(rows, width)
+            lists.append([b""] * (DEPTH * n))
+            for row in range(DEPTH):
+                cells = distinct(block.cells(row, bits))
+                for i, part in _slices(cells, bits, n):
+                    lists[-1][row * n + i] = pack_sorted(cells[part])
+            del block
+        used = [i for i in range(DEPTH * n) if any(own[i] for own in lists)]
+        release(table.nbytes)
+        return pa.table({"slice": used, "bundle": [key[0].as_py()] * len(used), "cells": [[own[i] for own in lists] for i in used]}, schema=pa.schema([("slice", pa.int64()), ("bundle", pa.int64()), ("cells", pa.list_(pa.binary()))]))
 
     return sketch
 
 
-def _bits(found: list[np.ndarray], table: pa.Table) -> pa.Table:
-    out = {"block": table["block"], "slice": table["slice"], "n": [len(f) for f in found], "bits": [np.packbits(f).tobytes() for f in found]}
-    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("slice", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())]))
-
-
-BITS = "block long, slice long, n long, bits binary"
+BITS = "bundle long, slice long, n array<long>, bits array<binary>"
 
 
 def among(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -155,15 +170,59 @@ def among(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return chosen[np.minimum(np.searchsorted(chosen, values), len(chosen) - 1)] == values
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    cells = [unpack_sorted(c) for c in table["cells"].to_pylist()]
-    every = np.sort(np.concatenate(cells))
-    twice = every[1:][every[1:] == every[:-1]]
-    return _bits([among(c, twice) for c in cells], table)
+class Bitmaps:
+    """Whether cells from `first` on were met once, and twice or more."""
+
+    def __init__(self, first: int, cells: int) -> None:
+        self.first = np.uint64(first)
+        self.once, self.twice = (np.zeros((cells >> 3) + 1, np.uint8) for _ in range(2))
+
+    def _at(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = cells - self.first
+        return (own >> np.uint64(3)).astype(np.int64), np.uint8(1) << (own & np.uint64(7)).astype(np.uint8)
+
+    def add(self, cells: np.ndarray) -> None:
+        """Cells of one block, sorted and distinct."""
+        if len(cells):
+            byte, bit = self._at(cells)
+            new = np.flatnonzero(np.diff(byte, prepend=-1))
+            byte, bit = byte[new], np.bitwise_or.reduceat(bit, new)
+            before = self.once[byte]
+            self.twice[byte] |= before & bit
+            self.once[byte] = before | bit
+
+    def met_twice(self, cells: np.ndarray) -> np.ndarray:
+        byte, bit = self._at(cells)
+        return (self.twice[byte] & bit) != 0
+
+
+def _merged(bits: int, n: int) -> Callable:
+    schema = pa.schema([("bundle", pa.int64()), ("slice", pa.int64()), ("n", pa.list_(pa.int64())), ("bits", pa.list_(pa.binary()))])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        i = key[0].as_py() % n
+        first, end = (-(-(k << bits) // n) for k in (i, i + 1))
+        maps = Bitmaps(first, end - first)
+        lists = lambda: ([unpack_sorted(c) if c else np.zeros(0, np.uint64) for c in row.as_py()] for row in table["cells"])
+        for row in lists():
+            for cells in row:
+                maps.add(cells)
+        found = [[maps.met_twice(cells) for cells in row] for row in lists()]
+        out = {"bundle": table["bundle"], "slice": table["slice"], "n": [[len(f) for f in row] for row in found], "bits": [[np.packbits(f).tobytes() for f in row] for row in found]}
+        release(table.nbytes)
+        return pa.table(out, schema=schema)
+
+    return merge
 
 
-def _answers(table: pa.Table) -> dict[int, np.ndarray]:
-    return {s: np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for s, n, b in zip(*(table[c].to_pylist() for c in ("slice", "n", "bits")), strict=True)}
+def _answers(table: pa.Table) -> list[dict[int, np.ndarray]]:
+    """For each block of a bundle, the answers of each slice."""
+    out: list[dict[int, np.ndarray]] = []
+    for i, n, bits in zip(*(table[c].to_pylist() for c in ("slice", "n", "bits")), strict=True):
+        out += [{} for _ in range(len(n) - len(out))]
+        for k, (count, packed) in enumerate(zip(n, bits, strict=True)):
+            out[k][i] = np.unpackbits(np.frombuffer(packed, np.uint8), count=count).astype(bool)
+    return out
 
 
 def _candidates(block: Block, answers: dict[int, np.ndarray], bits: int, n: int) -> np.ndarray:
@@ -186,36 +245,55 @@ def _new(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return new
 
 
+_LISTS = [(c, pa.list_(pa.binary())) for c in ("high", "low", "least")]
+
+
 def _estimated(width: int, bits: int, n: int, n_exact: int) -> Callable:
     def estimate(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, width)
-        at = _candidates(block, _answers(answers), bits, n)
-        high, low, least = block.high[at], block.low[at], block.ids[block.doc[at]]
-        out = {"slice": [], "block": [], "high": [], "low": [], "least": []}
-        for i, part in _slices(high, 64, n_exact):
-            for k, v in (("slice", i), ("block", key[0].as_py()), ("high", pack_sorted(high[part])), ("low", pack(low[part])), ("least", pack(least[part]))):
-                out[k].append(v)
-        return pa.table(out, schema=pa.schema([("slice", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("high", "low", "least"))]))
+        lists: list[list[tuple[bytes, bytes, bytes]]] = []
+        answered = _answers(answers)
+        for k, rows in enumerate(_blocks(table)):
+            block = Block(rows, width)
+            at = _candidates(block, answered[k] if k < len(answered) else {}, bits, n)
+            high, low, least = block.high[at], block.low[at], block.ids[block.doc[at]]
+            lists.append([(b"", b"", b"")] * n_exact)
+            for i, part in _slices(high, 64, n_exact):
+                lists[-1][i] = (pack_sorted(high[part]), pack(low[part]), pack(least[part]))
+            del block
+        used = [i for i in range(n_exact) if any(own[i][0] for own in lists)]
+        columns = {c: [[own[i][f] for own in lists] for i in used] for f, (c, _) in enumerate(_LISTS)}
+        release(table.nbytes)
+        return pa.table({"slice": used, "bundle": [key[0].as_py()] * len(used)} | columns, schema=pa.schema([("slice", pa.int64()), ("bundle", pa.int64()), *_LISTS]))
 
     return estimate
 
 
+def _unpacked(data: bytes, dtype, unpacker: Callable) -> np.ndarray:
+    return unpacker(data) if data else np.zeros(0, dtype)
+
+
 def _grouped(table: pa.Table) -> pa.Table:
-    high = [unpack_sorted(c) for c in table["high"].to_pylist()]
-    low = [unpack(c, np.uint64) for c in table["low"].to_pylist()]
-    least = [unpack(c, np.int64) for c in table["least"].to_pylist()]
+    rows = [len(x) for x in table["high"].to_pylist()]
+    flat = {c: [d for x in table[c].to_pylist() for d in x] for c, _ in _LISTS}
+    high = [_unpacked(d, np.uint64, unpack_sorted) for d in flat["high"]]
+    low = [_unpacked(d, np.uint64, lambda v: unpack(v, np.uint64)) for d in flat["low"]]
+    least = [_unpacked(d, np.int64, lambda v: unpack(v, np.int64)) for d in flat["least"]]
     order = np.lexsort((all_least := np.concatenate(least), all_low := np.concatenate(low), all_high := np.concatenate(high)))
     new = _new(all_high[order], all_low[order])
     smallest = np.empty_like(all_least)
     smallest[order] = all_least[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     later = np.split(smallest < all_least, np.cumsum([len(h) for h in high])[:-1])
-    out = {"block": table["block"], "high": [pack_sorted(h[x]) for h, x in zip(high, later, strict=True)], "low": [pack(v[x]) for v, x in zip(low, later, strict=True)]}
-    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("high", pa.binary()), ("low", pa.binary())]))
+    gone = {"high": [pack_sorted(h[x]) if x.any() else b"" for h, x in zip(high, later, strict=True)], "low": [pack(v[x]) if x.any() else b"" for v, x in zip(low, later, strict=True)]}
+    ends = np.cumsum(rows).tolist()
+    out = {"bundle": table["bundle"]} | {c: [v[a:b] for a, b in zip([0, *ends], ends, strict=False)] for c, v in gone.items()}
+    release(table.nbytes)
+    return pa.table(out, schema=pa.schema([("bundle", pa.int64()), *_LISTS[:2]]))
 
 
-def _removed(block: Block, answers: pa.Table) -> np.ndarray:
+def _removed(block: Block, answers: list[tuple[bytes, bytes]]) -> np.ndarray:
     """Which windows a smaller identifier has, in the block or, by the answers of the second pass, in another."""
-    outer = [np.concatenate([np.zeros(0, np.uint64), *(f(v) for v in answers[c].to_pylist() if v is not None)]) for c, f in (("high", unpack_sorted), ("low", lambda v: unpack(v, np.uint64)))]
+    empty = np.zeros(0, np.uint64)
+    outer = [np.concatenate([empty, *(unpack_sorted(h) for h, _ in answers if h)]), np.concatenate([empty, *(unpack(v, np.uint64) for _, v in answers if v)])]
     high = np.sort(block.high)
     shared = distinct(np.concatenate([high[1:][high[1:] == high[:-1]], outer[0]]))
     at = np.flatnonzero(among(block.high, shared))
@@ -234,19 +312,23 @@ def _removed(block: Block, answers: pa.Table) -> np.ndarray:
 
 def _cut(width: int, schema: pa.Schema) -> Callable:
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, width)
-        gone = _removed(block, answers)
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-        ends = np.searchsorted(block.doc, np.arange(len(block.ids) + 1))
-        for d, (words, n) in enumerate(zip(map(bytes.split, block.texts), block.lengths.tolist(), strict=True)):
-            first = block.place[ends[d] : ends[d + 1]][gone[ends[d] : ends[d + 1]]]
-            if len(first):
-                edges = np.zeros(n + 1, np.int64)
-                edges[first] += 1
-                edges[first + width] -= 1
-                words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
-            for k, v in (("doc_id", None if block.ids[d] == LAST else int(block.ids[d])), ("n_words", n), ("n_removed", n - len(words)), ("kept", b" ".join(words).decode())):
-                out[k].append(v)
+        answered = list(zip(answers["high"].to_pylist(), answers["low"].to_pylist(), strict=True))
+        for k, rows in enumerate(_blocks(table)):
+            block = Block(rows, width)
+            gone = _removed(block, [(h[k], v[k]) for h, v in answered])
+            ends = np.searchsorted(block.doc, np.arange(len(block.ids) + 1))
+            for d, (words, n) in enumerate(zip(map(bytes.split, block.texts), block.lengths.tolist(), strict=True)):
+                first = block.place[ends[d] : ends[d + 1]][gone[ends[d] : ends[d + 1]]]
+                if len(first):
+                    edges = np.zeros(n + 1, np.int64)
+                    edges[first] += 1
+                    edges[first + width] -= 1
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
+                for c, v in (("doc_id", int(block.ids[d]) if block.named[d] else None), ("n_words", n), ("n_removed", n - len(words)), ("kept", b" ".join(words).decode())):
+                    out[c].append(v)
+            del block
+        release(table.nbytes)
         return pa.table(out, schema=schema)
 
     return cut
@@ -260,12 +342,19 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = text_bytes(texts, "text")
-    n_blocks, n = 1 + size // BLOCK_BYTES, 1 + size // SLICE_BYTES
+    n_blocks, n, n_exact = 1 + size // BLOCK_BYTES, 1 + size // SKETCH_BYTES, 1 + size // SLICE_BYTES
     bits = max(16, int(size * CELLS_PER_BYTE).bit_length())
-    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))).groupBy("block")
-    cells = blocks.applyInArrow(_sketched(width, bits, n), "slice long, block long, cells binary")
-    counted = cells.groupBy("slice").applyInArrow(_merged, BITS)
-    digests = blocks.cogroup(counted.groupBy("block")).applyInArrow(_estimated(width, bits, n, n), "slice long, block long, high binary, low binary, least binary")
-    settled = digests.groupBy("slice").applyInArrow(_grouped, "block long, high binary, low binary")
+    # rows of one identifier, or of none, are dealt by their texts too
+    numbered = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    bundles = numbered.withColumn("bundle", F.floor(F.col("block") / bundled(n_blocks, shuffle_partitions(docs.sparkSession)))).groupBy("bundle")
+    cells = bundles.applyInArrow(_sketched(width, bits, n), "slice long, bundle long, cells array<binary>")
+    counted = cells.groupBy("slice").applyInArrow(_merged(bits, n), BITS)
+    digests = bundles.cogroup(counted.groupBy("bundle")).applyInArrow(_estimated(width, bits, n, n_exact), "slice long, bundle long, high array<binary>, low array<binary>, least array<binary>")
+    settled = digests.groupBy("slice").applyInArrow(_grouped, "bundle long, high array<binary>, low array<binary>")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    return blocks.cogroup(settled.groupBy("block")).applyInArrow(_cut(width, schema), "doc_id long, n_words long, n_removed long, kept string")
+    return bundles.cogroup(settled.groupBy("bundle")).applyInArrow(_cut(width, schema), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def bundled(n_blocks: int, partitions: int) -> int:
+    """Blocks of a bundle."""
+    return max(1, min(BUNDLE, n_blocks // partitions))

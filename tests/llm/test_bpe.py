@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -35,6 +36,28 @@ def test_equals_the_library_and_comes_back(spark, library, monkeypatch, block):
     assert sorted((r.doc_id, ids_of(r), bytes(r.decoded).decode()) for r in both.collect()) == wanted
 
 
+def test_a_block_sends_a_row_to_each_slice_at_most():
+    words = [f"w{i}" for i in range(5000)]
+    for n_slices in (1, 7, 64):
+        block = bpe._Block()
+        block.add(1, words, 0)
+        block.add(2, words[:3], 0)
+        kinds = {"block": pa.int64(), "slice": pa.int32(), "doc_ids": pa.list_(pa.int64()), "often": pa.int32()} | dict.fromkeys(("codes", "lengths", "words"), pa.binary())
+        rows = block.rows(0, n_slices, pa.schema(list(kinds.items()))).to_pylist()
+        assert len(rows) == 1 + n_slices and [r["slice"] for r in rows] == [None, *range(n_slices)]
+        assert sorted(w for r in rows[1:] for w in unpack_words(r["lengths"], r["words"])) == sorted(w.encode() for w in words)
+
+
+def test_slices_are_no_more_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 10)
+    monkeypatch.setattr(bpe, "MEMORY", 0)
+    docs = spark.createDataFrame([(i, f"word{i} word{i + 1}", "own", 1) for i in range(300)], DOCS).repartition(3)
+    seen = []
+    monkeypatch.setattr(bpe, "settle", lambda df: seen.append(df) or df)
+    assert encode(docs, RANKS, public_tokenizers.PATTERN).count() == 300
+    assert seen[0].select("slice").where("slice IS NOT NULL").distinct().count() <= 4
+
+
 def test_only_empty_texts_and_no_rows(spark):
     docs = spark.createDataFrame([(1, None, "o", 1), (None, "", "o", 1)], DOCS)
     assert sorted((r.doc_id is None, bytes(r.ids)) for r in encode(docs, RANKS, public_tokenizers.PATTERN).collect()) == [(False, b""), (True, b"")]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,7 @@ def found(spark, rows, width):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(sd, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(sd, "SKETCH_BYTES", 7000)
     monkeypatch.setattr(sd, "SLICE_BYTES", 9000)
 
 
@@ -90,3 +92,30 @@ def test_among():
     values = np.array([1, 5, 9], np.uint64)
     assert among(values, np.array([5, 7], np.uint64)).tolist() == [False, True, False]
     assert not among(values, np.zeros(0, np.uint64)).any()
+
+
+def test_bitmaps_count_blocks():
+    rng = np.random.default_rng(5)
+    lists = [np.unique(rng.integers(1000, 3000, 300)).astype(np.uint64) for _ in range(5)]
+    maps = sd.Bitmaps(1000, 2000)
+    for cells in [*lists, np.zeros(0, np.uint64)]:
+        maps.add(cells)
+    values, counts = np.unique(np.concatenate(lists), return_counts=True)
+    assert (maps.met_twice(values) == (counts > 1)).all()
+
+
+def test_rows_to_the_sketch_are_those_of_bundles(spark, small_blocks, monkeypatch):
+    assert [sd.bundled(n, 8) for n in (1, 8, 16, 31, 1000)] == [1, 1, 2, 3, sd.BUNDLE]
+    rows = corpus(7, 300)
+    for bundle in (1, 3):
+        monkeypatch.setattr(sd, "bundled", lambda *_, b=bundle: b)
+        assert found(spark, rows, 5) == plain(rows, 5)
+    # two rows of the sketch, two slices each: a bundle sends four rows at most, however many blocks it has
+    table = pa.table({"block": [k % 6 for k in range(len(rows))], "doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    sent = sd._sketched(5, 16, 2)((pa.scalar(3),), table)
+    assert sent.num_rows == 4 and all(len(c) == 6 for c in sent["cells"].to_pylist())
+
+
+def test_the_largest_identifier_and_none_at_all(spark, small_blocks):
+    rows = [(sd.LAST, "a b c d", "x", "y"), (None, "a b c d", "x", "y"), (None, "a b c e", "x", "y")]
+    assert found(spark, rows, 3) == [(sd.LAST, 4, 0, "a b c d"), (None, 4, 0, "a b c d"), (None, 4, 0, "a b c e")]
