@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import distinct, mix, one_row, release, settle, ship, small
+from tallyfold.llm.common import HOT, distinct, mix, one_row, release, settle, ship, small
 from tallyfold.llm.components import components
 
 COORDINATES = 128
@@ -44,6 +44,8 @@ NGRAM = 5
 PERCENT = 80
 #: Shingles that are sketched at once.
 STEP = 1 << 17
+#: Pairs of one text that are confirmed together.
+SHARE = 256
 #: Classes of shingles, by their hash, in which what two sets can have in common is bounded.
 CLASSES = 64
 #: Shingles in a class, as a bound that rules nothing out: more than any text has, and its multiples fit 64 bits.
@@ -162,11 +164,18 @@ def _confirmed(ngram: int, percent: int):
 def confirm(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Each of the pairs (a, b) with both, the size of the intersection of their full sets, and similar. texts: doc_id, text.
 
-    Where an identifier has several texts, their largest intersection counts.
+    Where an identifier has several texts, their largest intersection counts. An `a` with a large part of the pairs, as the
+    lead of many copies is, has them dealt into parts of about SHARE, and its text goes to each; of such there are HOT at most.
     """
     named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
     own = texts.join(named, "doc_id", "left_semi")
-    joined = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    n = F.col("n")
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where((n * HOT >= pairs.count()) & (n > SHARE)).select("a", (1 + F.floor(n / SHARE)).cast("int").alias("parts"))
+    hot = F.broadcast(settle(hot))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    first = own.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(hot, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    joined = dealt.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").join(first, ["a", "part"])
     return joined.select("a", "b", "x", "y").mapInArrow(_confirmed(ngram, percent), "a long, b long, both long, similar boolean").groupBy("a", "b").agg(F.max("both").alias("both"), F.max("similar").alias("similar"))
 
 

@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
+from tallyfold.llm import near_dedup
 from tallyfold.llm.components import components
 from tallyfold.llm.near_dedup import bands_of, drop_near_duplicates, near_duplicates, shingles, sketches, words_of
 
@@ -118,3 +119,15 @@ def test_components(spark):
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert found == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7} | dict.fromkeys(range(50, 91), 50)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_text_of_many_pairs_is_confirmed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHARE", 2)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[: 60 - i % 9] + [f"x{i}"] * (i % 9)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = [(0, i) for i in range(1, 40)] + [(5, 7)]
+    found = near_dedup.confirm(spark.createDataFrame(pairs, "a long, b long"), docs, 5, 80).collect()
+    sets = [shingles(words_of(t), 5) for t in texts]
+    wanted = [(a, b, len(sets[a] & sets[b]), 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a, b in pairs]
+    assert sorted(map(tuple, found)) == sorted(wanted)
