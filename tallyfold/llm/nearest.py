@@ -15,7 +15,8 @@ size, so memory is bounded, and the products of int8 values stay exact in the fl
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a
 query meets candidates of its own length only; candidates with the query's identifier are its own and take no
 part; rows that repeat an identifier count once, with the largest score; ties go to the smaller identifier; an
-empty table gives an empty result. Only the identifier and vector are read.
+empty table gives an empty result. Only the identifier and vector are read. Squares of components must lie within the
+range of doubles: beyond about 1e150, or below 1e-150, bounds and products are not to be relied on.
 """
 
 from __future__ import annotations
