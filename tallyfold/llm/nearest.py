@@ -9,14 +9,15 @@ original vectors, and a heap for each query keeps its k best. The heaps of a que
 so the result is exact. Equal rows are collapsed before blocks are formed, and an identifier of several vectors
 counts once, by its largest lower bound and then by its largest score, before anything is cut.
 
-Candidates are sent once per block of queries and queries once per block of candidates; blocks have a fixed
-size, so memory is bounded, and the products of int8 values stay exact in the floats that BLAS multiplies.
+Candidates are sent once per block of queries and queries once per block of candidates; blocks are bounded in rows
+and, for long vectors, in bytes, so memory is bounded, and the products of int8 values stay exact in the floats that
+BLAS multiplies. Vectors too large or small for the squares that bounds are made of have none: they are never ruled out.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a
 query meets candidates of its own length only; candidates with the query's identifier are its own and take no
 part; rows that repeat an identifier count once, with the largest score; ties go to the smaller identifier; an
-empty table gives an empty result. Only the identifier and vector are read. Squares of components must lie within the
-range of doubles: beyond about 1e150, or below 1e-150, bounds and products are not to be relied on.
+empty table gives an empty result. Only the identifier and vector are read. A score beyond the range of doubles is
+infinite, and one whose sum meets infinities of both signs is -inf.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from tallyfold.llm.common import settle, ship
 
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
+#: Bytes of vectors of a block, as doubles, where its rows are not few enough already.
+BLOCK_BYTES = 32 << 20
+#: Vectors whose largest component lies within have squares, and sums of them, in the range of doubles.
+RANGE = (1e-140, 1e140)
 #: Queries that a tile multiplies at once, and pairs that it recomputes at once.
 STEP = 256
 PAIRS = 1 << 16
@@ -48,7 +53,10 @@ class Quantised:
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
-        self.scale = np.abs(vectors).max(axis=1) / 127
+        largest = np.abs(vectors).max(axis=1)
+        self.unbounded = (largest < RANGE[0]) | (largest > RANGE[1])
+        self.scale = np.where(self.unbounded, 1.0, largest) / 127
+        vectors = np.where(self.unbounded[:, None], 0.0, vectors) if self.unbounded.any() else vectors
         values = np.rint(vectors / self.scale[:, None]).astype(np.int8)
         kept = values * self.scale[:, None]
         self.kept_norm = np.linalg.norm(kept, axis=1)
@@ -60,9 +68,10 @@ class Quantised:
 def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of matching rows, summed from the first component to the last, so that equal rows always give equal sums."""
     total = np.zeros(len(x))
-    for a, b in zip(x.T, y.T, strict=True):
-        total += a * b
-    return total
+    with np.errstate(over="ignore", invalid="ignore"):
+        for a, b in zip(x.T, y.T, strict=True):
+            total += a * b
+    return np.where(np.isnan(total), -np.inf, total)
 
 
 def tile(queries: Quantised, candidates: Quantised, query_ids: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
@@ -77,6 +86,8 @@ def tile(queries: Quantised, candidates: Quantised, query_ids: np.ndarray, ids:
         product *= queries.scale[part, None] * candidates.scale
         bound = queries.kept_norm[part, None] * candidates.rest_norm + queries.rest_norm[part, None] * (candidates.kept_norm + candidates.rest_norm)
         bound = bound * (1 + 1e-9) + 1e-9 * queries.kept_norm[part, None] * candidates.kept_norm
+        if queries.unbounded[part].any() or candidates.unbounded.any():
+            bound[queries.unbounded[part, None] | candidates.unbounded] = np.inf
         own = query_ids[part, None] == ids
         low = np.where(own, -np.inf, product - bound)
         if repeats:
@@ -131,8 +142,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     ship(vectors.sparkSession)
     own = vectors.where(F.col(id_col).isNotNull() & takes_part(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
     own = settle(own.groupBy("id", "vector").agg(F.bool_or("asks").alias("asks")).withColumn("dim", F.size("vector")))
-    n, asked = own.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    across, down = 1 + n // CANDIDATE_BLOCK, 1 + asked // QUERY_BLOCK
+    size = F.col("dim").cast("long") * 8
+    n, asked, n_bytes, asked_bytes = own.agg(F.count(F.lit(1)), F.count_if("asks"), F.sum(size), F.sum(F.when(F.col("asks"), size))).first()
+    across = 1 + max(n // CANDIDATE_BLOCK, (n_bytes or 0) // BLOCK_BYTES)
+    down = 1 + max(asked // QUERY_BLOCK, (asked_bytes or 0) // BLOCK_BYTES)
     block = F.xxhash64("id")
     candidates = own.select("id", "vector", "dim", F.pmod(block, F.lit(across)).alias("right"), _blocks(down).alias("left"))
     queries = own.where("asks").select("id", "vector", "dim", _blocks(across).alias("right"), F.pmod(block, F.lit(down)).alias("left"))

@@ -73,3 +73,25 @@ def test_bounds_lose_nothing_on_near_ties():
         scores = inner_products(np.tile(x[i], (400, 1)), x)
         want = sorted((-s, j) for j, s in enumerate(scores.tolist()) if j != i)[:10]
         assert b == want
+
+
+def test_extreme_components_take_part(spark):
+    rows = [(0, [1e200, 0.0]), (5, [1.0, 2.0]), (6, [1e200, 1e200]), (7, [-1e200, 1.0]), (8, [5e-324, 0.0]), (9, [3.0, 1e-200]), (10, [1e300, -1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in nearest(df, F.col("vec_id") % 5 == 0, 6).select("query_id", "rank", "vec_id", "score").collect()}
+    want = set()
+    for q, (a, b) in rows:
+        if q % 5 == 0:
+            scores = sorted((-(-np.inf if np.isnan(s := a * c + b * d) else s), i) for i, (c, d) in rows if i != q)
+            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)}
+    assert got == want and (0, 1, 6, np.inf) in got
+
+
+def test_long_vectors_make_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nn, "BLOCK_BYTES", 8 * 8 * 20)
+    tiles = []
+    monkeypatch.setattr(nn, "_blocks", lambda n, was=nn._blocks: tiles.append(n) or was(n))
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).round(1).tolist(), 0, "s") for i in range(100)]
+    assert found(spark, rows, 7) == plain(rows, 7)
+    assert tiles == [2, 6]
