@@ -9,7 +9,8 @@ filed under them, and only these run their regular expression. A rule without su
 the empty token, which every URL has. The longest rule that fits wins (ties: the first in code point order).
 
 URLs are judged once per distinct host and path, so that a URL shared by many rows is one row in the search.
-The rule table is a parameter of the job; the side of the join is broadcast only where Spark's own
+The rule table is a parameter of the job, of any size: a DataFrame that `compiled` turns into expressions and
+tokens; the side of the join is broadcast only where Spark's own
 size check (spark.sql.autoBroadcastJoinThreshold) allows. Built-in expressions only.
 
 Defined results: a null url, or one without "://", has empty host and path; repeated rows are judged alike;
@@ -18,8 +19,6 @@ an empty table gives an empty result. Only the two named columns are read.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,23 +42,40 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def regex_of(pattern: str) -> str:
-    anchored, body = pattern.startswith("||"), pattern.removeprefix("||")
-    literal = "[\\s\\S]*".join(re.sub(r"[^\w/]", lambda m: "\\" + m[0], part) for part in body.split("*"))
-    return ("^([^/]*\\.)?" if anchored else "^") + literal + ("" if anchored else "$")
+def regex_of(pattern: Column) -> Column:
+    """The regular expression of a pattern, to be searched in host + path."""
+    anchored, body = pattern.startswith("||"), _body(pattern)
+    escaped = F.regexp_replace(body, r"[\x21-\x29\x2B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", r"\\$0")
+    literal = F.replace(escaped, F.lit("*"), F.lit("[\\s\\S]*"))
+    return F.concat(F.when(anchored, r"^([^/]*\.)?").otherwise("^"), literal, F.when(anchored, "").otherwise(r"\z"))
+
+
+def tokens_of(pattern: Column) -> Column:
+    """The literal tokens that each URL the rule fits has whole; the empty one where there are none."""
+    anchored, body = pattern.startswith("||"), _lower(_body(pattern))
+    delimited = F.concat(F.when(anchored, ".").otherwise("/"), body, F.when(anchored, "*").otherwise("/"))
+    found = F.array_distinct(F.regexp_extract_all(delimited, F.lit(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])"), F.lit(0)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
 
+def _body(pattern: Column) -> Column:
+    return F.regexp_replace(pattern, r"^\|\|", "")
 
-def tokens_of(pattern: str) -> list[str]:
-    """The literal tokens that each URL the rule fits has whole."""
-    body = pattern.removeprefix("||").translate(str.maketrans(UPPER, LOWER))
-    delimited = ("." if pattern.startswith("||") else "/") + body + ("*" if pattern.startswith("||") else "/")
-    return sorted(set(re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", delimited))) or [""]
+
+def compiled(rules: DataFrame) -> DataFrame:
+    """rules: rule (its name), pattern, verdict. Columns: rule, verdict, regex, weight (length of the name), tokens.
+
+    A row with a null among them is no rule. Rows of one name are rules beside each other; where several of them
+    fit, 'block' goes before 'allow'.
+    """
+    pattern = F.col("pattern")
+    whole = rules.where(F.col("rule").isNotNull() & pattern.isNotNull() & F.col("verdict").isNotNull())
+    return whole.select("rule", "verdict", regex_of(pattern).alias("regex"), F.length("rule").alias("weight"), tokens_of(pattern).alias("tokens"))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """rules: (name, pattern, verdict). Columns: rule, verdict, regex, weight (length of the name), tokens."""
-    rows = [(name, verdict, regex_of(pattern), len(name), tokens_of(pattern)) for name, pattern, verdict in rules]
-    return spark.createDataFrame(rows, "rule string, verdict string, regex string, weight int, tokens array<string>")
+    """A short list of rules (name, pattern, verdict), compiled; long ones are read as a table and given to `compiled`."""
+    return compiled(spark.createDataFrame(rules, "rule string, pattern string, verdict string"))
 
 
 def _tokens(target: Column) -> Column:
@@ -69,12 +85,12 @@ def _tokens(target: Column) -> Column:
 def best_rules(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct target that a rule fits: target, rule, verdict."""
     words = targets.select("target", F.explode(_tokens(F.col("target"))).alias("token"))
-    filed = rules.select("rule", F.explode("tokens").alias("token"))
+    filed = rules.select("rule", "regex", F.explode("tokens").alias("token"))
     counts = words.join(filed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = filed.join(counts, "token", "left").groupBy("rule").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    index = rules.drop("tokens").join(rarest, "rule")
+    rarest = filed.join(counts, "token", "left").groupBy("rule", "regex").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    index = rules.drop("tokens").join(rarest, ["rule", "regex"])
     hits = words.join(index, "token").where(F.rlike("target", "regex"))
-    best = F.max_by(F.struct("rule", "verdict"), F.struct("weight", _reverse_order("rule")))
+    best = F.max_by(F.struct("rule", "verdict"), F.struct("weight", _reverse_order("rule"), "verdict"))
     return hits.groupBy("target").agg(best.alias("best")).select("target", "best.rule", "best.verdict")
 
 
