@@ -9,10 +9,10 @@ of 0.8 a pair shares none of the 32 bands with probability 5e-8.
 
 Copies (equal word sequences) are one node, their smallest identifier. A band's group is never paired up:
 each member is paired with the most central of the group, which is exact where all are similar to it. Where a group
-spans several components after that, pairs across its components are checked too if they meet in one of their rarest
-shingles, as similar ones must, and no exact bound rules them out: sets need most of their shingles in common, and what each
-has in common with others, and with the lead of the group, is known. So texts that are alike in what all of a
-group have, but below the threshold, don't pair up. Every pair is confirmed on the full sets of words before it links.
+spans several components after that, pairs across its components are checked too, but for those that an exact bound rules
+out: sets need most of their shingles in common, and what each has in common with others, and with the lead of the group, is
+known. Such pairs are formed where two meet in one of their rarest shingles, as similar ones must, if that is fewer
+pairs than all of the group; so texts that are alike in what the whole group has, but below the threshold, don't pair up. Every pair is confirmed on the full sets of words before it links.
 Components come from the links.
 
 Groups are formed by aggregations with map-side sums and joins that adaptive execution can split, so a group
@@ -260,37 +260,50 @@ def _common(each: DataFrame) -> DataFrame:
     return kept.withColumn("common", F.aggregate("classes", F.lit(0).cast("long"), lambda x, y: x + y))
 
 
-def _meeting(each: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of the nodes (node, component) that differ in component and meet in one of their rarest shingles.
+def _rarest(each: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, component, n (shingles), hash and `first` for the rarest shingles of the sets of the nodes (node, component).
 
-    No similar pair is missed: shingles are put in one order, those that the fewest of the sets have first. Two sets of m <= n
-    shingles with c in common share one of the first m - c + 1 and n - c + 1 of each. Similar ones have
-    c >= percent * (m + n) / (100 + percent): 2 * percent * m / (100 + percent) for the smaller set, percent * n / 100 for
-    the larger. What all of a group have comes last, so a group that is alike in that alone doesn't meet by it.
+    Shingles are put in one order, those that the fewest of the sets have first. Two sets of m <= n shingles with c in
+    common share one of the first m - c + 1 and n - c + 1 of each. Similar ones have c >= percent * (m + n) / (100 + percent):
+    percent * n / 100 for the larger set, whose rows these are, and 2 * percent * m / (100 + percent) for the smaller,
+    whose rows are `first`. Shingles that no other set has are left out.
     """
     sets = each.join(nodes, "node").dropDuplicates(["node", "digest"])
     held = settle(sets.select("node", "digest", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("hash")))
     counts = held.groupBy("hash").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     own = Window.partitionBy("node", "digest")
-    # those that no other set has come before all others, and meet none
+    # those that no other set has come before all others
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("sets", "hash"))
-    first = lambda least: F.col("place") <= F.col("n") - F.ceil(least) + 1
-    placed = settle(held.join(counts, "hash").withColumn("place", place).where(first(percent * F.col("n") / 100)))
-    smaller = placed.where(first(2 * percent * F.col("n") / (100 + percent))).select("hash", F.col("node").alias("x"), F.col("component").alias("x_component"), F.col("n").alias("m"))
-    larger = placed.select("hash", F.col("node").alias("y"), F.col("component").alias("y_component"), "n")
+    within = lambda least: F.col("place") <= F.col("n") - F.ceil(least) + 1
+    placed = held.join(counts, "hash").withColumn("place", place).where(within(percent * F.col("n") / 100))
+    return settle(placed.select("node", "component", "n", "hash", within(2 * percent * F.col("n") / (100 + percent)).alias("first")))
+
+
+def _meeting(rarest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that differ in component and meet in one of their rarest shingles; no similar pair is missed."""
+    smaller = rarest.where("first").select("hash", F.col("node").alias("x"), F.col("component").alias("x_component"), F.col("n").alias("m"))
+    larger = rarest.select("hash", F.col("node").alias("y"), F.col("component").alias("y_component"), "n")
     met = smaller.join(larger, "hash").where((F.col("x_component") != F.col("y_component")) & (F.col("m") <= F.col("n")) & (100 * F.col("m") >= percent * F.col("n")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _parted(able: DataFrame, rarest: DataFrame) -> DataFrame:
+    """able (band, node) with rare: whether the members of a band meet in fewer places by their rarest shingles than by the band."""
+    places = rarest.join(rarest.groupBy("hash").agg(F.count(F.lit(1)).alias("places")), "hash").groupBy("node").agg(F.sum("places").alias("places"))
+    n = F.count(F.lit(1))
+    bands = able.join(places, "node", "left").groupBy("band").agg((F.coalesce(F.sum("places"), F.lit(0)) < n * n).alias("rare"))
+    return able.join(bands, "band")
+
+
 def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, sizes: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in a band whose components differ and whose sets can be similar at all.
 
     Sets of sizes m and n are similar only if they have percent * (m + n) / (100 + percent) shingles in common. A node
     has none in common with another beyond those that occur in another node; and of these, two nodes share no
     more among those of a lead than the one with fewer of them has, and likewise among the others. Nodes for which
-    that is too few with even the smallest of a band leave it before pairs are formed, and pairs are formed only of nodes
-    that meet in one of their rarest shingles. Nor do two nodes share more in any class of shingles than the one with
-    fewer of them there has.
+    that is too few with even the smallest of a band leave it before pairs are formed. Nor do two nodes share more in
+    any class of shingles than the one with fewer of them there has. The members of a band are paired where they meet in one of
+    their rarest shingles, unless more meet there than in the band; the pairs are the same either way.
     """
     own = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = settle(_mixed(own))
@@ -304,14 +317,18 @@ def _across(shared: DataFrame, labels: DataFrame, checked: DataFrame, texts: Dat
     partner = F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100))
     able = counted.join(least, "band").where((100 + percent) * F.col("common") >= percent * (F.col("size") + partner)).drop("least")
     able = settle(_mixed(able))
-    fields = ("size", "common", "led", "classes")
-    left, right = (able.select("band", F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in fields)) for side in ("a", "b"))
+    rarest = _rarest(each, able.select("node", "component").distinct(), percent)
+    able = settle(_parted(able, rarest))
+    fields = ("component", "size", "common", "led", "classes")
+    left, right = (able.select("band", "rare", F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in fields)) for side in ("a", "b"))
     led = F.least("a_led", "b_led") + F.least(F.col("a_common") - F.col("a_led"), F.col("b_common") - F.col("b_led"))
     classes = F.aggregate(F.zip_with("a_classes", "b_classes", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
     needed = percent * (F.col("a_size") + F.col("b_size"))
     enough = ((100 + percent) * led >= needed) & ((100 + percent) * classes >= needed)
-    met = _meeting(each, able.select("node", "component").distinct(), percent)
-    return met.join(left, "a").join(right, ["b", "band"]).where(enough).select("a", "b").distinct()
+    met = _meeting(rarest.join(able.where("rare").select("node"), "node", "left_semi"), percent)
+    by_shingle = met.join(left.where("rare"), "a").join(right.where("rare").drop("rare"), ["b", "band"]).where(enough)
+    by_band = left.where("NOT rare").join(right.where("NOT rare").drop("rare"), "band").where((F.col("a_component") != F.col("b_component")) & (F.col("a") < F.col("b")) & enough)
+    return by_shingle.select("a", "b").union(by_band.select("a", "b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
