@@ -126,4 +126,32 @@ SELECT doc_id, size, r.source_size, r.target,
 FROM x JOIN r ON x.source IS NOT DISTINCT FROM r.source JOIN b ON x.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}
+#: All pairs that share a shingle, over the distinct word sequences.
+OP1_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT min(doc_id) AS node, list(doc_id) AS ids, w FROM d WHERE len(w) > 0 GROUP BY w),
+s AS MATERIALIZED (SELECT node, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: hash(array_to_string(w[i:i+3], ' '))))) AS h FROM t),
+n AS MATERIALIZED (SELECT node, count(*) AS n FROM s GROUP BY node),
+p AS (SELECT x.node AS a, y.node AS b, count(*) AS shared FROM s x JOIN s y ON x.h = y.h AND x.node < y.node GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT node AS a, node AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a),
+f AS (SELECT unnest(ids) AS doc_id, n.n, component FROM t JOIN n USING (node) JOIN c USING (node))
+SELECT doc_id, coalesce(f.n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d WHERE len(w) >= 13),
+s AS MATERIALIZED (SELECT doc_id, pos, md5(array_to_string(w[pos:pos+12], ' ')) AS h FROM i),
+m AS (SELECT h, min(doc_id) AS least FROM s GROUP BY h),
+g AS (SELECT DISTINCT doc_id, pos + k AS pos FROM s JOIN m USING (h), range(13) AS o(k) WHERE least < doc_id),
+v AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+y AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM v ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_near_dedup": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}
