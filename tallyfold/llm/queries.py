@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, exact_dedup, language, mixing, near_dedup, nearest, periodic_runs, pipeline, sharding, substring_dedup, token_counts, url_filter
+from tallyfold.llm import bpe, exact_dedup, language, mixing, near_dedup, nearest, periodic_runs, pipeline, secret_scan, sharding, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +77,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digested(periodic_runs.find_runs(planted))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language, op4_sharding, op5_url_filter, op6_nearest, op7_substring_dedup, op8_bpe, op9_mixing, op10_token_counts, op11_periodic_runs)} | {"pipeline": pipeline.run}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.listed(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language, op4_sharding, op5_url_filter, op6_nearest, op7_substring_dedup, op8_bpe, op9_mixing, op10_token_counts, op11_periodic_runs, op12_secret_scan)} | {"pipeline": pipeline.run}
 
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
