@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, exact_dedup, language, mixing, near_dedup, nearest, periodic_runs, pipeline, secret_scan, sharding, substring_dedup, token_counts, url_filter
+from tallyfold.llm import bpe, collocations, exact_dedup, language, mixing, near_dedup, nearest, periodic_runs, pipeline, secret_scan, sharding, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,11 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.listed(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language, op4_sharding, op5_url_filter, op6_nearest, op7_substring_dedup, op8_bpe, op9_mixing, op10_token_counts, op11_periodic_runs, op12_secret_scan)} | {"pipeline": pipeline.run}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_language, op4_sharding, op5_url_filter, op6_nearest, op7_substring_dedup, op8_bpe, op9_mixing, op10_token_counts, op11_periodic_runs, op12_secret_scan, op13_collocations)} | {"pipeline": pipeline.run}
 
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -163,4 +167,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0)::BIGINT AS n_r
 FROM d LEFT JOIN y USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_near_dedup": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}
+OP13_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+e AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) AS t(k) WHERE len(w) >= k),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, count(*) AS f FROM e GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
+u AS (SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+  FROM c JOIN range(1, 4) AS t(j) ON j < c.k JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j+1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+s AS (SELECT lang, array_to_string(w[i:i+m-1], ' ') AS phrase, max(f) AS most FROM (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS i FROM c JOIN range(2, 4) AS t(m) ON m < k) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
+FROM b LEFT JOIN s USING (lang, phrase) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < 80 * a QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op13_collocations": OP13_SQL, "op1_near_dedup": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}
