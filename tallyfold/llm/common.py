@@ -31,11 +31,31 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A settled df of flat columns, marked for broadcast if it has at most BROADCAST_BYTES; else Spark's joins shuffle it."""
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with a number behind it where df has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free = next(n for n in (name, *(f"{name}_{i}" for i in range(1, 2 + len(taken)))) if n.lower() not in taken)
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df with each row as a struct in the one column `row`, so that no name of a caller's column meets a helper's; row.* gives it back."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a settled df of flat columns has at most BROADCAST_BYTES."""
     texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
     n, *sizes = df.agg(F.count(F.lit(1)), *texts).first()
-    return F.broadcast(df) if n * 8 * (2 + len(df.columns)) + sum(sizes) <= BROADCAST_BYTES else df
+    return n * 8 * (2 + len(df.columns)) + sum(sizes) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled df of flat columns, marked for broadcast if it is small; else Spark's joins shuffle it."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def in_order(rows: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
@@ -60,32 +80,43 @@ def in_order(rows: DataFrame, order: list[Column], sums: dict[str, Column] | Non
     return placed.select(*(placed[c] for c in rows.columns), before["_rank"].alias("_rank"), F.col("_a__rank").alias("_n"), *more)
 
 
-def rejoin(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+def spread(rows: DataFrame, others: DataFrame, key: list[str], counts: DataFrame, size: str, n: int, how: str = "inner", lot: Column | None = None) -> DataFrame:
+    """rows joined with others on key, where no key with many of the n rows is one task.
+
+    counts (settled) has the number of rows of keys in the column size; keys that it lacks have few. Keys with at least one HOT-th of
+    all rows are dealt into parts, of which eight times the shuffle partitions would hold all rows, by lot (a whole number; a
+    number of the row, where rows are settled), and the rows of others go to each part. What is broadcast is two numbers for
+    each such key, of which there are no more than HOT; keys that share a hash share their number of parts.
+    """
+    share = 8 * shuffle_partitions(rows.sparkSession)
+    hot = counts.where(F.col(size) * HOT >= n).groupBy(F.xxhash64(*key).alias("_hash")).agg(F.max(1 + F.floor(F.col(size) * share / n)).cast("int").alias("_parts"))
+    hot, parts = F.broadcast(hot), F.coalesce("_parts", F.lit(1))
+    lot = F.monotonically_increasing_id() if lot is None else lot
+    dealt = rows.join(hot, F.xxhash64(*(rows[k] for k in key)) == hot["_hash"], "left").withColumn("_part", F.pmod(lot, parts).cast("int")).drop("_hash", "_parts")
+    to_all = others.join(hot, F.xxhash64(*(others[k] for k in key)) == hot["_hash"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hash", "_parts")
+    return dealt.join(to_all, [*key, "_part"], how).drop("_part")
+
+
+def rejoin(rows: DataFrame, groups: DataFrame, key: list[str], size: str, lot: Column | None = None) -> DataFrame:
     """rows with `_group`, a struct of the other columns of the row of groups with their key, or null.
 
-    Both are settled; size names the column of groups with the number of their rows. The largest groups, no more than
-    HOT, are broadcast, and their rows are scattered in the join with the others.
+    groups are settled, and so are rows without a lot; size names the column of groups with the number of their rows. Rows of large groups are spread.
     """
-    n = rows.count()
-    hot = F.col(size) * HOT >= n
     rest = F.struct(*(c for c in groups.columns if c not in key))
-    largest = groups.where(hot).select(*key, rest.alias("_hot"))
-    others = groups.where(~hot).select(*key, F.lit(-1).cast("long").alias("_lot"), rest.alias("_cold"))
-    marked = rows.join(F.broadcast(largest), key, "left")
-    marked = marked.withColumn("_lot", F.when(F.col("_hot").isNull(), -1).otherwise(F.monotonically_increasing_id()))
-    return marked.join(others, [*key, "_lot"], "left").select(*(F.col(c) for c in rows.columns), F.coalesce("_hot", "_cold").alias("_group"))
+    found = spread(rows, groups.select(*key, rest.alias("_group")), key, groups, size, rows.count(), "left", lot)
+    return found.select(*(F.col(c) for c in rows.columns), "_group")
 
 
 def one_row(rows: DataFrame, key: list[Column], text_col: str) -> DataFrame:
-    """Of rows that are equal in key, and so in text but for null and empty, one whole row: the smallest by the other columns.
+    """Of packed rows that are equal in key, and so in text but for null and empty, one whole row: the smallest by the other columns.
 
     Each input partition sends at most one row of a key on.
     """
-    fields = rows.schema.fields
     # what holds a map has no order of its own
-    order = [F.to_json(F.struct(rows[f.name])) if re.search("map<|variant", f.dataType.simpleString()) else rows[f.name] for f in fields if f.name != text_col]
-    whole = rows.select(*(k.alias(f"_key{i}") for i, k in enumerate(key)), F.struct(rows[text_col].isNull(), *order).alias("_order"), F.struct(*(rows[f.name] for f in fields)).alias("_row"))
-    return whole.groupBy(*(f"_key{i}" for i in range(len(key)))).agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    own = lambda f: F.col("row").getField(f.name)
+    order = [F.to_json(F.struct(own(f))) if re.search("map<|variant", f.dataType.simpleString()) else own(f) for f in rows.schema["row"].dataType if f.name != text_col]
+    whole = rows.select(*(k.alias(f"key{i}") for i, k in enumerate(key)), F.struct(F.col("row").getField(text_col).isNull(), *order).alias("order"), "row")
+    return whole.groupBy(*(f"key{i}" for i in range(len(key)))).agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,16 +1,16 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every input partition is a leaf: its digests in order, each once, with the identifier that stays so far and the number
-of rows. Runs are numbered in `fan_in`-ary digits, and so are the ranges of digests that each will own in the end. In each
-round the `fan_in` runs that differ in one digit of their numbers exchange rows: a row goes to the one of
-them whose digit is that of its range. Each run then merges what it was sent, which is in order already (Spark sorts rows
+Every input partition is a leaf of the tree. Runs are numbered in `fan_in`-ary digits, two at least, and so are the ranges of digests
+that each will own in the end. In each round the `fan_in` runs that differ in one digit of their numbers exchange rows, dealt by the
+number of the run alone: a row goes to the one of them whose digit is that of its range. Each run then merges what it was sent, which
+from the second round on is in order already (Spark sorts rows
 by several columns with TimSort, which finds and merges such runs), and keeps of equal digests the
 identifier that stays, in a streaming aggregation over the merged order. After as many rounds as there are digits, each run
 holds all there is of its own range, and the runs in turn are one sorted list of the corpus's digests.
 
-Leaves are collapsed before the first exchange, and each round moves one row of a text from each run at most, so a
-text that a third of all rows share gathers nowhere. A digest that no other row has moves once per round: 64 bytes,
-log(partitions) / log(fan_in) times.
+A run is sent what `fan_in` runs hold at most, so a text that a third of all rows share gathers nowhere: in the first round a run gets
+the copies of `fan_in` leaves, and in each later one a row for each of `fan_in` runs. A digest that no other row has moves once per
+round: 64 bytes, log(partitions) / log(fan_in) times, and twice at least.
 
 The key is verified at each level: SHA-256 is accompanied by the length and a second, unrelated hash, and
 rows merge only where all three agree. Built-in expressions only.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import one_row, rejoin, settle, shuffle_partitions, small
+from tallyfold.llm.common import one_row, packed, rejoin, settle, shuffle_partitions, small
 
 KEY = ("sha", "n_bytes", "mark")
 
@@ -44,7 +44,7 @@ def _owner(runs: int) -> Column:
 def merge_runs(rows: DataFrame, fan_in: int = 8, keep: str = "min") -> DataFrame:
     """Digest groups of rows (doc_id and KEY): KEY, keep_id, group_size."""
     best, last = (F.min, F.col("doc_id").isNull()) if keep == "min" else (F.max, F.col("doc_id").isNotNull())
-    runs = fan_in
+    runs = fan_in * fan_in
     while runs < shuffle_partitions(rows.sparkSession):
         runs *= fan_in
     # an identifier in a struct isn't updated in place, so Spark aggregates in the order of the sort, without a hash table
@@ -53,8 +53,7 @@ def merge_runs(rows: DataFrame, fan_in: int = 8, keep: str = "min") -> DataFrame
     while unit < runs:
         digit = lambda number: F.floor(F.col(number) / unit) % fan_in  # noqa: B023, E731
         level = level.withColumn("run", F.col("run") + (digit("owner") - digit("run")) * unit)
-        if unit > 1:
-            level = level.repartition("run").sortWithinPartitions("run", *KEY)
+        level = level.repartition("run").sortWithinPartitions("run", *KEY)
         level = level.groupBy("run", *KEY).agg(best("keep").alias("keep"), F.sum("size").alias("size"), F.first("owner").alias("owner"))
         unit *= fan_in
     return level.select(*KEY, F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"))
@@ -81,14 +80,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     its other columns stays. Texts are shuffled only if rows tie or more rows are dropped than may be broadcast.
     """
     found = find_exact_duplicates(docs, id_col, text_col, keep, fan_in)
-    counted = found.groupBy(F.col("doc_id").alias("_mark_id"), F.col("text_sha256").alias("_mark_sha"), "kept").agg(F.count(F.lit(1)).alias("n"))
+    counted = found.groupBy(F.col("doc_id").alias("mark_id"), F.col("text_sha256").alias("mark_sha"), "kept").agg(F.count(F.lit(1)).alias("n"))
     marks = settle(counted.where("NOT kept OR n > 1"))
-    sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    rows = packed(docs)
+    own, sha = F.col("row").getField(id_col), F.sha2(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")), 256)
 
     def matched(part: DataFrame, how: str) -> DataFrame:
-        return docs.join(part, docs[id_col].eqNullSafe(part["_mark_id"]) & (sha == part["_mark_sha"]), how)
+        return rows.join(part, own.eqNullSafe(part["mark_id"]) & (sha == part["mark_sha"]), how)
 
-    tied = marks.where("kept")
-    if tied.isEmpty():
-        return matched(small(marks), "left_anti")
-    return matched(small(marks), "left_anti").union(one_row(matched(small(tied), "left_semi"), [docs[id_col], sha], text_col))
+    rest, tied = matched(small(marks), "left_anti").select("row.*"), marks.where("kept")
+    return rest if tied.isEmpty() else rest.union(one_row(matched(small(tied), "left_semi"), [own, sha], text_col))

@@ -1,4 +1,7 @@
 import hashlib
+import re
+
+import pytest
 
 from tallyfold.llm import common, exact_dedup
 from tallyfold.llm.exact_dedup import drop_exact_duplicates, find_exact_duplicates
@@ -62,19 +65,17 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_runs_stay_sorted_and_are_merged_in_rounds(spark):
-    import re
-
-    rows = exact_dedup._keyed(spark.range(500).selectExpr("id AS doc_id", "CAST(id % 300 AS STRING) AS text"), "doc_id", "text")
-    # four partitions, two digits: one round on (run, key), one between whole runs
-    plan = exact_dedup.merge_runs(rows, fan_in=2)._jdf.queryExecution().executedPlan().toString()
-    kinds = re.findall(r"(SortAggregate|HashAggregate|Exchange hashpartitioning\([^)]*\)|Sort \[run[^\]]*)", plan)
-    shape = [re.sub(r"#\d+L?|\d+", "", k) for k in kinds]
-    assert "HashAggregate" not in shape and sum(k.startswith("Exchange") for k in shape) == 2
-    top = plan.index("Exchange")
-    # the second round: rows dealt by run alone, one sort, then only streaming aggregation
-    assert plan[:top].count("SortAggregate") == 2 and plan[:top].count("Sort [run") == 1
-    assert re.search(r"hashpartitioning\(run#\d+L?, \d+\)", plan)
+@pytest.mark.parametrize(("partitions", "fan_in", "rounds"), [(8, 8, 2), (64, 8, 2), (4, 2, 2), (8, 2, 3), (100, 8, 3)])
+def test_each_round_is_dealt_by_run_alone_and_merges_sorted_runs(spark, partitions, fan_in, rounds):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rows = exact_dedup._keyed(spark.range(500).selectExpr("id AS doc_id", "CAST(id % 300 AS STRING) AS text"), "doc_id", "text")
+        plan = exact_dedup.merge_runs(rows, fan_in=fan_in)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(re.findall(r"Exchange hashpartitioning\(run#\d+L?, \d+\)", plan)) == rounds == plan.count("Exchange")
+    assert plan.count("Sort [run") == rounds and plan.count("SortAggregate") == 2 * rounds and "HashAggregate" not in plan
 
 
 def test_all_that_is_equal_ends_in_the_run_that_owns_it(spark):
