@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import pack, pack_sorted, release, settle, ship, shuffle_partitions, text_bytes, unpack, unpack_sorted
+from tallyfold.llm.common import free_names, pack, pack_sorted, release, settle, ship, shuffle_partitions, text_bytes, unpack, unpack_sorted
 
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 32 << 20
@@ -261,10 +261,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return rows.unionByName(words).groupBy("block").applyInArrow(_reassembled(pa.schema([("doc_id", arrow), *((c, pa.binary()) for c in binary)]), data), out)
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with `decoded`, the bytes that its ids stand for; null ids give null."""
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """encoded with `decoded_col`, the bytes that its ids stand for, in the place of a column of that name; null ids give null."""
     ship(encoded.sparkSession)
     data = read_ranks(ranks_path)
+    [name] = free_names(encoded, decoded_col)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenBytes(data)
@@ -273,6 +274,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
             for ids in batch.column(batch.schema.get_field_index(ids_col)):
                 ids = None if ids.as_py() is None else np.frombuffer(ids.as_py(), "<u4")
                 out.append(None if ids is None else tokens.of(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
 
-    return encoded.mapInArrow(look_up, T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())]))
+    found = encoded.mapInArrow(look_up, T.StructType([*encoded.schema, T.StructField(name, T.BinaryType())]))
+    return found if name == decoded_col else found.drop(decoded_col).withColumnRenamed(name, decoded_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import release, settle, ship, small
+from tallyfold.llm.common import free_names, release, settle, ship, small
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -38,9 +38,14 @@ BATCH = 64
 #: Windows that a task pushes through the network at once.
 STEP = 64
 UNKNOWN = "und"
-#: Score from which keep_known takes a prediction; a text that none of the labels fits comes near one over their number.
-#: Of 10,000 labelled texts of the test tables, 3 lie below, all of a single word of five characters at most.
-MIN_SCORE = 0.4
+#: How far above one over the number of labels, the least that a prediction can score, keep_known wants it, as a part of the way to 1.
+#: With four labels that is a score of 0.4; of 10,000 labelled texts of the test tables, 3 lie below, all of a single word of five characters at most.
+MARGIN = 0.2
+
+
+def least_score(n_labels: int) -> float:
+    """Score from which keep_known takes a prediction. A single label tells nothing apart: all texts with a letter score 1 and stay."""
+    return 1 / n_labels + MARGIN * (1 - 1 / n_labels)
 
 
 class ByteNetwork:
@@ -183,11 +188,11 @@ def _judged(text: Column, network: ByteNetwork | None) -> Column:
 
 
 def predict(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs without text_col, with pred_col and score_col."""
+    """docs without text_col, with pred_col and score_col, in the place of columns of these names."""
     ship(docs.sparkSession)
-    rest = [docs[c] for c in docs.columns if c not in (text_col, pred_col, score_col)]
-    judged = docs.select(*rest, _judged(docs[text_col].cast("string"), network).alias("_judged"))
-    return judged.select(*(judged[c] for c in judged.columns[:-1]), F.col("_judged.lang").alias(pred_col), F.col("_judged.score").alias(score_col))
+    [name] = free_names(docs, "judged")
+    judged = docs.select(*(docs[c] for c in docs.columns if c not in (text_col, pred_col, score_col)), _judged(docs[text_col].cast("string"), network).alias(name))
+    return judged.select(*(judged[c] for c in judged.columns[:-1]), judged[name]["lang"].alias(pred_col), judged[name]["score"].alias(score_col))
 
 
 def _groups(rows: list[int], texts: pa.Array, size: int = 1 << 20) -> Iterator[list[tuple[int, bytes]]]:
@@ -203,8 +208,8 @@ def _groups(rows: list[int], texts: pa.Array, size: int = 1 << 20) -> Iterator[l
         yield group
 
 
-def keep_known(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text", min_score: float = MIN_SCORE, wanted: list[str] | None = None) -> DataFrame:
-    """docs in their own columns, without those whose language the network doesn't tell with a score of min_score.
+def keep_known(docs: DataFrame, network: ByteNetwork | None, text_col: str = "text", min_score: float | None = None, wanted: list[str] | None = None) -> DataFrame:
+    """docs in their own columns, without those whose language the network doesn't tell with a score of min_score (None: least_score).
 
     wanted: the languages that stay; all that were learned where it is None. Without a network nothing can be told, and
     all texts with a letter stay.
@@ -213,8 +218,10 @@ def keep_known(docs: DataFrame, network: ByteNetwork | None, text_col: str = "te
     if network is None:
         return docs.where(has_letter(text))
     ship(docs.sparkSession)
-    judged = docs.select(*(docs[c] for c in docs.columns), _judged(text, network).alias("_judged"))
-    told = (F.col("_judged.lang") != UNKNOWN) & (F.col("_judged.score") >= min_score)
+    [name] = free_names(docs, "judged")
+    judged = docs.withColumn(name, _judged(text, network))
+    lang, score = judged[name]["lang"], judged[name]["score"]
+    told = (lang != UNKNOWN) & (score >= (least_score(len(network.labels)) if min_score is None else min_score))
     if wanted is not None:
-        told &= F.col("_judged.lang").isin(wanted)
-    return judged.where(told).drop("_judged")
+        told &= lang.isin(wanted)
+    return judged.where(told).drop(name)

@@ -11,10 +11,11 @@ fraction, and the turn whose draw comes nearest to the target is used (ties: the
 
 Documents are grouped by source with map-side sums, so a source with a third of the rows is no burden. Sources are
 ranked and summed up in ranges, so that they may be as many as there are hosts. Few sources are broadcast to the documents, after a check of their
-size; many are joined by a shuffle. Repeating is an explode in place.
+size; many are joined by a shuffle in which the rows of a large source are spread over tasks. Repeating is an explode in place.
 
 Defined results: null text and null source are counted (size 0; the last source); rows that repeat an
-identifier share its draw; sources without words have target 0 and rate 0; an empty table gives an empty result.
+identifier share its draw; sources without words have target 0 and rate 0; an empty table gives an empty result. mixture reads the
+named columns alone, and mix keeps whole rows packed, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import in_order, n_words, settle, small
+from tallyfold.llm.common import in_order, is_small, n_words, packed, settle, spread
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TURNS = 32
@@ -62,9 +63,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, turns: int = TURNS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, turn."""
     rows = _sized(docs, id_col, text_col, source_col)
-    joined = rows.join(small(plan(rows, weights, share, most, turns)), rows["source"].eqNullSafe(F.col("_source")))
-    copies = _copies(F.col("lot"), F.col("turn"), turns, F.col("rate"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "turn")
+    joined = _by_source(rows, plan(rows, weights, share, most, turns))
+    copies = _copies(F.col("lot"), F.col("of.turn"), turns, F.col("of.rate"))
+    return joined.select("doc_id", "source", "size", "of.source_size", "of.target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "of.turn")
+
+
+def _by_source(rows: DataFrame, sources: DataFrame, lot: Column | None = None) -> DataFrame:
+    """rows with `of`, the row of sources (settled) of their source. Rows are settled, or a number of each row is given as lot."""
+    own = F.struct(*(sources[c] for c in sources.columns)).alias("of")
+    if is_small(sources):
+        few = F.broadcast(sources.select(own))
+        return rows.join(few, rows["source"].eqNullSafe(few["of"]["source"]))
+    key = {"none": F.col("source").isNull(), "name": F.coalesce(F.col("source").cast("string"), F.lit(""))}
+    keyed = rows.withColumns(key)
+    counts = settle(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    others = sources.select(*(c.alias(k) for k, c in key.items()), own)
+    return spread(keyed, others, list(key), counts, "n", counts.agg(F.sum("n")).first()[0], lot=lot).drop(*key)
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -72,15 +86,15 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, turns: int) -> DataFrame:
-    """One row per source: _source, source_size, target, rate, turn. rows: source, size, lot."""
+    """One row per source: source, source_size, target, rate, turn. rows (settled): source, size, lot."""
     rates = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    rates = settle(rates.select(F.col("source").alias("_source"), "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")))
-    joined = rows.join(small(rates), rows["source"].eqNullSafe(rates["_source"]))
+    rates = settle(rates.select("source", "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate")))
+    joined = _by_source(rows, rates).select("size", "lot", "of.*")
     fraction = F.col("rate") - F.floor("rate")
     extra = [F.sum(F.when(_drawn(F.col("lot"), F.lit(k), turns, fraction), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(turns)]
-    drawn = joined.groupBy("_source", "source_size", "target", "rate").agg(*extra)
+    drawn = joined.groupBy("source", "source_size", "target", "rate").agg(*extra)
     miss = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("miss"), F.lit(k).alias("turn")) for k in range(turns)]
-    return settle(drawn.withColumn("turn", F.array_min(F.array(*miss))["turn"]).select("_source", "source_size", "target", "rate", "turn"))
+    return settle(drawn.withColumn("turn", F.array_min(F.array(*miss))["turn"]).select("source", "source_size", "target", "rate", "turn"))
 
 
 def _copies(lots: Column, turn: Column, turns: int, rate: Column) -> Column:
@@ -89,8 +103,9 @@ def _copies(lots: Column, turn: Column, turns: int, rate: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, turns: int = TURNS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs in their own columns, each row as often as the mix takes it."""
-    rates = small(plan(_sized(docs, id_col, text_col, source_col), weights, share, most, turns)).select(F.struct("_source", "rate", "turn").alias("_rate"))
-    joined = docs.join(rates, docs[source_col].eqNullSafe(F.col("_rate._source")))
-    copies = _copies(lot(docs[id_col]), F.col("_rate.turn"), turns, F.col("_rate.rate"))
-    repeated = joined.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    own, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    rows = packed(docs).withColumn("source", F.col("row").getField(source_col))
+    joined = _by_source(rows, plan(_sized(docs, id_col, text_col, source_col), weights, share, most, turns), F.xxhash64(own, text))
+    copies = _copies(lot(own), F.col("of.turn"), turns, F.col("of.rate"))
+    repeated = joined.select("row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    return repeated.select("row.*")

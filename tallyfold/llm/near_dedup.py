@@ -20,7 +20,8 @@ of any size has no task of its own.
 Defined results: texts are lower-cased in A-Z; a text with fewer words than a shingle is one shingle of all
 its words; a text without words, or null, has no shingles and links with nothing; rows that repeat an
 identifier are one node; a null identifier links with nothing, has a null component and is kept; an empty
-table gives an empty result. Only the identifier and text are read.
+table gives an empty result. near_duplicates reads the identifier and text alone, and drop_near_duplicates keeps whole rows packed, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import HOT, distinct, mix, one_row, release, settle, ship, small
+from tallyfold.llm.common import HOT, distinct, mix, one_row, packed, release, settle, ship, small
 from tallyfold.llm.components import components
 
 COORDINATES = 128
@@ -297,30 +298,30 @@ def drop_near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PER
     link too, and stay only where all of their component are null. Of rows that repeat an identifier and its text, the
     smallest by its other columns stays.
     """
-    own = docs[id_col].cast("long")
-    shared = settle(docs.groupBy(own.alias("_shared")).agg(F.count(F.lit(1)).alias("_rows")).where("_shared IS NULL OR _rows > 1"))
+    rows = packed(docs)
+    own, text = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col).cast("string")
+    shared = settle(rows.groupBy(own.alias("shared")).agg(F.count(F.lit(1)).alias("n")).where("shared IS NULL OR n > 1"))
     if shared.isEmpty():
-        gone = near_duplicates(docs, ngram, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-        gone = small(settle(gone))
-        return docs.join(gone, own == gone["_gone"], "left_anti")
-    marked = docs.join(small(shared), own.eqNullSafe(F.col("_shared")), "left")
-    token = F.when(F.col("_rows").isNotNull(), F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256))
+        found = near_duplicates(docs, ngram, percent, id_col, text_col)
+        gone = small(settle(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()))
+        return rows.join(gone, own == gone["gone"], "left_anti").select("row.*")
+    marked = rows.join(small(shared), own.eqNullSafe(F.col("shared")), "left")
+    token = F.when(F.col("n").isNotNull(), F.sha2(F.coalesce(text, F.lit("")), 256))
     for salt in itertools.count():
         # a number for each of the texts, another one if it's taken
-        node = F.when(F.col("_rows").isNotNull(), F.xxhash64(token, F.lit(salt))).otherwise(own)
-        named = marked.withColumns({"_node": node, "_token": token, "_own": own})
-        names = settle(named.groupBy("_node", "_token", "_own").agg(F.count(F.lit(1)).alias("n")))
-        if names.select("_node", "_token").distinct().count() == names.select("_node").distinct().count():
+        node = F.when(F.col("n").isNotNull(), F.xxhash64(token, F.lit(salt))).otherwise(own)
+        named = marked.select("row", node.alias("node"), token.alias("token"), own.alias("own"))
+        names = settle(named.groupBy("node", "token", "own").agg(F.count(F.lit(1)).alias("n")))
+        if names.select("node", "token").distinct().count() == names.select("node").distinct().count():
             break
-    found = near_duplicates(named.select("_node", text_col), ngram, percent, "_node", text_col)
-    placed = names.join(found.select(F.col("doc_id").alias("_node"), "component_id").distinct(), "_node")
-    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull().alias("none"), "_own", "_token", "_node")).alias("best"))
-    verdict = settle(placed.join(stays, "component_id").select("_node", "_own", "n", (F.col("_node").eqNullSafe(F.col("best._node")) & F.col("_own").eqNullSafe(F.col("best._own"))).alias("stays")))
+    found = near_duplicates(named.select("node", text.alias("text")), ngram, percent, "node", "text")
+    placed = names.join(found.select(F.col("doc_id").alias("node"), "component_id").distinct(), "node")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "token", "node")).alias("best"))
+    verdict = settle(placed.join(stays, "component_id").select("node", "own", "n", (F.col("node").eqNullSafe(F.col("best.node")) & F.col("own").eqNullSafe(F.col("best.own"))).alias("stays")))
 
     def matched(condition: str, how: str) -> DataFrame:
-        part = small(verdict.where(condition).select(F.col("_node").alias("_mark"), F.col("_own").alias("_mark_id")))
-        return named.join(part, (named["_node"] == part["_mark"]) & named["_own"].eqNullSafe(part["_mark_id"]), how)
+        part = small(verdict.where(condition).select(F.col("node").alias("mark"), F.col("own").alias("mark_id")))
+        return named.join(part, (named["node"] == part["mark"]) & named["own"].eqNullSafe(part["mark_id"]), how)
 
     tied = matched("stays AND n > 1", "left_semi")
-    rows = tied.select(*docs.columns, "_node")
-    return matched("NOT stays OR n > 1", "left_anti").select(*docs.columns).union(one_row(rows, [rows["_node"]], text_col).select(*docs.columns))
+    return matched("NOT stays OR n > 1", "left_anti").select("row.*").union(one_row(tied, [tied["node"]], text_col))

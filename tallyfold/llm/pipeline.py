@@ -20,7 +20,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the network tells the language; those without a letter go, and those that score below language.MIN_SCORE."""
+    """Documents of which the network tells the language; those without a letter go, and those that score below language.least_score."""
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     return language.keep_known(docs, language.train(docs, ~held_out))
 

@@ -13,7 +13,8 @@ of the partitions before; those are as many as partitions.
 
 Defined results: null in a dimension is its own lowest level; a null text has no bytes; repeated rows each
 get a slot of their own; fewer rows than shards leave the last shards empty; an empty table gives an empty
-result. Other columns than those named are not read.
+result. Rows are packed while they are placed, so other columns may have any name; what is added takes the place of columns of its name,
+and in write_shards another name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import in_order, rejoin, settle, ship, shuffle_partitions
+from tallyfold.llm.common import free_names, in_order, packed, rejoin, settle, ship, shuffle_partitions
 
 BITS = 5
 
@@ -57,52 +58,64 @@ def levels_of(values: np.ndarray, bounds: list[list[float] | None]) -> np.ndarra
 
 
 def _ranked(rows: DataFrame, dim: str, cuts: int) -> DataFrame:
-    """Settled rows with `_level` of a dimension of texts: which of `cuts` equal parts of all rows its value starts in, from 1; 0 for null."""
-    values = rows.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("_rows"))
+    """Settled rows with `level` of a column of texts: which of `cuts` equal parts of all rows its value starts in, from 1; 0 for null."""
+    values = rows.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("n"))
     level = 1 + F.floor(F.col("rows_before") * cuts / F.col("rows_all"))
-    levels = settle(in_order(values, [F.col(dim)], {"rows": F.col("_rows")}).select(dim, "_rows", level.cast("double").alias("_level")))
-    found = rejoin(rows, levels, [dim], "_rows")
-    return found.select(*(found[c] for c in rows.columns), F.coalesce("_group._level", F.lit(0.0)).alias("_level"))
+    levels = settle(in_order(values, [F.col(dim)], {"rows": F.col("n")}).select(dim, "n", level.cast("double").alias("level")))
+    return rejoin(rows, levels, [dim], "n").select(*rows.columns, F.coalesce("_group.level", F.lit(0.0)).alias("level"))
 
 
-def with_curve(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """rows with `curve`, the Hilbert index of their quantised dimensions."""
-    kinds, columns, cuts = dict(rows.dtypes), rows.columns, 2**bits - 1
-    rows = settle(rows)
+def _curved(rows: DataFrame, dims: list[str], bits: int) -> DataFrame:
+    """Packed rows with `curve`, the Hilbert index of their quantised dimensions."""
+    kinds, cuts = {f.name: f.dataType.simpleString() for f in rows.schema["row"].dataType}, 2**bits - 1
+    own = settle(rows.withColumns({f"dim{i}": F.col("row").getField(d) for i, d in enumerate(dims)}))
     shares = [k / cuts for k in range(1, cuts)]
-    numbers = [d for d in dims if kinds[d] != "string"]
-    found = rows.agg(*(F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(f"b{i}") for i, d in enumerate(numbers))).first() if numbers else []
-    bounds = dict(zip(numbers, [sorted(set(b or [])) for b in found], strict=True))
-    for i, d in enumerate(dims):
-        if d not in bounds:
-            rows = settle(_ranked(rows, d, cuts).withColumnRenamed("_level", f"_level{i}"))
-    points = [F.col(d).cast("double") if d in bounds else F.col(f"_level{i}") for i, d in enumerate(dims)]
-    bounds = [bounds.get(d) for d in dims]
+    numbers = [i for i, d in enumerate(dims) if kinds[d] != "string"]
+    found = own.agg(*(F.percentile_approx(F.col(f"dim{i}").cast("double"), shares, 10_000).alias(f"b{i}") for i in numbers)).first() if numbers else []
+    cut_at = dict(zip(numbers, [sorted(set(b or [])) for b in found], strict=True))
+    for i in range(len(dims)):
+        if i not in cut_at:
+            own = settle(_ranked(own, f"dim{i}", cuts).withColumnRenamed("level", f"level{i}"))
+    points = [F.col(f"dim{i}").cast("double") if i in cut_at else F.col(f"level{i}") for i in range(len(dims))]
+    bounds = [cut_at.get(i) for i in range(len(dims))]
 
     def curve(values: pd.Series) -> pd.Series:
         table = np.array(values.tolist(), np.float64).reshape(len(values), len(bounds))
         return pd.Series(hilbert_index(levels_of(table, bounds), bits))
 
-    return rows.select(*columns, F.pandas_udf(curve, "long")(F.array(*points)).alias("curve"))
+    return own.select("row", F.pandas_udf(curve, "long")(F.array(*points)).alias("curve"))
+
+
+def _unpacked(rows: DataFrame, *added: str) -> DataFrame:
+    """The columns of packed rows, and those added, which take the place of columns of their name."""
+    own = [f.name for f in rows.schema["row"].dataType if f.name.lower() not in added]
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in own), *added)
+
+
+def with_curve(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
+    """rows with `curve`, the Hilbert index of their quantised dimensions, in the place of a column of that name."""
+    return _unpacked(_curved(packed(rows), dims, bits), "curve")
 
 
 def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int, ties: list[str], together: str | None = None) -> DataFrame:
-    """rows with shard and slot (from 0 within the shard); shard row counts differ by one at most.
+    """rows with curve, shard and slot (from 0 within the shard), in the place of columns of these names; shard row counts differ by one at most.
 
     ties: columns that order rows of one index, the row's identifier among them. together: a column; rows that are equal
     in it follow each other.
     """
     ship(rows.sparkSession)
-    indexed = settle(with_curve(rows, dims))
-    lead, order = F.col("curve"), [F.col(c) for c in ties]
+    indexed = settle(_curved(packed(rows), dims, BITS))
+    of = F.col("row").getField
+    lead, order = F.col("curve"), [of(c) for c in ties]
     if together:
-        groups = settle(indexed.where(F.col(together).isNotNull()).groupBy(together).agg(F.min("curve").alias("lead"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1"))
-        indexed = rejoin(indexed, groups, [together], "_rows")
-        lead, order = F.coalesce("_group.lead", "curve"), [F.col(together), *order]
-    ranked = in_order(indexed.withColumn("_lead", lead), [F.col("_lead"), *order])
+        indexed = indexed.withColumn("together", of(together))
+        groups = settle(indexed.where("together IS NOT NULL").groupBy("together").agg(F.min("curve").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        indexed = rejoin(indexed, groups, ["together"], "n")
+        lead, order = F.coalesce("_group.lead", "curve"), [F.col("together"), *order]
+    ranked = in_order(indexed.withColumn("lead", lead), [F.col("lead"), *order])
     shard = F.expr(f"CAST(_rank * {n_shards} div _n AS INT)")
     first = F.expr(f"(shard * _n + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).select(*rows.columns, "curve", "shard", "slot")
+    return _unpacked(ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first), "curve", "shard", "slot")
 
 
 def document_metadata(docs: DataFrame, dims: list[str], id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -111,21 +124,25 @@ def document_metadata(docs: DataFrame, dims: list[str], id_col: str = "doc_id",
     return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("text_sha256"), *(F.col(d) for d in dims))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, str]:
     """docs as Parquet, a folder for each shard, in slot order; placed is hilbert_shards of their document_metadata.
 
     A row meets its place by identifier, CRC of the text and dimensions, null-safely; rows that are equal there are
     numbered on both sides by size, so each takes a place of its own. A large shard is several files, each a range of slots.
+    Returns the names of the columns with shard and slot: these, with a number where docs has columns of these names.
     """
     names = [c for c in placed.columns if c in docs.columns and c not in (id_col, text_col, "doc_id", "size", "text_crc32", "text_sha256", "curve", "shard", "slot")]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = [F.col(id_col), F.crc32(F.encode(text, "UTF-8")), *(F.col(c) for c in names)]
+    of = F.col("row").getField
+    text = F.coalesce(of(text_col).cast("string"), F.lit(""))
+    own = [of(id_col), F.crc32(F.encode(text, "UTF-8")), *(of(c) for c in names)]
     theirs = [F.col("doc_id"), F.col("text_crc32"), *(F.col(c) for c in names)]
-    left = docs.withColumns({f"_key{i}": c for i, c in enumerate(own)} | {"_nth": F.row_number().over(Window.partitionBy(*own).orderBy(F.octet_length(text)))})
+    left = packed(docs).withColumns({f"key{i}": c for i, c in enumerate(own)} | {"nth": F.row_number().over(Window.partitionBy(*own).orderBy(F.octet_length(text)))})
     nth = F.row_number().over(Window.partitionBy(*theirs).orderBy("size", "shard", "slot"))
-    right = placed.select(*(c.alias(f"_at{i}") for i, c in enumerate(theirs)), nth.alias("_at"), "shard", "slot")
-    same = F.col("_nth") == F.col("_at")
+    right = placed.select(*(c.alias(f"at{i}") for i, c in enumerate(theirs)), nth.alias("at"), "shard", "slot")
+    same = F.col("nth") == F.col("at")
     for i in range(len(own)):
-        same &= F.col(f"_key{i}").eqNullSafe(F.col(f"_at{i}"))
-    rows = left.join(right, same).select(*(left[c] for c in docs.columns), "shard", "slot")
-    rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+        same &= F.col(f"key{i}").eqNullSafe(F.col(f"at{i}"))
+    shard, slot = free_names(docs, "shard", "slot")
+    rows = left.join(right, same).select("row.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+    rows.repartitionByRange(shuffle_partitions(docs.sparkSession), shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).mode("overwrite").parquet(path)
+    return shard, slot

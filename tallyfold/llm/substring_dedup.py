@@ -1,6 +1,6 @@
 """Removes passages that an earlier document has, found through a count-min sketch.
 
-A window is a fixed number of consecutive words. Documents are dealt into blocks by a hash; windows
+A window is a fixed number of consecutive words. Documents are dealt into blocks by a hash of the row and its number; windows
 that several documents of one block share are settled there. For the rest, each block contributes to a
 count-min sketch of DEPTH rows: the cells that its distinct windows fall into, sent as sorted, packed lists, dealt
 into slices of the sketch. A slice merges the lists of all blocks in bitmaps; the count of a cell, the number of blocks
@@ -344,8 +344,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     size = text_bytes(texts, "text")
     n_blocks, n, n_exact = 1 + size // BLOCK_BYTES, 1 + size // SKETCH_BYTES, 1 + size // SLICE_BYTES
     bits = max(16, int(size * CELLS_PER_BYTE).bit_length())
-    # rows of one identifier, or of none, are dealt by their texts too
-    numbered = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    # windows are compared by identifier, so any dealing is right; rows that repeat whole, or have neither identifier nor text, are dealt by their number
+    numbered = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_blocks)))
     bundles = numbered.withColumn("bundle", F.floor(F.col("block") / bundled(n_blocks, shuffle_partitions(docs.sparkSession)))).groupBy("bundle")
     cells = bundles.applyInArrow(_sketched(width, bits, n), "slice long, bundle long, cells array<binary>")
     counted = cells.groupBy("slice").applyInArrow(_merged(bits, n), BITS)

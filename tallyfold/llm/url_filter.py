@@ -10,8 +10,8 @@ the empty token, which every URL has. The longest rule that fits wins (ties: the
 
 URLs are judged once per distinct host and path, so that a URL shared by many rows is one row in the search.
 The rule table is a parameter of the job, of any size: a DataFrame that `compiled` turns into expressions and
-tokens; the side of the join is broadcast only where Spark's own
-size check (spark.sql.autoBroadcastJoinThreshold) allows. Built-in expressions only.
+tokens. Only tokens under which a rule is filed are looked up, and the URLs of a frequent one (`com`, `www`, the empty
+token) are spread over tasks, to each of which its rules go; so are the rows of a frequent URL when they get their verdicts. Built-in expressions only.
 
 Defined results: a null url, or one without "://", has empty host and path; repeated rows are judged alike;
 an empty table gives an empty result. Only the two named columns are read.
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.llm.common import is_small, rejoin, settle, spread
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Patterns that block a page where no other rule fits: link farms and machine-made pages.
@@ -83,15 +85,22 @@ def _tokens(target: Column) -> Column:
 
 
 def best_rules(targets: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each distinct target that a rule fits: target, rule, verdict."""
-    words = targets.select("target", F.explode(_tokens(F.col("target"))).alias("token"))
-    filed = rules.select("rule", "regex", F.explode("tokens").alias("token"))
-    counts = words.join(filed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = filed.join(counts, "token", "left").groupBy("rule", "regex").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    index = rules.drop("tokens").join(rarest, ["rule", "regex"])
-    hits = words.join(index, "token").where(F.rlike("target", "regex"))
-    best = F.max_by(F.struct("rule", "verdict"), F.struct("weight", _reverse_order("rule"), "verdict"))
-    return hits.groupBy("target").agg(best.alias("best")).select("target", "best.rule", "best.verdict")
+    """For each target that a rule fits: target, n, and best, an array with the best rule (rule, verdict) of each list, null where none fits.
+
+    targets (settled): target (each once) and n, which is passed on. rules: those of all lists, with their list's place, 0 or 1.
+    """
+    words = targets.select("target", "n", F.explode(_tokens(F.col("target"))).alias("token"))
+    counts = settle(words.groupBy("token").agg(F.count(F.lit(1)).alias("urls")))
+    filed = rules.select("place", "rule", "regex", F.explode("tokens").alias("token"))
+    rarest = filed.join(counts, "token", "left").groupBy("place", "rule", "regex").agg(F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token"))
+    index = settle(rules.drop("tokens").join(rarest, ["place", "rule", "regex"]))
+    used = settle(index.select("token").distinct())
+    asked = words.join(F.broadcast(used), "token", "left_semi") if is_small(used) else words
+    all_words = counts.agg(F.sum("urls")).first()[0] or 0
+    hits = spread(asked, index, ["token"], counts, "urls", all_words, lot=F.xxhash64("target")).where(F.rlike("target", "regex"))
+    order = F.struct("weight", _reverse_order("rule"), "verdict")
+    best = [F.max_by(F.struct("rule", "verdict"), F.when(F.col("place") == k, order)) for k in range(2)]
+    return hits.groupBy("target").agg(F.max("n").alias("n"), *(b.alias(f"best{k}") for k, b in enumerate(best))).select("target", "n", F.array("best0", "best1").alias("best"))
 
 
 def _reverse_order(name: str) -> Column:
@@ -104,10 +113,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, fallback: DataFrame, id_col:
 
     Where no row of `rules` fits, the longest of `fallback` decides (its name is fallback_rule), and else 'allow'.
     """
-    own = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("target", F.concat("host", "path"))
-    targets = own.select("target").distinct()
-    first = best_rules(targets, rules)
-    second = best_rules(targets, fallback).select("target", F.col("rule").alias("fallback_rule"), F.col("verdict").alias("fallback_verdict"))
-    judged = own.join(first, "target", "left").join(second, "target", "left")
-    verdict = F.coalesce("verdict", "fallback_verdict", F.lit("allow"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("fallback_rule")).alias("fallback_rule"))
+    own = settle(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("target", F.concat("host", "path")))
+    targets = settle(own.groupBy("target").agg(F.count(F.lit(1)).alias("n")))
+    both = rules.withColumn("place", F.lit(0)).unionByName(fallback.withColumn("place", F.lit(1)))
+    judged = rejoin(own, settle(best_rules(targets, both)), ["target"], "n")
+    first, second = (F.element_at("_group.best", k) for k in (1, 2))
+    verdict = F.coalesce(first["verdict"], second["verdict"], F.lit("allow"))
+    return judged.select("page_id", "host", "path", first["rule"].alias("rule"), verdict.alias("verdict"), F.when(first["rule"].isNull(), second["rule"]).alias("fallback_rule"))

@@ -103,6 +103,17 @@ def test_fate_is_decided_by_the_prediction_alone(spark, network):
     mixed = "".join(t.encode()[:240].decode(errors="ignore") + " " * (language.WINDOW - len(t.encode()[:240].decode(errors="ignore").encode())) for _, t in sorted(first.items()))
     docs = spark.createDataFrame([(0, first["en"], None, "_judged", "p"), (1, mixed, "en", None, "p"), (2, first["es"], None, None, None)], DOCS)
     scores = {r.doc_id: r.score for r in predict(docs.select("doc_id", "text"), network).collect()}
-    assert scores[1] < language.MIN_SCORE < min(scores[0], scores[2])
+    assert scores[1] < language.least_score(len(network.labels)) < min(scores[0], scores[2])
     assert [r.doc_id for r in keep_known(docs, network).orderBy("doc_id").collect()] == [0, 2]
     assert [r.doc_id for r in keep_known(docs, network, wanted=["en"]).collect()] == [0]
+
+
+def test_two_labels_are_told_apart_from_both(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang IN ('en', 'fr') AND n_chars > 600")
+    network = train(docs, F.lit(True), per_language=400)
+    first = {r.lang: r.text for r in docs.groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).collect()}
+    # windows of one language and of the other in turn
+    mixed = "".join(first[lang][i : i + 200].ljust(256) for i in range(0, 400, 200) for lang in ("en", "fr"))
+    kept = keep_known(spark.createDataFrame([(0, first["en"]), (1, mixed), (2, first["fr"])], "doc_id long, text string"), network)
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [0, 2]
+    assert language.least_score(1) == 1 and language.least_score(2) == 0.6 and abs(language.least_score(4) - 0.4) < 1e-12

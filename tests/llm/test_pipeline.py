@@ -42,7 +42,7 @@ def test_language_drops_what_the_network_cannot_tell(spark, folder, stages):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     held_out = "pmod(crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)), 4) = 2"
     network = language.train(docs, ~F.expr(held_out))
-    told = [r.doc_id for r in language.predict(docs.select("doc_id", "text"), network).collect() if r.lang_pred != "und" and r.score >= language.MIN_SCORE]
+    told = [r.doc_id for r in language.predict(docs.select("doc_id", "text"), network).collect() if r.lang_pred != "und" and r.score >= language.least_score(len(network.labels))]
     assert ids(stages["language"]) == sorted(told, key=str)
     gone = {r.doc_id for r in stages["documents"]} - {r.doc_id for r in stages["language"]}
     assert {1000, 1001, 1002} <= gone and len(gone) < 10
