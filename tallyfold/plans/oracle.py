@@ -24,11 +24,15 @@ _PARTS = {
     "mo": """SELECT instrument_id, price_date, late / nullif(early, 0) - 1 AS momentum
   FROM (SELECT *, first_value(close) OVER (PARTITION BY instrument_id ORDER BY price_date ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS late,
     first_value(close) OVER (PARTITION BY instrument_id ORDER BY price_date ROWS BETWEEN 10 PRECEDING AND 10 PRECEDING) AS early FROM ob) WHERE late IS NOT NULL AND early IS NOT NULL""",
+    "rn": """SELECT account_id, instrument_id, trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, price, signed_quantity AS q,
+  row_number() OVER w AS i, coalesce(sum(signed_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held
+  FROM tr WINDOW w AS (PARTITION BY account_id, instrument_id ORDER BY trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, signed_quantity, price)""",
+    "mf": "SELECT *, CASE WHEN q * held < 0 THEN least(abs(q), abs(held)) ELSE 0 END AS closed, abs(q) - CASE WHEN q * held < 0 THEN least(abs(q), abs(held)) ELSE 0 END AS opened FROM rn",
     "dd": """SELECT instrument_id, min(close / nullif(peak, 0) - 1) AS max_drawdown
   FROM (SELECT instrument_id, close, max(close) OVER (PARTITION BY instrument_id ORDER BY price_date) AS peak FROM ob) GROUP BY instrument_id""",
 }
 _NEEDS = {
-    "ps": "tr", "ob": "pr", "lp": "ob", "mv": "ps lp", "wt": "mv", "rt": "ob", "rk": "rt", "mk": "rt", "bt": "rt mk", "mo": "ob", "dd": "ob",
+    "ps": "tr", "ob": "pr", "lp": "ob", "mv": "ps lp", "wt": "mv", "rt": "ob", "rk": "rt", "mk": "rt", "bt": "rt mk", "mo": "ob", "dd": "ob", "rn": "tr", "mf": "rn",
 }
 
 
@@ -114,4 +118,14 @@ FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source, lang""",
     "o26_company_profile": _with("co rk bt mo dd", f""", lm AS (SELECT instrument_id, arg_max(momentum, price_date) AS momentum FROM mo GROUP BY instrument_id)
 SELECT instrument_id, name, sector, industry, rk.observations, {_RISK}, {_r('beta')}, {_r('momentum')}, {_r('max_drawdown')}
 FROM co LEFT JOIN rk USING (instrument_id) LEFT JOIN bt USING (instrument_id) LEFT JOIN lm USING (instrument_id) LEFT JOIN dd USING (instrument_id)"""),
+    "o27_realised_profit": _with("mf", """, p AS (SELECT account_id, instrument_id, q > 0 AS long, TRUE AS opens, price, sum(opened) OVER w AS until, opened AS size FROM mf WHERE opened > 0 WINDOW w AS (PARTITION BY account_id, instrument_id, q > 0 ORDER BY i)
+UNION ALL SELECT account_id, instrument_id, q < 0, FALSE, price, sum(closed) OVER w, closed FROM mf WHERE closed > 0 WINDOW w AS (PARTITION BY account_id, instrument_id, q < 0 ORDER BY i)),
+m AS (SELECT account_id, instrument_id, least(a.until, b.until) - greatest(a.until - a.size, b.until - b.size) AS quantity, (b.price - a.price) * CASE WHEN long THEN 1 ELSE -1 END AS gain
+  FROM p a JOIN p b USING (account_id, instrument_id, long) WHERE a.opens AND NOT b.opens AND a.until > b.until - b.size AND b.until > a.until - a.size)
+SELECT account_id, instrument_id, sum(quantity) AS closed, count(*) AS matches, round(sum(quantity * gain) + 1e-5, 2) + 0.0 AS profit FROM m GROUP BY ALL"""),
+    "o28_average_cost": "WITH RECURSIVE" + _with("mf", f""", r AS (SELECT account_id, instrument_id, i, held + q AS position, opened * price AS cost FROM mf WHERE i = 1
+UNION ALL SELECT account_id, instrument_id, f.i, f.held + q, CASE WHEN f.held = 0 THEN 0 ELSE cost * (abs(f.held) - closed) / abs(f.held) END + opened * price
+  FROM r JOIN mf f USING (account_id, instrument_id) WHERE f.i = r.i + 1)
+SELECT account_id, instrument_id, trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, position, {_r("CASE WHEN position <> 0 THEN cost / abs(position) END", name="average_cost")}
+FROM r JOIN mf USING (account_id, instrument_id, i)""").removeprefix("WITH"),
 }

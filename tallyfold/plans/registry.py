@@ -13,6 +13,7 @@ from tallyfold.operators import companies as co
 from tallyfold.operators import insights
 from tallyfold.operators import opportunities as op
 from tallyfold.operators import portfolio as pf
+from tallyfold.operators import realised as rl
 from tallyfold.plans import workloads as w
 from tallyfold.sources.tables import Tables
 
@@ -87,6 +88,8 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "o24_company_terms": lambda t: insights.company_terms(t.documents(), TERMS),
     "o25_document_summary": lambda t: rounded(insights.document_summary(t.documents(), t.labels()), mean_chars=6, labelled_share=6, mean_quality=6, toxic_rate=6),
     "o26_company_profile": lambda t: rounded(_profile(t), **RISK, beta=6, momentum=6, max_drawdown=6),
+    "o27_realised_profit": lambda t: rounded(rl.realised_profit(rl.fifo_matches(w.fills(t))), profit=2),
+    "o28_average_cost": lambda t: rounded(rl.average_cost(w.fills(t)), average_cost=6),
 }
 
 

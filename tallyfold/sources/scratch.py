@@ -1,8 +1,10 @@
-"""Intermediate results in the folder that all executors share."""
+"""Intermediate results in the folder that all executors share, and this package's modules on the executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,17 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, for functions that run in Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyfold_shipped", False):
+        return
+    package = Path(__file__).parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tallyfold-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in package.rglob("*.py"):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tallyfold_shipped = True
