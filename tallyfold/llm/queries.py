@@ -174,8 +174,9 @@ n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
 e AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) AS t(k) WHERE len(w) >= k),
 g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, count(*) AS f FROM e GROUP BY ALL HAVING count(*) >= 30),
 c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
-u AS (SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
-  FROM c JOIN range(1, 4) AS t(j) ON j < c.k JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j+1:], ' ')),
+v AS MATERIALIZED (SELECT lang, phrase, f, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j+1:], ' ') AS rest FROM c JOIN range(1, 4) AS t(j) ON j < k),
+y AS MATERIALIZED (SELECT v.*, g.f AS l FROM v JOIN g ON g.lang = v.lang AND g.phrase = v.head),
+u AS MATERIALIZED (SELECT y.lang, y.phrase, y.f AS a, j, l, g.f AS r, ((2000000::HUGEINT * y.f) // (l + g.f))::BIGINT AS score FROM y JOIN g ON g.lang = y.lang AND g.phrase = y.rest),
 b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 s AS (SELECT lang, array_to_string(w[i:i+m-1], ' ') AS phrase, max(f) AS most FROM (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS i FROM c JOIN range(2, 4) AS t(m) ON m < k) GROUP BY ALL)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
