@@ -128,4 +128,12 @@ UNION ALL SELECT account_id, instrument_id, f.i, f.held + q, CASE WHEN f.held =
   FROM r JOIN mf f USING (account_id, instrument_id) WHERE f.i = r.i + 1)
 SELECT account_id, instrument_id, trade_date, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, position, {_r("CASE WHEN position <> 0 THEN cost / abs(position) END", name="average_cost")}
 FROM r JOIN mf USING (account_id, instrument_id, i)""").removeprefix("WITH"),
+    "o29_instrument_correlation": _with("rt", f""", c AS (SELECT a.instrument_id, b.instrument_id AS other_id, count(*) AS dates, round(corr(a.ret, b.ret), 6) AS correlation, stddev_pop(a.ret) AS da, stddev_pop(b.ret) AS db
+  FROM rt a JOIN rt b ON a.price_date = b.price_date AND a.instrument_id <> b.instrument_id AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
+SELECT instrument_id, row_number() OVER (PARTITION BY instrument_id ORDER BY correlation DESC, other_id)::INTEGER AS place, other_id, dates, {_r("correlation")} FROM c WHERE da > 0 AND db > 0 QUALIFY place <= 5"""),
+    "o30_pareto_front": _with("rk mo", f""", lm AS (SELECT instrument_id, arg_max(momentum, price_date) AS momentum FROM mo GROUP BY instrument_id),
+m AS (SELECT instrument_id, {_r("mean")}, {_r("stddev")}, {_r("var_95")}, {_r("momentum")} FROM rk JOIN lm USING (instrument_id)), f AS (SELECT * FROM m WHERE mean + stddev + var_95 + momentum IS NOT NULL)
+SELECT * FROM f WHERE NOT EXISTS (FROM f AS b WHERE b.mean >= f.mean AND b.stddev <= f.stddev AND b.var_95 >= f.var_95 AND b.momentum >= f.momentum
+  AND (b.mean > f.mean OR b.stddev < f.stddev OR b.var_95 > f.var_95 OR b.momentum > f.momentum))"""),
+    "o31_position_stream": _with("ps", "SELECT * FROM ps"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators import companies as co
-from tallyfold.operators import insights
+from tallyfold.operators import correlation, insights, pareto
 from tallyfold.operators import opportunities as op
 from tallyfold.operators import portfolio as pf
 from tallyfold.operators import realised as rl
 from tallyfold.plans import workloads as w
+from tallyfold.sources.scratch import shared_folder
 from tallyfold.sources.tables import Tables
+from tallyfold.streaming import positions as streamed
 
 #: A date by which many holdings still have no price, one by which all have, and None for all rows.
 AS_OF = (date(1995, 6, 1), date(1998, 1, 1), None)
@@ -59,6 +62,21 @@ def _profile(t: Tables) -> DataFrame:
     return insights.company_profile(t.companies(), co.risk_summary(rets, w.MIN_OBSERVATIONS), co.beta(rets, w.MIN_OBSERVATIONS), w.last_momentum(t), co.max_drawdown(prices))
 
 
+def _front(t: Tables) -> DataFrame:
+    """The front of companies by values as they are reported: rounded, so that engines agree on ties."""
+    metrics = w.risk(t).join(w.last_momentum(t), "instrument_id").select("instrument_id", "mean", "stddev", "var_95", "momentum")
+    return pareto.pareto_front(rounded(metrics, **dict.fromkeys(FRONT, 6)), FRONT)
+
+
+def _streamed_positions(t: Tables) -> DataFrame:
+    """The fills of all files there are as a stream, worked through to the end."""
+    folder = f"{shared_folder(t.spark)}/positions-{uuid.uuid4().hex}"
+    streamed.keep_positions(streamed.arriving_fills(t), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    return streamed.current_positions(t.spark, f"{folder}/changes")
+
+
+NEAREST, COMMON = 5, 3
+FRONT = {"mean": "high", "stddev": "low", "var_95": "high", "momentum": "high"}
 RISK = {"mean": 6, "stddev": 6, "var_95": 6, "sharpe": 6}
 
 _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -90,6 +108,9 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "o26_company_profile": lambda t: rounded(_profile(t), **RISK, beta=6, momentum=6, max_drawdown=6),
     "o27_realised_profit": lambda t: rounded(rl.realised_profit(rl.fifo_matches(w.fills(t))), profit=2),
     "o28_average_cost": lambda t: rounded(rl.average_cost(w.fills(t)), average_cost=6),
+    "o29_instrument_correlation": lambda t: rounded(correlation.instrument_correlation(w.returns(t), NEAREST, COMMON), correlation=6),
+    "o30_pareto_front": _front,
+    "o31_position_stream": _streamed_positions,
 }
 
 

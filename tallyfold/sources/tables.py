@@ -22,7 +22,16 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         """The columns of SCHEMAS[name], cast to its types; others aren't read."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._typed(name, self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def arriving(self, name: str, files_per_batch: int) -> DataFrame:
+        """The table as a stream of its files, those that come later included."""
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        # as a pattern, since a stream takes a folder or a pattern but not the name of a single file
+        path = f"{self.folder}/[{name[0]}]{name[1:]}.parquet"
+        return self._typed(name, self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
+
+    def _typed(self, name: str, df: DataFrame) -> DataFrame:
         if missing := SCHEMAS[name].keys() - set(df.columns):
             raise ValueError(f"{name} lacks {', '.join(sorted(missing))}")
         return df.select(*(F.col(c).cast(kind).alias(c) for c, kind in SCHEMAS[name].items()))

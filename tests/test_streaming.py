@@ -1,0 +1,83 @@
+import random
+from datetime import date, timedelta
+
+import pytest
+
+from tallyfold.operators import portfolio as pf
+from tallyfold.streaming import positions as ps
+from tests.test_portfolio import TRADES
+
+
+def fills(seed, n=300):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        q = float(rng.choice([-3, -2, -1, 1, 2, 3]))
+        key = rng.choice([(1, 1), (1, 1), (rng.randrange(4), rng.randrange(9)), (None, 2)])
+        out.append((*key, date(2020, 1, 1) + timedelta(rng.randrange(900)), "SELL" if q < 0 else "BUY", abs(q), q, 5.0, i, 1, 1, 5.0))
+    return [*out, (7, 7, date(2020, 1, 1), "BUY", 2.0, 2.0, 5.0, n, 1, 1, 5.0), (7, 7, date(2020, 1, 2), "SELL", 2.0, -2.0, 5.0, n + 1, 1, 1, 5.0)]
+
+
+def arrive(spark, rows, path):
+    """One more file in a folder."""
+    spark.createDataFrame(rows, TRADES).coalesce(1).write.mode("append").parquet(path)
+
+
+def run(spark, path, tmp_path, redelivered=None):
+    source = spark.readStream.schema(TRADES).option("maxFilesPerTrigger", 1).parquet(path)
+    query = ps.keep_positions(source, f"{tmp_path}/out", f"{tmp_path}/checkpoint", redelivered)
+    query.awaitTermination(120)
+    assert not query.isActive
+    return query
+
+
+def holdings(spark, tmp_path, rows):
+    return rows(ps.current_positions(spark, f"{tmp_path}/out"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_batches_and_restarts_end_in_the_positions(spark, rows, tmp_path, seed):
+    own = fills(seed)
+    rng = random.Random(seed)
+    rng.shuffle(own)  # so that most fills are late
+    path, seen, left = f"{tmp_path}/in", [], own
+    while left:
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randint(1, 90)
+            part, left = left[:k], left[k:]
+            if part:
+                arrive(spark, part, path)
+                seen += part
+        run(spark, path, tmp_path)  # each run starts from the checkpoint of the one before
+        assert holdings(spark, tmp_path, rows) == rows(pf.positions(spark.createDataFrame(seen, TRADES)))
+    latest = spark.createDataFrame([(1, 10.0)], "instrument_id long, close double")
+    wanted = pf.market_value(pf.positions(spark.createDataFrame(own, TRADES)), latest)
+    assert rows(ps.current_values(spark, f"{tmp_path}/out", latest)) == rows(wanted)
+
+
+def test_a_batch_that_is_repeated_counts_once(spark, rows, tmp_path):
+    own = fills(3, 60)
+    arrive(spark, own[:30], f"{tmp_path}/in")
+    run(spark, f"{tmp_path}/in", tmp_path)
+    # as after a loss between the sink and the commit of the batch
+    for commit in (tmp_path / "checkpoint" / "commits").glob("*0*"):
+        commit.unlink()
+    arrive(spark, own[30:], f"{tmp_path}/in")
+    run(spark, f"{tmp_path}/in", tmp_path)
+    assert holdings(spark, tmp_path, rows) == rows(pf.positions(spark.createDataFrame(own, TRADES)))
+
+
+def test_redelivered_fills_count_once(spark, rows, tmp_path):
+    own = sorted(fills(4, 80), key=lambda r: r[2])
+    for part in (own[:40], own[20:60], own[40:], own[:5]):
+        arrive(spark, part, f"{tmp_path}/in")
+    run(spark, f"{tmp_path}/in", tmp_path, "2000 days")
+    assert holdings(spark, tmp_path, rows) == rows(pf.positions(spark.createDataFrame(own, TRADES)))
+
+
+def test_fills_behind_the_watermark_are_dropped_where_asked(spark, rows, tmp_path):
+    fill = lambda day, i: (1, 1, day, "BUY", 1.0, 1.0, 5.0, i, 1, 1, 5.0)
+    for i, day in enumerate((date(2020, 1, 1), date(2020, 6, 1), date(2020, 6, 2), date(2020, 1, 2))):
+        arrive(spark, [fill(day, i)], f"{tmp_path}/in")
+        run(spark, f"{tmp_path}/in", tmp_path, "10 days")
+    assert holdings(spark, tmp_path, rows) == [(1, 1, 3.0)]
