@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.numeric import ratio
+from tallyfold.functions.ordered import recurrence, running_sums
 
 
 def _by_date():
@@ -98,3 +99,22 @@ def peer_compare(risk: DataFrame, companies: DataFrame, metrics: tuple[str, ...]
     joined = own.join(peers, own["sector"].eqNullSafe(peers["peers"]))
     scores = [c for m in metrics for c in (ratio(F.col(m) - F.col(f"{m}_avg"), F.col(f"{m}_dev")).alias(f"{m}_z"), F.col(f"{m}_median"))]
     return joined.select("instrument_id", "sector", *scores)
+
+
+def weighted_stats(rets: DataFrame, weight: float, bucket: str = "year") -> DataFrame:
+    """Exponentially weighted mean and deviation after each observation: instrument_id, price_date, mean, deviation.
+
+    The first observation is the mean, with deviation 0; each later one moves the mean by weight * (ret - mean), and the variance v to
+    (1 - weight) * (v + weight * (ret - mean)**2), with the mean before it. Both are linear maps of what came before, so years of an instrument (spans
+    of `bucket`) are composed on their own and joined in order. Returns without a value are no observations.
+    """
+    if not 0 < weight <= 1:
+        raise ValueError("the weight lies above 0 and up to 1")
+    key, order, span = ["instrument_id"], ["price_date"], F.trunc("price_date", bucket)
+    seen = running_sums(rets.where("ret IS NOT NULL").select("instrument_id", "price_date", "ret"), key, order, {"earlier": F.lit(1).cast("long")}, span)
+    first = F.col("earlier") == 0
+    kept = F.when(first, 0.0).otherwise(1 - weight)
+    means = recurrence(seen, key, order, kept, F.when(first, F.col("ret")).otherwise(weight * F.col("ret")), span, "mean", "mean_before")
+    moved = F.when(first, 0.0).otherwise((1 - weight) * weight * F.pow(F.col("ret") - F.col("mean_before"), F.lit(2.0)))
+    found = recurrence(means, key, order, kept, moved, span, "variance", "variance_before")
+    return found.select("instrument_id", "price_date", "mean", F.sqrt("variance").alias("deviation"))

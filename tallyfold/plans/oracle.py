@@ -136,4 +136,10 @@ m AS (SELECT instrument_id, {_r("mean")}, {_r("stddev")}, {_r("var_95")}, {_r("m
 SELECT * FROM f WHERE NOT EXISTS (FROM f AS b WHERE b.mean >= f.mean AND b.stddev <= f.stddev AND b.var_95 >= f.var_95 AND b.momentum >= f.momentum
   AND (b.mean > f.mean OR b.stddev < f.stddev OR b.var_95 > f.var_95 OR b.momentum > f.momentum))"""),
     "o31_position_stream": _with("ps", "SELECT * FROM ps"),
+    "o32_weighted_stats": "WITH RECURSIVE" + _with("rt", f""", n AS (SELECT instrument_id, price_date, ret, row_number() OVER (PARTITION BY instrument_id ORDER BY price_date) AS i FROM rt WHERE ret IS NOT NULL),
+e AS (SELECT instrument_id, i, price_date, ret AS mean, 0.0::DOUBLE AS variance FROM n WHERE i = 1
+UNION ALL SELECT instrument_id, n.i, n.price_date, mean + 0.06::DOUBLE * (ret - mean), 0.94::DOUBLE * (variance + 0.06::DOUBLE * (ret - mean) * (ret - mean)) FROM e JOIN n USING (instrument_id) WHERE n.i = e.i + 1)
+SELECT instrument_id, price_date, {_r("mean")}, {_r("sqrt(variance)", name="deviation")} FROM e""").removeprefix("WITH"),
+    "o33_positions_as_of": _with("tr", """, d(as_of) AS (VALUES (DATE '1993-03-31'), (DATE '1995-06-01'), (DATE '1997-12-31'), (DATE '2000-01-01'))
+SELECT as_of, account_id, instrument_id, sum(signed_quantity) AS quantity FROM tr JOIN d ON trade_date <= as_of GROUP BY ALL HAVING sum(signed_quantity) <> 0"""),
 }

@@ -15,6 +15,7 @@ from tallyfold.operators import correlation, insights, pareto
 from tallyfold.operators import opportunities as op
 from tallyfold.operators import portfolio as pf
 from tallyfold.operators import realised as rl
+from tallyfold.operators.snapshots import Snapshots
 from tallyfold.plans import workloads as w
 from tallyfold.sources.scratch import shared_folder
 from tallyfold.sources.tables import Tables
@@ -75,6 +76,20 @@ def _streamed_positions(t: Tables) -> DataFrame:
     return streamed.current_positions(t.spark, f"{folder}/changes")
 
 
+def _snapshots(t: Tables) -> DataFrame:
+    """Positions as of each of the dates, from snapshots of years; the fills come in two batches, the second late for all snapshots."""
+    kept = Snapshots(t.spark, f"{shared_folder(t.spark)}/snapshots-{uuid.uuid4().hex}", "year")
+    late = F.pmod(F.xxhash64("l_orderkey"), F.lit(7)) == 0
+    kept.add(w.fills(t).where(~late), 0)
+    for day in filter(None, AS_OF):
+        kept.close(day)
+    kept.add(w.fills(t).where(late), 1)
+    return reduce(DataFrame.unionByName, (kept.positions(d).select(F.lit(d).alias("as_of"), *pf.HOLDING, "quantity") for d in DATES))
+
+
+#: Dates before, between and after the snapshots of O13's dates.
+DATES = (date(1993, 3, 31), date(1995, 6, 1), date(1997, 12, 31), date(2000, 1, 1))
+WEIGHT = 0.06
 NEAREST, COMMON = 5, 3
 FRONT = {"mean": "high", "stddev": "low", "var_95": "high", "momentum": "high"}
 RISK = {"mean": 6, "stddev": 6, "var_95": 6, "sharpe": 6}
@@ -111,6 +126,8 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "o29_instrument_correlation": lambda t: rounded(correlation.instrument_correlation(w.returns(t), NEAREST, COMMON), correlation=6),
     "o30_pareto_front": _front,
     "o31_position_stream": _streamed_positions,
+    "o32_weighted_stats": lambda t: rounded(co.weighted_stats(w.returns(t), WEIGHT), mean=6, deviation=6),
+    "o33_positions_as_of": _snapshots,
 }
 
 

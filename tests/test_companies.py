@@ -1,7 +1,9 @@
 import math
 import statistics as st
-from datetime import date
+from datetime import date, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,39 @@ def test_fills_are_summed_before_they_are_dealt(spark):
 def test_layout_changes_nothing(prices, rows):
     for other in (prices.repartition(1), prices.repartition(7), prices.orderBy(F.rand(3))):
         assert rows(co.returns(other)) == rows(co.returns(prices))
+
+
+def plain_weighted(values, weight):
+    mean = variance = None
+    out = []
+    for v in values:
+        if mean is None:
+            mean, variance = v, 0.0
+        else:
+            d = v - mean
+            variance = (1 - weight) * (variance + weight * d * d)
+            mean += weight * d
+        out.append((mean, variance**0.5))
+    return out
+
+
+@pytest.mark.parametrize(("weight", "bucket"), [(0.06, "year"), (0.5, "month"), (1.0, "week"), (0.001, "month")])
+def test_weighted_stats_equal_the_recurrence(spark, weight, bucket):
+    rng = np.random.default_rng(1)
+    series = {1: rng.normal(5, 1, 300).tolist(), 2: [0.25], 3: rng.normal(0, 1e-6, 40).tolist()}
+    rows = [(i, date(2018, 1, 1) + timedelta(3 * d), v) for i, own in series.items() for d, v in enumerate(own)] + [(1, date(2017, 1, 1), None), (4, date(2017, 1, 1), None)]
+    found = co.weighted_stats(spark.createDataFrame(rows, "instrument_id long, price_date date, ret double").repartition(5), weight, bucket)
+    got = {(r.instrument_id, r.price_date): (r["mean"], r.deviation) for r in found.collect()}
+    wanted = {(i, date(2018, 1, 1) + timedelta(3 * d)): v for i, own in series.items() for d, v in enumerate(plain_weighted(own, weight))}
+    assert got.keys() == wanted.keys()
+    assert all(got[k] == pytest.approx(wanted[k], rel=1e-9, abs=1e-15) for k in got)
+
+
+def test_weighted_stats_of_a_long_series(spark):
+    rng = np.random.default_rng(2)
+    values = (rng.normal(0, 1, 100_000).cumsum() / 100 + rng.normal(0, 1, 100_000)).tolist()
+    days = pd.DataFrame({"instrument_id": 1, "day": np.arange(100_000), "ret": values})
+    rets = spark.createDataFrame(days).selectExpr("instrument_id", "date_add(DATE '1800-01-01', CAST(day AS INT)) AS price_date", "ret")
+    found = co.weighted_stats(rets, 0.05).orderBy("price_date").toPandas()
+    wanted = np.array(plain_weighted(values, 0.05))
+    assert np.allclose(found[["mean", "deviation"]], wanted, rtol=1e-9, atol=1e-12)
