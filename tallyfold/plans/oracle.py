@@ -142,4 +142,10 @@ UNION ALL SELECT instrument_id, n.i, n.price_date, mean + 0.06::DOUBLE * (ret -
 SELECT instrument_id, price_date, {_r("mean")}, {_r("sqrt(variance)", name="deviation")} FROM e""").removeprefix("WITH"),
     "o33_positions_as_of": _with("tr", """, d(as_of) AS (VALUES (DATE '1993-03-31'), (DATE '1995-06-01'), (DATE '1997-12-31'), (DATE '2000-01-01'))
 SELECT as_of, account_id, instrument_id, sum(signed_quantity) AS quantity FROM tr JOIN d ON trade_date <= as_of GROUP BY ALL HAVING sum(signed_quantity) <> 0"""),
+    "o34_span_quantiles": _with("rt", f"""SELECT instrument_id, count(*) AS observations, {_r("quantile_disc(ret, 0.05)", name="q05")}, {_r("quantile_disc(ret, 0.5)", name="median")}, {_r("quantile_disc(ret, 0.95)", name="q95")}
+FROM rt WHERE ret IS NOT NULL AND price_date BETWEEN DATE '1993-01-01' AND DATE '1996-12-31' GROUP BY instrument_id"""),
+    "o35_distinct_counts": """
+SELECT CASE grouping(source, lang) WHEN 1 THEN 'company' WHEN 2 THEN 'language' ELSE 'all' END AS level, source AS company_id, lang, count(*) AS documents, count(DISTINCT text) AS distinct_texts
+FROM documents GROUP BY GROUPING SETS ((source), (lang), ())""",
+    "o36_stored_fills": _with("tr", f"SELECT * REPLACE ({_r('price')}) FROM tr"),
 }

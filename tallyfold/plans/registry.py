@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.operators import companies as co
-from tallyfold.operators import correlation, insights, pareto
+from tallyfold.operators import correlation, insights, pareto, sketches
 from tallyfold.operators import opportunities as op
 from tallyfold.operators import portfolio as pf
 from tallyfold.operators import realised as rl
 from tallyfold.operators.snapshots import Snapshots
 from tallyfold.plans import workloads as w
-from tallyfold.sources.scratch import shared_folder
+from tallyfold.sources import stored
+from tallyfold.sources.scratch import settle, shared_folder
 from tallyfold.sources.tables import Tables
 from tallyfold.streaming import positions as streamed
 
@@ -87,6 +88,22 @@ def _snapshots(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, (kept.positions(d).select(F.lit(d).alias("as_of"), *pf.HOLDING, "quantity") for d in DATES))
 
 
+def _distinct_counts(t: Tables) -> DataFrame:
+    """Of each company, of each language and of all, from the sketches of both."""
+    made = settle(sketches.distinct_sketches(t.documents()))
+    none = F.lit(None).cast("string")
+    by = [(("company_id",), "company"), (("lang",), "language"), ((), "all")]
+    return reduce(DataFrame.unionByName, (sketches.distinct_counts(made, of).select(F.lit(level).alias("level"), *(F.col(c) if c in of else none.alias(c) for c in ("company_id", "lang")), "documents", "distinct_texts") for of, level in by))
+
+
+def _stored_fills(t: Tables) -> DataFrame:
+    name = f"fills_{uuid.uuid4().hex}"
+    stored.store(t, f"{shared_folder(t.spark)}/{name}", name, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return rounded(stored.stored_fills(t.spark, name), price=6)
+
+
+SPAN = (date(1993, 1, 1), date(1996, 12, 31))
+QUANTILES = {"q05": 0.05, "median": 0.5, "q95": 0.95}
 #: Dates before, between and after the snapshots of O13's dates.
 DATES = (date(1993, 3, 31), date(1995, 6, 1), date(1997, 12, 31), date(2000, 1, 1))
 WEIGHT = 0.06
@@ -128,6 +145,9 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "o31_position_stream": _streamed_positions,
     "o32_weighted_stats": lambda t: rounded(co.weighted_stats(w.returns(t), WEIGHT), mean=6, deviation=6),
     "o33_positions_as_of": _snapshots,
+    "o34_span_quantiles": lambda t: rounded(sketches.span_quantiles(sketches.quantile_sketches(w.returns(t)), QUANTILES, *SPAN), **dict.fromkeys(QUANTILES, 6)),
+    "o35_distinct_counts": _distinct_counts,
+    "o36_stored_fills": _stored_fills,
 }
 
 

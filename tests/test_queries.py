@@ -63,7 +63,7 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in columns.items())).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in registry.QUERIES.items():
         found = query(spark, str(tmp_path)).count()
-        assert found == (1 if name == "o07_allocation" else 0) or found == 0, name
+        assert found == (1 if name == "o35_distinct_counts" else 0) or found <= (name == "o07_allocation"), name
 
 
 def test_scan_reads_only_what_is_needed(spark):
