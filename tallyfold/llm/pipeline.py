@@ -7,6 +7,7 @@ as the operator that each calls says in its own docstring.
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 import public_tokenizers
@@ -59,9 +60,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; what lies between them is written to the shared folder."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages in turn over documents; what lies between them is written to folder, and left there.
+
+    Without a folder, one is made in the shared folder, and its name is logged.
+    """
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    logging.getLogger(__name__).info("the stages' results are in %s", folder)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

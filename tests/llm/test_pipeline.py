@@ -84,9 +84,10 @@ def test_tokens_are_those_of_the_library_and_come_back(stages):
     assert all(r.n_tokens == len(r.ids) // 4 for r in stages["bpe"])
 
 
-def test_run_is_all_stages(spark, folder, stages):
-    found = cp.run(spark, folder)
+def test_run_is_all_stages(spark, folder, stages, tmp_path):
+    found = cp.run(spark, folder, f"{tmp_path}/stages")
     assert sorted(map(str, found.collect())) == sorted(map(str, stages["bpe"]))
+    assert sorted(p.name for p in (tmp_path / "stages").iterdir()) == sorted(name for name, _ in cp.STAGES[:-1])
 
 
 def test_stages_keep_the_columns(stages):
