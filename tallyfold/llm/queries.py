@@ -183,4 +183,52 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM b LEFT JOIN s USING (lang, phrase) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < 80 * a QUALIFY rank <= 2000
 """
 
-ORACLE_SQL = {"op13_collocations": OP13_SQL, "op1_near_dedup": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}
+_ASSIGN = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_KINDS = ((0, "assign", _ASSIGN, 2, 6), (1, "access", "AKIA[A-Z0-9]+", 0, 20), (2, "hex", "[0-9a-f]+", 0, 24), (3, "random", secret_scan.TOKEN, 0, 20))
+
+
+def _tail(z: str) -> str:
+    """Probability beyond |z| on both sides, as the operator approximates it."""
+    t = f"(1 / (1 + 0.3275911::DOUBLE * abs({z}) / sqrt(2.0::DOUBLE)))"
+    terms = "+".join(f"({a})::DOUBLE * pow({t}, {i})" for i, a in enumerate((0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429), 1))
+    return f"(({terms}) * exp(-({z}) * ({z}) / 2))"
+
+
+_MATCHED = " UNION ALL ".join(
+    f"SELECT r, {k} AS kind, {least} AS least, unnest(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1)) AS i, unnest(string_split_regex(t, '{p}')) AS gap, unnest(regexp_extract_all(t, '{p}', 0)) AS whole, unnest(regexp_extract_all(t, '{p}', {g})) AS val FROM d"
+    for k, _, p, g, least in _KINDS
+)
+_SHOWN = " ".join(
+    f"WHEN regexp_full_match(body, '[{chars}]+') AND {' AND '.join(f"regexp_matches(body, '[{c}]')" for c in needs)} THEN {{'name': '{name}', 'alphabet': '{alphabet}'}}"
+    for (name, alphabet, _), (chars, needs) in zip(secret_scan.ENCODINGS, (("0-9a-f", ("0-9", "a-f")), ("0-9A-F", ("0-9", "A-F")), ("A-Z2-7", ("2-7", "A-Z")), ("0-9a-z", ("0-9", "a-z")), ("0-9A-Z", ("0-9", "A-Z")), ("0-9A-Za-z", ("0-9", "a-z", "A-Z")), ("A-Za-z0-9+/", ("0-9", "a-z", "A-Z")), ("A-Za-z0-9_-", ("0-9", "a-z", "A-Z"))), strict=True)
+)
+_GRID = range(secret_scan.STEPS)
+
+OP12_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS MATERIALIZED (SELECT * FROM ({_MATCHED}) WHERE whole IS NOT NULL),
+s AS MATERIALIZED (SELECT r, kind, whole, sum(length(gap) + length(whole)) OVER (PARTITION BY r, kind ORDER BY i) AS stop, stop - length(whole) AS start, length(val) >= least AS ok FROM m),
+b AS MATERIALIZED (SELECT r, kind, start, stop FROM s WHERE ok AND kind < 3),
+o AS MATERIALIZED (SELECT row_number() OVER () AS id, r, start, stop, rtrim(whole, '=') AS body, CASE {_SHOWN} END AS e FROM s
+  WHERE kind = 3 AND NOT EXISTS (FROM b WHERE b.r = s.r AND b.start < s.stop AND b.stop > s.start)),
+c AS (SELECT id, length(e.alphabet)::DOUBLE AS k, i, strpos(e.alphabet, ch) - 1.0::DOUBLE AS x FROM (SELECT id, e, unnest(string_split(body, '')) AS ch, unnest(range(1, length(body) + 1)) AS i FROM o WHERE e IS NOT NULL)),
+w AS MATERIALIZED (SELECT *, lead(x) OVER (PARTITION BY id ORDER BY i) AS y, avg(x) OVER (PARTITION BY id) AS mean FROM c),
+q AS (SELECT id, sum(n * n) AS squares FROM (SELECT id, x, count(*) AS n FROM w GROUP BY ALL) GROUP BY id),
+g AS (SELECT id, any_value(k) AS k, count(*)::DOUBLE AS n, count(*) FILTER (WHERE x < floor(k / 2))::DOUBLE AS low, 1.0 + count(*) FILTER (WHERE (x < floor(k / 2)) <> (y < floor(k / 2))) AS stretches,
+  sum((x - mean) * (y - mean)) FILTER (WHERE i % {secret_scan.BLOCK} <> 0) AS joint, sum((x - mean) * (x - mean)) AS variation FROM w GROUP BY id),
+z AS (SELECT id, n, (pow(greatest(k / n * squares - n, 0) / (k - 1), 1 / 3.0::DOUBLE) - 1 + 2 / (9 * (k - 1))) / sqrt(2 / (9 * (k - 1))) AS chi,
+  CASE WHEN 2 * low * (n - low) > n THEN (stretches - 2 * low * (n - low) / n - 1) / sqrt(2 * low * (n - low) * (2 * low * (n - low) - n) / (n * n * (n - 1))) END AS runs,
+  CASE WHEN variation > 0 THEN (joint / variation + 1 / n) * sqrt(n) END AS serial FROM g JOIN q USING (id)),
+p AS MATERIALIZED (SELECT id, o.r, start, stop, e.name AS encoding, floor(2 * log2(greatest(n, {secret_scan.LEAST}) / {secret_scan.LEAST}))::INTEGER AS band,
+  1 - pow(1 - least(CASE WHEN chi > 0 THEN {_tail('chi')} / 2 ELSE 1 - {_tail('chi')} / 2 END, coalesce({_tail('runs')}, 0), coalesce({_tail('serial')}, 0)), 3) AS p FROM z JOIN o USING (id)),
+a AS (SELECT encoding, band, {', '.join(f'count(*) FILTER (WHERE p >= {k / secret_scan.STEPS}::DOUBLE) AS a{k}' for k in _GRID)} FROM p GROUP BY ALL),
+h AS (SELECT *, least({', '.join(f'(a{k} + sqrt(a{k}) + 1) / (1 - {k / secret_scan.STEPS}::DOUBLE)' for k in range(secret_scan.STEPS // 2 + 1))}) AS rnd FROM a),
+l AS (SELECT encoding, band, coalesce({', '.join(f'CASE WHEN a{k} > 0 AND rnd * (1 - {k / secret_scan.STEPS}::DOUBLE) >= {1 - secret_scan.SHARE}::DOUBLE * a{k} THEN {k / secret_scan.STEPS}::DOUBLE END' for k in _GRID if k)}) AS threshold FROM h),
+f AS (SELECT * FROM b UNION ALL SELECT r, 3, start, stop FROM p JOIN l USING (encoding, band) WHERE p >= threshold),
+n AS (SELECT r, kind, start, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || stop AS span FROM f),
+x AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM n GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (r)
+"""
+
+ORACLE_SQL = {"op12_secret_scan": OP12_SQL, "op13_collocations": OP13_SQL, "op1_near_dedup": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op2_exact_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_nearest": OP6_SQL, "op9_mixing": OP9_SQL}

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from tallyfold.llm import queries
@@ -99,6 +100,9 @@ def test_query_equals_plain(spark, tmp_path):
         n = [sum(k == kind for _, kind, _ in base[d]) for k in range(3)]
         assert got[d] == (*n, hashlib.sha256(written(base[d]).encode()).hexdigest(), written(spans[d])), own[d]
     assert len(got) == len(own) and sum(k == 3 for s in spans for _, k, _ in s) > 40
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(queries.OP12_SQL).fetchall()} == got
 
 
 def test_random_keys_are_found_and_ordinary_strings_left_alone(spark):
