@@ -233,8 +233,7 @@ def _words(blocks: DataFrame) -> DataFrame:
     """h, lang, word and f of all distinct words."""
     each = blocks.select(F.explode(F.arrays_zip("hashes", "langs", "words", "counts")).alias("w"))
     each = each.select(F.col("w.hashes").alias("h"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    # a block has a word once, so nothing is gained by sums before the exchange
-    return settle(each.repartition("h").groupBy("h", "lang", "word").agg(F.sum("n").alias("f")))
+    return settle(each.groupBy("h", "lang", "word").agg(F.sum("n").alias("f")))
 
 
 def _cut_into_blocks(docs: DataFrame, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
