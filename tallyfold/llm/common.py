@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.sources.scratch import settle, shared_folder  # noqa: F401
+from tallyfold.sources.scratch import settle, shared_folder, ship  # noqa: F401
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts UTF-8 text the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes that may be sent to every executor.
 BROADCAST_BYTES = 8 << 20
-#: Groups with at least one of so many of all rows; there are no more such groups than this, so they may be broadcast.
+#: Groups with at least one of so many of all rows are spread; there are no more such groups than this, so a number for each may be broadcast.
 HOT = 10_000
 
 
@@ -119,20 +116,6 @@ def one_row(rows: DataFrame, key: list[Column], text_col: str) -> DataFrame:
     return whole.groupBy(*(f"key{i}" for i in range(len(key)))).agg(F.min_by("row", "order").alias("row")).select("row.*")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, for functions that run in Python there."""
-    context = spark.sparkContext
-    if getattr(context, "_tallyfold_shipped", False):
-        return
-    package = Path(__file__).parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="tallyfold-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for module in package.rglob("*.py"):
-            out.write(module, module.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._tallyfold_shipped = True
-
-
 def release(work: int = 1 << 20) -> None:
     """Gives a worker's freed memory back to the system, at the end of a task or of a group of much work: idle workers stay."""
     if work >= 1 << 20:
