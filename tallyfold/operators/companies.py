@@ -114,7 +114,7 @@ def weighted_stats(rets: DataFrame, weight: float, bucket: str = "year") -> Data
     seen = running_sums(rets.where("ret IS NOT NULL").select("instrument_id", "price_date", "ret"), key, order, {"earlier": F.lit(1).cast("long")}, span)
     first = F.col("earlier") == 0
     kept = F.when(first, 0.0).otherwise(1 - weight)
-    means = recurrence(seen, key, order, kept, F.when(first, F.col("ret")).otherwise(weight * F.col("ret")), span, "mean", "mean_before")
+    means = recurrence(seen, key, order, kept, {"mean": F.when(first, F.col("ret")).otherwise(weight * F.col("ret"))}, span)
     moved = F.when(first, 0.0).otherwise((1 - weight) * weight * F.pow(F.col("ret") - F.col("mean_before"), F.lit(2.0)))
-    found = recurrence(means, key, order, kept, moved, span, "variance", "variance_before")
+    found = recurrence(means, key, order, kept, {"variance": moved}, span)
     return found.select("instrument_id", "price_date", "mean", F.sqrt("variance").alias("deviation"))

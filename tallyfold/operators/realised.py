@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.ordered import recurrence, running_sums
 from tallyfold.operators.portfolio import HOLDING, TIES
+from tallyfold.sources.scratch import settle
 
 PLACES = 6
 EXACT = f"decimal(24, {PLACES})"
@@ -30,9 +31,17 @@ def _moved(fills: DataFrame, bucket: str) -> DataFrame:
     return held.withColumn("closed", closed.cast(SUM)).withColumn("opened", (size - F.col("closed")).cast(SUM))
 
 
+def _both_ways(fills: DataFrame) -> DataFrame:
+    """Fills of the holdings that have buys and sells; nothing is closed in others."""
+    sign = F.signum("signed_quantity")
+    ways = fills.where("signed_quantity IS NOT NULL").groupBy(*HOLDING).agg(F.min(sign).alias("low"), F.max(sign).alias("high")).where("low < 0 AND high > 0")
+    return fills.join(ways.select(*(F.col(c).alias(f"of_{c}") for c in HOLDING)), _same(list(HOLDING)), "left_semi")
+
+
 def _intervals(fills: DataFrame, bucket: str) -> DataFrame:
     """A row for each opening and closing: holding, long, opens, and [since, until), its place among the openings or closings of its kind."""
-    moved = _moved(fills, bucket)
+    # read twice by the sums
+    moved = settle(_moved(_both_ways(fills), bucket))
     buys, none = F.col("change") > 0, F.lit(0).cast(SUM)
     kinds = [("lo", buys, "opened"), ("lc", ~buys, "closed"), ("so", ~buys, "opened"), ("sc", buys, "closed")]
     summed = running_sums(moved, list(HOLDING), ORDER, {n: F.when(c, F.col(s)).otherwise(none) for n, c, s in kinds}, F.trunc("trade_date", bucket))
@@ -47,12 +56,14 @@ def fifo_matches(fills: DataFrame, bucket: str = "month") -> DataFrame:
 
     Lots close in the order in which they were opened. Laid end to end, the openings of a side and its closings cover the same line
     of quantities from 0 on, and a lot is matched with a closing where they overlap. Both are walked as one sequence of starts that
-    carries the last opening and closing along: between two starts neither changes. Nothing is joined pair by pair. A holding with many
+    carries the last opening and closing along: between two starts neither changes. Nothing is joined pair by pair, and holdings that were
+    only bought or only sold leave first. A holding with many
     fills is cut along the line into parts of about ROWS starts; each takes over the last opening and closing of the parts before.
     profit is null where a price is.
     """
     side = [*HOLDING, "long"]
-    starts = _intervals(fills, bucket)
+    # read three times: for the sizes, the ends of parts and the walk
+    starts = settle(_intervals(fills, bucket))
     sizes = starts.groupBy(*side).agg((1 + F.floor(F.count(F.lit(1)) / ROWS)).alias("parts"), F.max("until").cast("double").alias("total"))
     own = starts.join(sizes.select(*(F.col(c).alias(f"of_{c}") for c in side), "parts", "total"), _same(side))
     part = F.least(F.floor(F.col("since").cast("double") / F.col("total") * F.col("parts")), F.col("parts") - 1).cast("long")
@@ -102,9 +113,7 @@ def average_cost(fills: DataFrame, bucket: str = "month") -> DataFrame:
     spent = F.col("opened").cast("double") * F.coalesce("price", F.lit(0.0))
     unknown = F.col("opened").cast("double") * F.col("price").isNull().cast("double")
     scale = F.when(zero, F.lit(0.0)).otherwise(left)
-    span = F.trunc("trade_date", bucket)
-    costs = recurrence(moved, list(HOLDING), ORDER, scale, spent, span, "cost", "cost_before").drop("cost_before")
-    costs = recurrence(costs, list(HOLDING), ORDER, scale, unknown, span, "missing", "missing_before")
+    costs = recurrence(moved, list(HOLDING), ORDER, scale, {"cost": spent, "missing": unknown}, F.trunc("trade_date", bucket))
     position = (F.col("held") + F.col("change")).cast("double")
     average = F.when((position != 0) & (F.col("missing") == 0), F.col("cost") / F.abs(position))
     return costs.select(*HOLDING, "trade_date", *TIES, position.alias("position"), average.alias("average_cost"))

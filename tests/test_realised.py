@@ -109,6 +109,11 @@ def test_nulls_and_no_fills(spark, rows):
     assert rl.fifo_matches(empty).count() == 0 and rl.average_cost(empty).count() == 0
 
 
+def test_holdings_of_one_direction_are_not_walked(spark, rows):
+    fills = [trade(1, 10, 0, 2.0, 7), trade(1, 10, 1, 1.0, 8, 2), trade(2, 10, 0, -2.0, 7), trade(2, 10, 1, -1.0, 8, 2), trade(3, 10, 0, 2.0, 7), trade(3, 10, 1, -1.0, 8, 2), trade(4, 10, 0, 0.0, 7)]
+    assert rows(rl._both_ways(spark.createDataFrame(fills, TRADES)).select("account_id").distinct()) == [(3,)]
+
+
 def test_a_holding_with_most_fills_is_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(rl, "ROWS", 40)
     hot = spark.range(12_000).selectExpr("IF(id % 6 = 0, id % 50, 1L) AS account_id", "1L AS instrument_id", "date_add(DATE '2001-01-01', CAST(id % 6000 AS INT)) AS trade_date", "IF(id % 3 = 0, 'SELL', 'BUY') AS side", "1D AS quantity", "IF(id % 3 = 0, -1D, 1D) AS signed_quantity", "CAST(id AS DOUBLE) AS price", "id AS l_orderkey", "1 AS l_linenumber", "1L AS l_suppkey", "1D AS l_extendedprice")
@@ -134,3 +139,5 @@ def test_prefix_maps_equal_a_loop():
             assert (a[i], b[i]) == pytest.approx(own)
             own = (scale[i] * own[0], scale[i] * own[1] + shift[i])
         assert last == pytest.approx(own)
+        both, pair = ordered.prefix_maps(first, scale, np.stack([shift, 2 * shift], axis=1), (0.5, 2.0)), ordered.prefix_maps(first, scale, 2 * shift, (0.5, 2.0))
+        assert np.array_equal(both[1][:, 0], b) and np.array_equal(both[1][:, 1], pair[1]) and both[2][1].tolist() == [last[1], pair[2][1]]
