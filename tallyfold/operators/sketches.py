@@ -5,7 +5,8 @@ sketch of all: with 99 percent confidence, the rank of a quantile is off by no m
 about k observations nothing is lost. O18 stays the exact form.
 
 Distinct counts: a HyperLogLog sketch of the texts of each group. Sketches merge into any coarser grouping without the texts
-or their digests; the relative standard error of a count is 1.04 / sqrt(2 ** LG). O25 stays the exact form.
+or their digests; the relative standard error of a count is 1.04 / sqrt(2 ** LG). Where counts must be exact, the distinct digests of each group are kept
+instead, which merge in the same way and grow with the distinct texts.
 
 Sketches are made by partial aggregation, so a hot instrument or company sends one sketch from each task; building and merging are built in.
 """
@@ -58,3 +59,17 @@ def distinct_counts(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Documents and distinct_texts of a coarser grouping of sketches."""
     merged = sketches.groupBy(*by).agg(F.sum("documents").alias("documents"), F.hll_union_agg("sketch").alias("sketch"))
     return merged.select(*by, "documents", F.hll_sketch_estimate("sketch").alias("distinct_texts"))
+
+
+def distinct_digests(documents: DataFrame, by: tuple[str, ...] = ("company_id", "lang")) -> DataFrame:
+    """The columns of `by`, digest (SHA-256) and documents of each of its texts; null texts have a null digest."""
+    return documents.groupBy(*by, F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def exact_distinct_counts(digests: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """O35, exact: documents and distinct_texts of a coarser grouping of digests.
+
+    Digests are dealt by themselves first, so a group with most of the texts is no single task.
+    """
+    once = digests.groupBy(*by, "digest").agg(F.sum("documents").alias("documents"))
+    return once.groupBy(*by).agg(F.sum("documents").alias("documents"), F.count("digest").alias("distinct_texts"))

@@ -65,3 +65,24 @@ def test_null_texts_and_no_documents(spark, rows):
     docs = spark.createDataFrame([("a", "en", None), ("a", "en", None), ("b", None, "x")], "company_id string, lang string, text string")
     assert rows(sk.distinct_counts(sk.distinct_sketches(docs), ("company_id",))) == [("a", 2, 0), ("b", 1, 1)]
     assert sk.distinct_counts(sk.distinct_sketches(docs.limit(0)), ("company_id",)).count() == 0
+
+
+def test_digests_count_exactly_at_any_size(spark, rows):
+    docs = spark.range(90_000).selectExpr("concat('c', id % 3) AS company_id", "CASE WHEN id % 2 = 0 THEN 'en' WHEN id % 7 > 0 THEN 'de' END AS lang", "CASE WHEN id % 11 > 0 THEN CAST(id % 40000 AS STRING) END AS text").repartition(5)
+    made = sk.distinct_digests(docs).checkpoint()
+    for by in (("company_id", "lang"), ("company_id",), ("lang",), ()):
+        assert rows(sk.exact_distinct_counts(made, by)) == rows(docs.groupBy(*by).agg(_documents(), _distinct()))
+
+
+def _documents():
+    from pyspark.sql import functions as F
+
+    return F.count("*")
+
+
+def test_the_query_counts_many_texts_exactly(spark, tmp_path):
+    from tallyfold.plans import registry
+
+    spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 50000 AS STRING) AS text", "'en' AS lang", "concat('c', id % 2) AS source", "5L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.level, r.company_id, r.lang, r.documents, r.distinct_texts) for r in registry.QUERIES["o35_distinct_counts"](spark, str(tmp_path)).collect()}
+    assert found == {("company", "c0", None, 30_000, 25_000), ("company", "c1", None, 30_000, 25_000), ("language", None, "en", 60_000, 50_000), ("all", None, None, 60_000, 50_000)}
