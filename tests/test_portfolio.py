@@ -154,3 +154,15 @@ def test_one_instrument_with_most_rows(spark, rows):
     found = pf.price_as_of(many, prices).where("instrument_id = 1")
     wrong = found.where("close <> floor(datediff(trade_date, DATE '2010-01-01') / 7) * 7 OR close IS NULL")
     assert found.count() == many.where("instrument_id = 1").count() and wrong.count() == 0
+
+
+def test_value_series_sends_a_row_for_each_span_and_not_for_each_price(spark, rows):
+    from tests.test_correlation import shuffled_rows
+
+    fills = spark.createDataFrame([(a, i, date(2011, 1, 1), "BUY", 1.0, 1.0, 1.0, a, i, 1, 1.0) for a in range(20) for i in range(10)], TRADES).localCheckpoint()
+    prices = spark.range(7000).selectExpr("id % 10 AS instrument_id", "date_add(DATE '2010-06-01', CAST(id DIV 10 * 9 AS INT)) AS price_date", "CAST(id % 10 AS DOUBLE) AS close").localCheckpoint()
+    before = shuffled_rows(spark)
+    found = rows(pf.value_series(fills, prices))
+    assert len(found) == 20 * prices.where("price_date >= DATE '2011-01-01'").select("price_date").distinct().count() and {r[2] for r in found} == {45.0}
+    # 13,000 sums of account and date before, and more
+    assert shuffled_rows(spark) - before < 12_000
