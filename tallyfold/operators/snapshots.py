@@ -41,7 +41,8 @@ class Snapshots:
 
     def _write(self, rows: DataFrame, name: str) -> None:
         parts = ("period", "batch")
-        rows.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.folder}/{name}")
+        # folders with many rows are split over tasks and files of about the advisory size, small ones are written together
+        rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.folder}/{name}")
 
     def _start(self, day: date) -> date:
         return day.replace(day=1) if self.period == "month" else day.replace(month=1, day=1)

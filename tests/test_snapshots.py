@@ -70,3 +70,16 @@ def test_no_fills_and_no_dates(spark, tmp_path):
     assert kept.positions(date(2020, 2, 1)).count() == 0 and kept.closed() == [date(2020, 1, 1)]
     with pytest.raises(ValueError, match="no trade date"):
         kept.add(spark.createDataFrame([(1, 1, None, "BUY", 1.0, 1.0, 1.0, 1, 1, 1, 1.0)], TRADES), 0)
+
+
+def test_a_folder_with_most_fills_is_written_by_many_tasks(spark, tmp_path):
+    own = spark.range(0, 200_000, numPartitions=8).selectExpr("id % 5000 AS account_id", "id % 7919 AS instrument_id", "DATE '2020-03-05' AS trade_date", "1D AS signed_quantity")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        kept = Snapshots(spark, str(tmp_path))
+        kept.add(own, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    read = spark.read.parquet(f"{tmp_path}/fills")
+    assert read.count() == 200_000 and len(read.inputFiles()) > 3
