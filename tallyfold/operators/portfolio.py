@@ -82,19 +82,26 @@ def running_position(fills: DataFrame) -> DataFrame:
 def price_as_of(fills: DataFrame, prices: DataFrame, bucket: str = "year") -> DataFrame:
     """Fills with the last close on or before the trade date; null if there is none.
 
-    Each instrument is cut into buckets of time, so that one with most of the rows is no single task: within a
-    bucket the last price is carried forward, and a fill before the first price of its bucket takes the
-    last close of the buckets before. There is one row for each instrument and bucket of these.
+    Each instrument is cut into buckets of time, so that one with most of the rows is no single task: the prices of
+    a bucket are one row, with the last close of the buckets before, and a fill takes its close from that row. Buckets without prices have a row too, up to the last price of all, and later
+    fills go by the last bucket. So fills are neither put in one order with prices nor sorted for more than the join.
     """
-    own = fills.select("instrument_id", F.col("trade_date").alias("date"), F.lit(1).alias("side"), F.struct("account_id", *TIES).alias("fill"), F.lit(None).cast("double").alias("close"))
-    marks = observed(prices).select("instrument_id", F.col("price_date").alias("date"), F.lit(0).alias("side"), F.lit(None).cast(own.schema["fill"].dataType).alias("fill"), "close")
-    both = own.unionByName(marks).withColumn("bucket", F.trunc("date", bucket))
-    inside = F.last("close", ignorenulls=True).over(Window.partitionBy("instrument_id", "bucket").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0))
-    carried = both.withColumn("inside", inside).where("side = 1")
-    ends = both.groupBy("instrument_id", "bucket").agg(F.max_by("close", F.when(F.col("side") == 0, F.col("date"))).alias("end"))
-    before = F.last("end", ignorenulls=True).over(Window.partitionBy("instrument_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    found = carried.join(ends.select("instrument_id", "bucket", before.alias("before")), ["instrument_id", "bucket"])
-    return found.select("fill.account_id", "instrument_id", F.col("date").alias("trade_date"), *(f"fill.{t}" for t in TIES), F.coalesce("inside", "before").alias("close"))
+    start = lambda day: F.trunc(day, bucket)
+    marks = observed(prices).withColumn("bucket", start("price_date"))
+    # a date without a close may be the last, which only adds rows
+    latest = start(prices.agg(F.max("price_date")).scalar())
+    seen = F.sort_array(F.collect_list(F.struct(F.col("price_date").alias("day"), "close")))
+    packed = marks.groupBy("instrument_id", "bucket").agg(seen.alias("seen")).withColumn("end", F.element_at("seen", -1)["close"])
+    line = Window.partitionBy("instrument_id").orderBy("bucket")
+    upto = F.coalesce(F.date_sub(F.lead("bucket").over(line), 1), latest)
+    each = packed.withColumns({"before": F.lag("end").over(line), "upto": upto})
+    each = each.withColumn("at", F.explode(F.sequence("bucket", "upto", F.expr(f"INTERVAL 1 {bucket}"))))
+    own = F.col("at") == F.col("bucket")
+    rows = each.select(F.col("instrument_id").alias("of"), "at", *(F.when(own, F.col(f"seen.{c}")).alias(f"{c}s") for c in ("day", "close")), F.when(own, F.col("before")).otherwise(F.col("end")).alias("before"))
+    dated = fills.select("account_id", "instrument_id", "trade_date", *TIES, F.when(F.col("trade_date").isNotNull(), F.least(start("trade_date"), latest)).alias("bucket"))
+    met = dated.join(rows, (F.col("instrument_id") == F.col("of")) & (F.col("bucket") == F.col("at")), "left")
+    last = F.size(F.filter("days", lambda day: day <= F.col("trade_date"))) - 1
+    return met.select("account_id", "instrument_id", "trade_date", *TIES, F.coalesce(F.get("closes", last), "before").alias("close"))
 
 
 def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -166,3 +166,12 @@ def test_value_series_sends_a_row_for_each_span_and_not_for_each_price(spark, ro
     assert len(found) == 20 * prices.where("price_date >= DATE '2011-01-01'").select("price_date").distinct().count() and {r[2] for r in found} == {45.0}
     # 13,000 sums of account and date before, and more
     assert shuffled_rows(spark) - before < 12_000
+
+
+def test_price_as_of_sorts_no_fills_with_prices_and_keeps_fills_without_a_date(spark, fills, prices, rows):
+    plan = pf.price_as_of(fills, prices)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    odd = spark.createDataFrame([(1, 10, None, "BUY", 1.0, 1.0, 1.0, 1, 1, 1, 1.0), (1, 10, date(2041, 1, 1), "BUY", 1.0, 1.0, 1.0, 2, 1, 1, 1.0)], TRADES)
+    own = spark.createDataFrame([(10, date(2020, 3, 1), 4.0), (11, date(2030, 6, 1), 9.0), (11, date(2031, 6, 1), None)], PRICES)
+    for bucket in ("year", "month", "week"):
+        assert rows(pf.price_as_of(odd, own, bucket).select("trade_date", "close")) == [(date(2041, 1, 1), 4.0), (None, None)]
