@@ -81,14 +81,20 @@ def _with_prefix(rows: DataFrame, key: list[str], order: list[str], n: int) -> D
     return sorted_.mapInArrow(_walked(rows.columns, n, to_arrow_schema(out)), out)
 
 
-def recurrence(rows: DataFrame, key: list[str], order: list[str], scale: Column, shifts: dict[str, Column], span: Column) -> DataFrame:
+def recurrence(rows: DataFrame, key: list[str], order: list[str], scale: Column, shifts: dict[str, Column], span: Column | None) -> DataFrame:
     """rows with, for each of shifts, its x = scale * (x of the row before, 0 for the first) + shift along the order within the key, and <name>_before, x of the row before.
 
     scale and shifts are doubles without nulls. Maps are composed, never divided by, so a scale of 0 starts anew and long products fade to 0.
+    Without a span a key is walked whole, where all its rows are together, and nothing is joined.
     """
     ship(rows.sparkSession)
     keys, n = [*key, "_span"], len(shifts)
-    own = rows.withColumns({"_span": span, "_scale": scale.cast("double")} | {f"_shift{i}": s.cast("double") for i, s in enumerate(shifts.values())})
+    spans = {} if span is None else {"_span": span}
+    own = rows.withColumns(spans | {"_scale": scale.cast("double")} | {f"_shift{i}": s.cast("double") for i, s in enumerate(shifts.values())})
+    value = {name: F.col("_scale") * F.col(f"{name}_before") + F.col(f"_shift{i}") for i, name in enumerate(shifts)}
+    if span is None:
+        found = _with_prefix(own, key, order, n).withColumns({f"{name}_before": F.col(f"_b{i}") for i, name in enumerate(shifts)})
+        return found.select(*rows.columns, *(f"{name}_before" for name in shifts), *(v.alias(name) for name, v in value.items()))
     # read twice: for the spans' ends and for their rows
     inner = settle(_with_prefix(own, keys, order, n))
     end = [(F.col("_scale") * F.col("_a")).alias("_scale"), *((F.col("_scale") * F.col(f"_b{i}") + F.col(f"_shift{i}")).alias(f"_shift{i}") for i in range(n))]
@@ -97,4 +103,4 @@ def recurrence(rows: DataFrame, key: list[str], order: list[str], scale: Column,
     starts = _with_prefix(ends, key, ["_span"], n).select(*keys, *(F.col(f"_b{i}").alias(f"_start{i}") for i in range(n)))
     before = {f"{name}_before": F.col("_a") * F.col(f"_start{i}") + F.col(f"_b{i}") for i, name in enumerate(shifts)}
     found = _meet(inner, starts, keys).withColumns(before)
-    return found.select(*rows.columns, *before, *((F.col("_scale") * F.col(f"{name}_before") + F.col(f"_shift{i}")).alias(name) for i, name in enumerate(shifts)))
+    return found.select(*rows.columns, *before, *(v.alias(name) for name, v in value.items()))

@@ -20,17 +20,32 @@ SUM = f"decimal(34, {PLACES})"
 ORDER = ["trade_date", *TIES, "change", "price"]
 #: Openings and closings of a holding that are matched in one go, about.
 ROWS = 10_000
+#: Fills of a holding that a task puts in order.
+MANY = 5_000
 
 
-def _moved(fills: DataFrame, bucket: str) -> DataFrame:
-    """Fills with change (signed), held (before the fill), closed and opened (sizes)."""
-    own = fills.where("signed_quantity IS NOT NULL").select(*HOLDING, "trade_date", *TIES, F.col("signed_quantity").cast(EXACT).alias("change"), "price")
-    held = running_sums(own, list(HOLDING), ORDER, {"held": F.col("change").cast(SUM)}, F.trunc("trade_date", bucket))
+def _own(fills: DataFrame) -> DataFrame:
+    return fills.where("signed_quantity IS NOT NULL").select(*HOLDING, "trade_date", *TIES, F.col("signed_quantity").cast(EXACT).alias("change"), "price")
+
+
+def _sizes(held: DataFrame) -> DataFrame:
     size = F.abs("change").cast(SUM)
     closed = F.when(F.signum(F.col("change").cast("double")) * F.signum(F.col("held").cast("double")) < 0, F.least(size, F.abs("held").cast(SUM))).otherwise(F.lit(0).cast(SUM))
     return held.withColumn("closed", closed.cast(SUM)).withColumn("opened", (size - F.col("closed")).cast(SUM))
 
 
+def _moved(fills: DataFrame, bucket: str) -> DataFrame:
+    """Fills with change (signed), held (before the fill), closed and opened (sizes)."""
+    return _sizes(running_sums(_own(fills), list(HOLDING), ORDER, {"held": F.col("change").cast(SUM)}, F.trunc("trade_date", bucket)))
+
+
+def _whole(fills: DataFrame) -> DataFrame:
+    """As _moved, for holdings that a task can sort."""
+    before = Window.partitionBy(*HOLDING).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum(F.col("change").cast(SUM)).over(before).cast(SUM), F.lit(0).cast(SUM))
+    return _sizes(_own(fills).withColumn("held", held))
+
+
 def _both_ways(fills: DataFrame) -> DataFrame:
     """Fills of the holdings that have buys and sells; nothing is closed in others."""
     sign = F.signum("signed_quantity")
@@ -104,16 +119,29 @@ def average_cost(fills: DataFrame, bucket: str = "month") -> DataFrame:
 
     What opens is averaged in by quantity, what closes leaves the average as it is, and a fill that crosses starts
     anew at its own price; null where nothing is held, and from a fill without a price on until all of it is closed. The cost c = |position| * average obeys c' = (1 - closed / held) * c +
-    opened * price, a linear map for each fill, and composing maps is associative; so spans are composed on their own and joined in order.
+    opened * price, a linear map for each fill, and composing maps is associative. Holdings of more than MANY fills are cut into
+    spans, which are composed on their own and joined in order; the others, mostly all, are dealt once and composed whole.
     """
-    moved = _moved(fills, bucket)
+    counts = fills.where("signed_quantity IS NOT NULL").groupBy(*HOLDING).agg(F.count(F.lit(1)).alias("n"))
+    # one for each MANY fills at most
+    large = settle(counts.where(F.col("n") > MANY).select(*(F.col(c).alias(f"of_{c}") for c in HOLDING)))
+    if large.isEmpty():
+        return _costs(_whole(fills), bucket, False)
+    few, many = (fills.join(F.broadcast(large), _same(list(HOLDING)), how) for how in ("left_anti", "left_semi"))
+    both = _costs(_whole(few), bucket, False).unionByName(_costs(_moved(many, bucket), bucket, True))
+    # the fills of a large holding are dealt over all tasks again
+    return both.repartition(*HOLDING, "trade_date")
+
+
+def _costs(moved: DataFrame, bucket: str, cut: bool) -> DataFrame:
     zero = F.col("held") == 0
     left = F.when(zero, F.lit(1.0)).otherwise((F.abs("held") - F.col("closed")).cast("double") / F.abs("held").cast("double"))
     # rests of a sum of doubles don't outlive a position that comes to zero
     spent = F.col("opened").cast("double") * F.coalesce("price", F.lit(0.0))
     unknown = F.col("opened").cast("double") * F.col("price").isNull().cast("double")
     scale = F.when(zero, F.lit(0.0)).otherwise(left)
-    costs = recurrence(moved, list(HOLDING), ORDER, scale, {"cost": spent, "missing": unknown}, F.trunc("trade_date", bucket))
+    span = F.trunc("trade_date", bucket) if cut else None
+    costs = recurrence(moved, list(HOLDING), ORDER, scale, {"cost": spent, "missing": unknown}, span)
     position = (F.col("held") + F.col("change")).cast("double")
     average = F.when((position != 0) & (F.col("missing") == 0), F.col("cost") / F.abs(position))
     return costs.select(*HOLDING, "trade_date", *TIES, position.alias("position"), average.alias("average_cost"))

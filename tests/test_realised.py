@@ -141,3 +141,15 @@ def test_prefix_maps_equal_a_loop():
         assert last == pytest.approx(own)
         both, pair = ordered.prefix_maps(first, scale, np.stack([shift, 2 * shift], axis=1), (0.5, 2.0)), ordered.prefix_maps(first, scale, 2 * shift, (0.5, 2.0))
         assert np.array_equal(both[1][:, 0], b) and np.array_equal(both[1][:, 1], pair[1]) and both[2][1].tolist() == [last[1], pair[2][1]]
+
+
+@pytest.mark.parametrize("many", [5, 10_000])
+def test_only_holdings_of_many_fills_are_cut(spark, monkeypatch, many):
+    monkeypatch.setattr(rl, "MANY", many, raising=False)
+    fills = corpus(4, hot=0.6)
+    found = rl.average_cost(spark.createDataFrame(fills, TRADES).repartition(5))
+    got = sorted((r.account_id, r.instrument_id, r.trade_date, r.l_orderkey, r.position, r.average_cost) for r in found.collect())
+    wanted = sorted(fold(fills)[1], key=lambda r: r[:4])
+    assert [(*g[:5], g[5] and round(g[5], 6)) for g in got] == [(*w[:5], w[5] and round(w[5], 6)) for w in wanted]
+    if many == 10_000:
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
