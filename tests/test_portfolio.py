@@ -175,3 +175,33 @@ def test_price_as_of_sorts_no_fills_with_prices_and_keeps_fills_without_a_date(s
     own = spark.createDataFrame([(10, date(2020, 3, 1), 4.0), (11, date(2030, 6, 1), 9.0), (11, date(2031, 6, 1), None)], PRICES)
     for bucket in ("year", "month", "week"):
         assert rows(pf.price_as_of(odd, own, bucket).select("trade_date", "close")) == [(date(2041, 1, 1), 4.0), (None, None)]
+
+
+def test_value_series_packs_accounts_of_any_type_in_parts(spark, fills, prices, rows, monkeypatch):
+    named = fills.withColumn("account_id", F.when(F.col("account_id") != 2, F.concat(F.lit("account "), F.col("account_id"))))
+    wanted = [(None if a == 2 else f"account {a}", d, v) for a, d, v in rows(pf.value_series(fills, prices))]
+    assert len(wanted) > 4
+    for values in (8_000_000, 0):
+        monkeypatch.setattr(pf, "VALUES", values)
+        for latest in (None, F.lit(date(2020, 12, 1))):
+            assert sorted(rows(pf.value_series(named.repartition(3), prices, latest)), key=str) == sorted(wanted, key=str)
+
+
+def test_value_series_sends_few_bytes_for_a_close(spark):
+    held = "id % 5003 AS account_id, id DIV 10 AS instrument_id, DATE '1998-01-01' AS trade_date, 'BUY' AS side, 1D AS quantity, 1D AS signed_quantity, 1D AS price, id AS l_orderkey, 1 AS l_linenumber, 1L AS l_suppkey, 1D AS l_extendedprice"
+    fills = spark.range(30_000).selectExpr(*held.split(", ")).localCheckpoint()
+    prices = spark.range(78_000).selectExpr("id % 3000 AS instrument_id", "date_add(DATE '1998-06-01', CAST(id DIV 3000 * 60 + id % 60 AS INT)) AS price_date", "rand(5) AS close").localCheckpoint()
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, parts = shuffled(), spark.conf.get("spark.sql.shuffle.partitions")
+    # hardly two accounts with the same instrument are in one partition, as in large tables
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = pf.value_series(fills, prices).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    # 12 bytes before
+    assert found == 741_000 and shuffled() - before < 10.5 * found
